@@ -1,0 +1,64 @@
+"""What the operators of this subpackage share: reading tables, scratch tables, hold-out remainders."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir); one of this machine only where none is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = "file://" + os.path.join(tempfile.gettempdir(), "quirefold-scratch")
+    return shared.rstrip("/")
+
+
+class Scratch:
+    """Tables written to the shared folder: they cut lineage and outlive the executors that wrote them."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark = spark
+        self.root = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.n = 0
+
+    def write(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
+        self.n += 1
+        path = f"{self.root}/{self.n}"
+        w = df.write.option("compression", "zstd")
+        if partition_by:
+            w = w.partitionBy(partition_by)
+        w.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path) if not partition_by else self.spark.read.parquet(path)
+        out._scratch_path = path
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        """Deletes a table that nothing reads any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def remainder(id_col: Column, n: int) -> Column:
+    """crc32 of the id as text, modulo n; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % n
+
+
+def sub_batches(sizes, most_bytes: int):
+    """Splits rows of the given sizes into runs [i, j) of at most most_bytes, one row at least."""
+    i = total = 0
+    for j, s in enumerate(sizes):
+        if j > i and total + s > most_bytes:
+            yield i, j
+            i, total = j, 0
+        total += s
+    if i < len(sizes):
+        yield i, len(sizes)
