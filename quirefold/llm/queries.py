@@ -1,10 +1,13 @@
 """The queries of this subpackage, and the SQL of those that SQL can express on whole tables."""
 
-from . import exact_dedup, packing, toxicity
+from . import bpe, exact_dedup, langid, packing, simhash, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_bpe": bpe.op2_bpe,
+    "op4_language_id": langid.op4_language_id,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op8_simhash": simhash.op8_simhash,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {"op5_exact_dedup": exact_dedup.SQL}

@@ -1,0 +1,210 @@
+"""SimHash near-duplicates by Golay-code fuzzy hashing.
+
+The fingerprint is cut into segments of 22, 21 and 21 bits. At three differing bits or fewer, some two segments
+differ in one bit at most each (pigeonhole). A segment is hashed by the perfect binary Golay code: its own key is
+the index of the codeword nearest to it, and its near keys are those of all words one bit away (six codewords at
+most). For every pair of segments a fingerprint takes the near keys of one with the own key of the other, and the
+other way round; two fingerprints with one differing bit in each of the two then share a key in opposite roles.
+
+Equal fingerprints are one node. Keys that only one fingerprint has are dropped by a join with their counts, and a
+key that many share is cut into a grid of cells of bounded size. A cell compares all of its fingerprints exactly
+but emits only a spanning forest of their links, so no cell emits more rows than it holds.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import cache
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ._common import Scratch, table
+from .components import components
+
+WORDS, DISTANCE, SEED, CELL = 3, 3, 42, 1024
+SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, which generates the (23, 12) Golay code.
+GENERATOR = 0b110001110101
+
+
+def fingerprint(text: str, words: int = WORDS) -> int:
+    """64 bits; a bit is 1 if set in over half the shingles' XXH64. A text without words has fingerprint 0."""
+    w = text.encode().lower().split()  # of bytes: A-Z and the ASCII blanks only
+    if not w:
+        return 0
+    shingles = map(b" ".join, zip(*[w[i:] for i in range(words)], strict=False)) if len(w) >= words else [b" ".join(w)]
+    hashes = np.frombuffer(b"".join([xxhash.xxh64_digest(s, SEED) for s in shingles]), np.uint8).reshape(-1, 8)
+    ones = np.zeros(64, np.int64)
+    for lo in range(0, len(hashes), 4096):
+        ones += np.unpackbits(hashes[lo : lo + 4096], axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+
+
+def fingerprints(df: DataFrame, text_col: str = "text", carry: list[str] | None = None, words: int = WORDS) -> DataFrame:
+    """The carried columns (all by default) and fp, the fingerprint as a signed long. Null texts count as empty."""
+    kept = df.select(*(carry or df.columns), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    shape = T.StructType([*kept.schema.fields[:-1], T.StructField("fp", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([fingerprint(t, words) for t in b.column(b.num_columns - 1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps.view(np.int64))], names=[f.name for f in shape.fields])
+
+    return kept.mapInArrow(run, shape)
+
+
+@cache
+def _nearest() -> np.ndarray:
+    """The error pattern of each of the 2,048 syndromes: the code is perfect, so each has one of three bits at most."""
+    out = np.zeros(2048, np.uint32)
+    units = [_residue(1 << i) for i in range(23)]
+    for a in range(23):
+        out[units[a]] = 1 << a
+        for b in range(a):
+            out[units[a] ^ units[b]] = 1 << a | 1 << b
+            for c in range(b):
+                out[units[a] ^ units[b] ^ units[c]] = 1 << a | 1 << b | 1 << c
+    return out
+
+
+def _residue(word: int) -> int:
+    for i in range(22, 10, -1):
+        if word >> i & 1:
+            word ^= GENERATOR << (i - 11)
+    return word
+
+
+@cache
+def _residues() -> np.ndarray:
+    return np.array([[_residue(b << s) if b << s < 1 << 23 else 0 for b in range(256)] for s in (0, 8, 16)], np.uint32)
+
+
+def codeword_index(words: np.ndarray) -> np.ndarray:
+    """The 12 message bits of the codeword nearest to each 23-bit word."""
+    r = _residues()
+    syndrome = r[0][words & 255] ^ r[1][words >> 8 & 255] ^ r[2][words >> 16]
+    return (words ^ _nearest()[syndrome]) >> 11
+
+
+def keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, role, key) of every key of the fingerprints; role 0 is near on the first segment of a pair, 1 on the second."""
+    own, near = [], []
+    rows = np.arange(len(fps), dtype=np.int64)
+    for at, bits in SEGMENTS:
+        w = (fps >> np.uint64(at) & np.uint64((1 << bits) - 1)).astype(np.uint32)
+        own.append(codeword_index(w).astype(np.int64))
+        flips = np.array([0, *(1 << i for i in range(bits))], np.uint32)
+        pairs = np.unique((rows[:, None] << 12 | codeword_index(w[:, None] ^ flips[None, :]).astype(np.int64)).ravel())
+        near.append((pairs >> 12, pairs & 4095))
+    out = []
+    for n, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
+        out.append((near[i][0], np.zeros(len(near[i][0]), np.int8), n << 24 | near[i][1] << 12 | own[j][near[i][0]]))
+        out.append((near[j][0], np.ones(len(near[j][0]), np.int8), n << 24 | own[i][near[j][0]] << 12 | near[j][1]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def forest(fps: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
+    """A spanning forest (pairs of places) of the links among these fingerprints, each compared with those not yet reached."""
+    left, out = np.arange(len(fps)), []
+    while len(left):
+        front, left = [left[0]], left[1:]
+        while front and len(left):
+            a = front.pop()
+            hit = np.bitwise_count(fps[left] ^ fps[a]) <= distance
+            out += [(int(a), int(b)) for b in left[hit]]
+            front += list(left[hit])
+            left = left[~hit]
+    return out
+
+
+def _links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come sorted by cell; a cell may go on in the next frame."""
+    rest = None
+
+    def done(cell: np.ndarray, fps: np.ndarray) -> pd.DataFrame:
+        u, v = [], []
+        starts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(1)])
+        ends = np.r_[starts[1:], len(cell)]
+        two = starts[ends - starts == 2]
+        hit = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= DISTANCE]
+        u.append(fps[hit]), v.append(fps[hit + 1])
+        many = ends - starts > 2
+        for s, e in zip(starts[many], ends[many], strict=True):
+            own = np.unique(fps[s:e])
+            pairs = np.array(forest(own), np.int64).reshape(-1, 2).T
+            u.append(own[pairs[0]]), v.append(own[pairs[1]])
+        u, v = np.concatenate(u).view(np.int64), np.concatenate(v).view(np.int64)
+        f = pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v)})
+        return f[f["u"] != f["v"]].drop_duplicates()
+
+    for f in frames:
+        cell, fps = f[["key", "i", "j"]].to_numpy(np.int64), f["fp"].to_numpy(np.int64).view(np.uint64)
+        if rest is not None:
+            cell, fps = np.concatenate([rest[0], cell]), np.concatenate([rest[1], fps])
+        last = int(np.flatnonzero((cell != cell[-1]).any(1)).max(initial=-1)) + 1
+        rest = cell[last:], fps[last:]
+        if last:
+            yield done(cell[:last], fps[:last])
+    if rest is not None and len(rest[0]):
+        yield done(*rest)
+
+
+def links(distinct: DataFrame) -> DataFrame:
+    """Links (u, v) that join what three differing bits join, of a table of distinct fingerprints fp."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = b.column(0).to_numpy()
+            for lo in range(0, len(fps), 2000):
+                part = fps[lo : lo + 2000]
+                row, role, key = keys(part.view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(role), pa.array(part[row])], names=["key", "role", "fp"])
+
+    keyed = distinct.select("fp").mapInArrow(emit, "key int, role byte, fp long")
+    shared = (
+        keyed.groupBy("key")
+        .agg(F.sum(1 - F.col("role")).alias("a"), F.sum("role").alias("b"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
+        .filter("lo < hi").select("key", F.ceil(F.col("a") / CELL).alias("na"), F.ceil(F.col("b") / CELL).alias("nb"))
+    )
+    mine = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), (F.col(n) - 1).cast("int"))
+    cells = (
+        keyed.join(shared, "key")
+        .withColumn("i", F.explode(F.when(F.col("role") == 0, F.array(mine("na"))).otherwise(every("na"))))
+        .withColumn("j", F.explode(F.when(F.col("role") == 1, F.array(mine("nb"))).otherwise(every("nb"))))
+        .select("key", "i", "j", "fp")
+    )
+    return cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(_links, "u long, v long")
+
+
+def near_groups(prints: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """fp and component_id (the component's least id, null if all its ids are null) of every distinct fingerprint."""
+    scratch = Scratch(prints.sparkSession, "simhash")
+    distinct = scratch.write(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
+    roots = components(links(distinct))
+    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("comp"))
+    least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
+    return named.join(least, "comp").select("fp", "component_id")
+
+
+def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of df: id, fingerprint (16 hex digits) and component_id.
+
+    Null and wordless texts have fingerprint 0 and are linked like any other; equal fingerprints are always linked.
+    Null ids are no component's name unless a component has no other; repeated rows give repeated rows. An empty
+    table gives an empty result.
+    """
+    scratch = Scratch(df.sparkSession, "simhash-docs")
+    prints = scratch.write(fingerprints(df, text_col, [id_col]))
+    groups = near_groups(prints, id_col)
+    return prints.join(groups, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
