@@ -40,6 +40,9 @@ class Codec(dict):
         for tok, r in self.ranks.items():
             self.tokens[r] = tok
         self.split = regex.compile(pattern).findall
+        # the queue, empty between pre-tokens
+        self.buckets: list[list[int]] = [[] for _ in self.tokens]
+        self.words = [0] * (len(self.tokens) // 256 + 1)
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         ids = self.merge(piece.encode())
@@ -57,17 +60,12 @@ class Codec(dict):
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         pair: list[int | None] = [rank_of(piece[i : i + 2]) for i in range(n - 1)]
         pair.append(None)
-        buckets: dict[int, list[int]] = {}
-        words: dict[int, int] = {}
-        top = 0
+        buckets, words, top = self.buckets, self.words, 0
         for i, r in enumerate(pair):
             if r is not None:
-                if r in buckets:
-                    buckets[r].append(i)
-                else:
-                    buckets[r] = [i]
-                    words[r >> 8] = words.get(r >> 8, 0) | 1 << (r & 255)
-                    top |= 1 << (r >> 8)
+                buckets[r].append(i)
+                words[r >> 8] |= 1 << (r & 255)
+                top |= 1 << (r >> 8)
         while top:
             w = (top & -top).bit_length() - 1
             bits = words[w]
@@ -75,7 +73,6 @@ class Codec(dict):
             held = buckets[r]
             i = heappop(held)
             if not held:
-                del buckets[r]
                 words[w] = bits = bits & (bits - 1)
                 if not bits:
                     top &= top - 1
@@ -83,22 +80,23 @@ class Codec(dict):
                 continue
             j = after[i]
             k = after[i] = after[j]
-            pair[i] = pair[j] = None
-            changed = []
+            pair[j] = None
             if k < n:
                 before[k] = i
-                changed.append((i, piece[i : after[k]]))
-            if (h := before[i]) >= 0:
-                changed.append((h, piece[h:k]))
-            for at, both in changed:
-                pair[at] = q = rank_of(both)
+                pair[i] = q = rank_of(piece[i : after[k]])
                 if q is not None:
-                    if q in buckets:
-                        heappush(buckets[q], at)
-                    else:
-                        buckets[q] = [at]
-                        words[q >> 8] = words.get(q >> 8, 0) | 1 << (q & 255)
-                        top |= 1 << (q >> 8)
+                    heappush(buckets[q], i)
+                    words[q >> 8] |= 1 << (q & 255)
+                    top |= 1 << (q >> 8)
+            else:
+                pair[i] = None
+            h = before[i]
+            if h >= 0:
+                pair[h] = q = rank_of(piece[h:k])
+                if q is not None:
+                    heappush(buckets[q], h)
+                    words[q >> 8] |= 1 << (q & 255)
+                    top |= 1 << (q >> 8)
         out, i = [], 0
         while i < n:
             out.append(self.ranks[piece[i : after[i]]])
