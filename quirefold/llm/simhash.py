@@ -1,10 +1,12 @@
 """SimHash near-duplicates by Golay-code fuzzy hashing.
 
-The fingerprint is cut into segments of 22, 21 and 21 bits. At three differing bits or fewer, some two segments
-differ in one bit at most each (pigeonhole). A segment is hashed by the perfect binary Golay code: its own key is
-the index of the codeword nearest to it, and its near keys are those of all words one bit away (six codewords at
-most). For every pair of segments a fingerprint takes the near keys of one with the own key of the other, and the
-other way round; two fingerprints with one differing bit in each of the two then share a key in opposite roles.
+The fingerprint is cut into four segments of 16 bits. At three differing bits or fewer (pigeonhole) either two
+segments are equal, or one is equal and each of the others differs in one bit. In the first case the two segments
+are the key. In the second, a segment is hashed by the perfect binary Golay code: its own index is that of the
+codeword nearest to it (padded to 23 bits), its near ones are those of all words one bit away; the key is the
+equal segment with the near indices of one and the own index of another segment, or the other way round, and two
+fingerprints that differ in one bit in each of these share such a key in opposite roles. A key has 32 to 40 bits,
+so unrelated fingerprints seldom share one.
 
 Equal fingerprints are one node. Keys that only one fingerprint has are dropped by a join with their counts, and a
 key that many share is cut into a grid of cells of bounded size. A cell compares all of its fingerprints exactly
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -28,7 +31,7 @@ from ._common import Scratch, table
 from .components import components
 
 WORDS, DISTANCE, SEED, CELL = 3, 3, 42, 1024
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
+SEGMENT = 16
 #: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, which generates the (23, 12) Golay code.
 GENERATOR = 0b110001110101
 
@@ -93,19 +96,21 @@ def codeword_index(words: np.ndarray) -> np.ndarray:
 
 
 def keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, role, key) of every key of the fingerprints; role 0 is near on the first segment of a pair, 1 on the second."""
-    own, near = [], []
+    """(row, role, key) of every key of the fingerprints; equal segments have role 2, near and own indices 0, own and near ones 1."""
     rows = np.arange(len(fps), dtype=np.int64)
-    for at, bits in SEGMENTS:
-        w = (fps >> np.uint64(at) & np.uint64((1 << bits) - 1)).astype(np.uint32)
-        own.append(codeword_index(w).astype(np.int64))
-        flips = np.array([0, *(1 << i for i in range(bits))], np.uint32)
-        pairs = np.unique((rows[:, None] << 12 | codeword_index(w[:, None] ^ flips[None, :]).astype(np.int64)).ravel())
-        near.append((pairs >> 12, pairs & 4095))
+    seg = [(fps >> np.uint64(SEGMENT * i) & np.uint64(0xFFFF)).astype(np.uint32) for i in range(4)]
+    flips = np.array([0, *(1 << i for i in range(SEGMENT))], np.uint32)
+    own = [codeword_index(w).astype(np.int64) for w in seg]
+    near = [np.unique((rows[:, None] << 12 | codeword_index(w[:, None] ^ flips[None, :]).astype(np.int64)).ravel()) for w in seg]
     out = []
-    for n, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-        out.append((near[i][0], np.zeros(len(near[i][0]), np.int8), n << 24 | near[i][1] << 12 | own[j][near[i][0]]))
-        out.append((near[j][0], np.ones(len(near[j][0]), np.int8), n << 24 | own[i][near[j][0]] << 12 | near[j][1]))
+    for n, (i, j) in enumerate(combinations(range(4), 2)):
+        out.append((rows, np.full(len(rows), 2, np.int8), n << 40 | seg[i].astype(np.int64) << 16 | seg[j]))
+    for same in range(4):
+        i, j = [x for x in range(4) if x != same][:2]
+        for role, (x, y) in enumerate(((i, j), (j, i))):
+            row, index = near[x] >> 12, near[x] & 4095
+            both = (index << 12 | own[y][row]) if role == 0 else (own[y][row] << 12 | index)
+            out.append((row, np.full(len(row), role, np.int8), (6 + same) << 40 | seg[same].astype(np.int64)[row] << 24 | both))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -144,7 +149,7 @@ def _links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return f[f["u"] != f["v"]].drop_duplicates()
 
     for f in frames:
-        cell, fps = f[["key", "i", "j"]].to_numpy(np.int64), f["fp"].to_numpy(np.int64).view(np.uint64)
+        cell, fps = f[["key", "cell"]].to_numpy(np.int64), f["fp"].to_numpy(np.int64).view(np.uint64)
         if rest is not None:
             cell, fps = np.concatenate([rest[0], cell]), np.concatenate([rest[1], fps])
         last = int(np.flatnonzero((cell != cell[-1]).any(1)).max(initial=-1)) + 1
@@ -164,23 +169,22 @@ def links(distinct: DataFrame) -> DataFrame:
             for lo in range(0, len(fps), 2000):
                 part = fps[lo : lo + 2000]
                 row, role, key = keys(part.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(role), pa.array(part[row])], names=["key", "role", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(role), pa.array(part[row])], names=["key", "role", "fp"])
 
-    keyed = distinct.select("fp").mapInArrow(emit, "key int, role byte, fp long")
+    keyed = distinct.select("fp").mapInArrow(emit, "key long, role byte, fp long")
     shared = (
         keyed.groupBy("key")
-        .agg(F.sum(1 - F.col("role")).alias("a"), F.sum("role").alias("b"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
-        .filter("lo < hi").select("key", F.ceil(F.col("a") / CELL).alias("na"), F.ceil(F.col("b") / CELL).alias("nb"))
+        .agg(F.count_if(F.col("role") != 1).alias("a"), F.count_if(F.col("role") != 0).alias("b"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
+        .filter("lo < hi").select("key", F.ceil(F.col("a") / CELL).cast("int").alias("na"), F.ceil(F.col("b") / CELL).cast("int").alias("nb"))
     )
-    mine = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
-    every = lambda n: F.sequence(F.lit(0), (F.col(n) - 1).cast("int"))
+    # a grid of na x nb cells: rows of role 0 have a line of their own and go to all its cells, those of role 1 a column
+    line = F.expr("transform(sequence(0, nb - 1), j -> pmod(xxhash64(fp), na) * nb + j)")
+    column = F.expr("transform(sequence(0, na - 1), i -> i * nb + pmod(xxhash64(fp), nb))")
     cells = (
         keyed.join(shared, "key")
-        .withColumn("i", F.explode(F.when(F.col("role") == 0, F.array(mine("na"))).otherwise(every("na"))))
-        .withColumn("j", F.explode(F.when(F.col("role") == 1, F.array(mine("nb"))).otherwise(every("nb"))))
-        .select("key", "i", "j", "fp")
+        .select("key", F.explode(F.when(F.col("role") == 0, line).when(F.col("role") == 1, column).otherwise(F.array_union(line, column))).alias("cell"), "fp")
     )
-    return cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(_links, "u long, v long")
+    return cells.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInPandas(_links, "u long, v long")
 
 
 def near_groups(prints: DataFrame, id_col: str = "doc_id") -> DataFrame:
