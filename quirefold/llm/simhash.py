@@ -188,13 +188,14 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def near_groups(prints: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """fp and component_id (the component's least id, null if all its ids are null) of every distinct fingerprint."""
+    """fp, comp (a fingerprint of its component, the same for all of it) and component_id (the component's least id,
+    null if all its ids are null) of every distinct fingerprint."""
     scratch = Scratch(prints.sparkSession, "simhash")
     distinct = scratch.write(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
     roots = components(links(distinct))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("comp"))
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    return named.join(least, "comp").select("fp", "component_id")
+    return named.join(least, "comp").select("fp", "comp", "component_id")
 
 
 def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,5 +211,21 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return prints.join(groups, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df without near-duplicates: of each group the row with the least id stays, and one only.
+
+    All columns are kept, whatever their names. Rows with a null id come first; repeated rows count as one.
+    """
+    rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    prints = Scratch(df.sparkSession, "simhash-docs").write(fingerprints(rows, "text", ["id"]))
+    chosen = (
+        prints.join(near_groups(prints, "id"), "fp").groupBy("comp").agg(F.min(F.struct("id", "fp")).alias("best"))
+        .select(F.col("best.id").alias("best_id"), F.col("best.fp").alias("best_fp"))
+    )
+    both = fingerprints(rows, "text", ["row", "id"])
+    kept = both.join(chosen, (both["fp"] == chosen["best_fp"]) & both["id"].eqNullSafe(chosen["best_id"]))
+    return kept.dropDuplicates(["best_fp", "best_id"]).select("row.*")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
