@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from ._common import sub_batches, table
 
-UNIT, RESTART, BATCH_BYTES = 64, 8, 2_000_000
+UNIT, RESTART, BATCH_BYTES = 64, 8, 700_000
 #: (components, Ss, Se, Ah, Al) of the scans that are written.
 SCRIPT = (((0, 1, 2), 0, 0, 0, 1), ((0,), 1, 5, 0, 1), ((0,), 6, 63, 0, 1), ((1,), 1, 63, 0, 1), ((2,), 1, 63, 0, 1), ((0, 1, 2), 0, 0, 1, 0), ((0,), 1, 63, 1, 0), ((1,), 1, 63, 1, 0), ((2,), 1, 63, 1, 0))
 SAMPLING = ((2, 2), (1, 1), (1, 1))
@@ -47,7 +47,7 @@ class Huffman:
     """Canonical codes: by symbol for writing, by the next 16 bits for reading."""
 
     def __init__(self, by_length: list[list[int]]):
-        self.code, self.length = np.zeros(256, np.uint64), np.zeros(256, np.int64)
+        self.code, self.length = np.zeros(256, np.uint32), np.zeros(256, np.int32)
         self.next = np.zeros(1 << 16, np.int64)  # length << 8 | symbol
         code = 0
         for n, symbols in enumerate(by_length, 1):
@@ -133,27 +133,28 @@ def frame_for(blocks: int) -> Frame:
 def magnitude_bits(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(size, extra bits) of values."""
     size = BIT_LENGTH[np.abs(v)]
-    return size, np.where(v < 0, v + (1 << size) - 1, v).astype(np.uint64)
+    return size, np.where(v < 0, v + (1 << size) - 1, v).astype(np.uint32)
 
 
-BIT_LENGTH = np.array([i.bit_length() for i in range(4096)], np.int64)
+BIT_LENGTH = np.array([i.bit_length() for i in range(4096)], np.int32)
 
 
 def entropy(codes: np.ndarray, lengths: np.ndarray, per_lane: np.ndarray, lanes_per_part: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Codes as bytes, stuffed, with restart markers between the lanes of a part; and where each part starts."""
     ends = np.cumsum(per_lane)
-    at = np.concatenate([[0], np.cumsum(lengths)])
+    at = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths, out=at[1:])
     bits = at[ends] - at[ends - per_lane]
     size = bits + 7 >> 3
     base = np.cumsum(size) - size
     bit = at[:-1] + np.repeat(8 * base - at[ends - per_lane], per_lane)
     byte = bit >> 3
-    word = codes << (40 - lengths - (bit & 7)).astype(np.uint64)
+    word = codes << (32 - lengths - (bit & 7)).astype(np.uint32)  # no code is longer than 25 bits
     first = np.flatnonzero(np.concatenate([[True], byte[1:] != byte[:-1]]))
     word, byte = np.add.reduceat(word, first), byte[first]
     out = np.zeros(int(size.sum()) + 8, np.uint8)
-    for i in range(5):
-        out[byte + i] |= (word >> np.uint64(32 - 8 * i)).astype(np.uint8)
+    for i in range(4):
+        out[byte + i] |= (word >> np.uint32(24 - 8 * i)).astype(np.uint8)
     out[base + size - 1] |= ((1 << 8 * size - bits) - 1).astype(np.uint8)
     out = out[: int(size.sum())]
     # zeros after 255, and room for the markers
@@ -194,13 +195,13 @@ def write_dc_first(dc: np.ndarray, groups: list[np.ndarray], units: np.ndarray,
         diff[:, cols] = d.reshape(own.shape)
     size, extra = magnitude_bits(diff.ravel())
     t = tables()[0]
-    return entropy(t.code[size] << size.astype(np.uint64) | extra, t.length[size] + size, per * dc.shape[1], lanes)
+    return entropy(t.code[size] << size.astype(np.uint32) | extra, t.length[size] + size, per * dc.shape[1], lanes)
 
 
 def write_dc_refine(dc: np.ndarray, units: np.ndarray, al: int) -> tuple[bytes, np.ndarray]:
     per, lanes = lanes_of(units)
-    bits = (dc.ravel() >> al & 1).astype(np.uint64)
-    return entropy(bits, np.ones(len(bits), np.int64), per * dc.shape[1], lanes)
+    bits = (dc.ravel() >> al & 1).astype(np.uint32)
+    return entropy(bits, np.ones(len(bits), np.int32), per * dc.shape[1], lanes)
 
 
 def write_ac_first(band: np.ndarray, units: np.ndarray, al: int) -> tuple[bytes, np.ndarray]:
@@ -208,7 +209,8 @@ def write_ac_first(band: np.ndarray, units: np.ndarray, al: int) -> tuple[bytes,
     n, width = band.shape
     v = np.sign(band) * (np.abs(band) >> al)
     row, k = np.nonzero(v)
-    value = v[row, k].astype(np.int64)
+    value = v[row, k].astype(np.int32)
+    row, k = row.astype(np.int32), k.astype(np.int32)
     before = np.where(np.concatenate([[True], row[1:] != row[:-1]]), -1, np.concatenate([[-1], k[:-1]]))
     run = k - before - 1
     size, extra = magnitude_bits(value)
@@ -223,7 +225,7 @@ def write_ac_first(band: np.ndarray, units: np.ndarray, al: int) -> tuple[bytes,
     total = int(each.sum() + eob.sum())
     codes, lengths = np.full(total, t.code[0xF0]), np.full(total, t.length[0xF0])
     main = np.cumsum(each) - 1 + so_far[row]
-    codes[main] = t.code[symbol] << size.astype(np.uint64) | extra
+    codes[main] = t.code[symbol] << size.astype(np.uint32) | extra
     lengths[main] = t.length[symbol] + size
     end = (np.cumsum(in_row) + so_far)[eob]
     codes[end], lengths[end] = t.code[0], t.length[0]
@@ -250,7 +252,7 @@ def write_ac_refine(band: np.ndarray, units: np.ndarray, al: int) -> tuple[bytes
         ends[some, :width] = x | z & (since % 16 == 0) & (since > 0) & follows
         symbol[some, :width] = np.where(x, (since % 16) << 4 | 1, 0xF0)
         tail[some, :width] = x
-    sign = np.zeros((n, width + 1), np.uint64)
+    sign = np.zeros((n, width + 1), np.uint32)
     sign[:, :width] = new & (band > 0)
     last = np.where(some, width - 1 - np.argmax(ends[:, :width][:, ::-1], 1), -1)
     ends[:, width] = last < width - 1
@@ -261,13 +263,13 @@ def write_ac_refine(band: np.ndarray, units: np.ndarray, al: int) -> tuple[bytes
     start = np.concatenate([[0], stop[:-1] + 1])
     t = tables()[1]
     total = len(stop) + int(h.sum())
-    codes, lengths = np.zeros(total, np.uint64), np.ones(total, np.int64)
+    codes, lengths = np.zeros(total, np.uint32), np.ones(total, np.int32)
     slot = np.arange(len(stop)) + bits_before[start]
-    s, x = symbol.ravel()[stop], tail.ravel()[stop].astype(np.int64)
-    codes[slot] = t.code[s] << x.astype(np.uint64) | sign.ravel()[stop]
-    lengths[slot] = t.length[s] + x
+    s, x = symbol.ravel()[stop], tail.ravel()[stop].astype(np.uint32)
+    codes[slot] = t.code[s] << x | sign.ravel()[stop]
+    lengths[slot] = t.length[s] + x.astype(np.int32)
     bit = np.flatnonzero(h)
-    codes[span[bit] + 1 + bits_before[bit]] = (size.ravel() & 1)[(bit // (width + 1)) * width + bit % (width + 1)].astype(np.uint64)
+    codes[span[bit] + 1 + bits_before[bit]] = (size.ravel() & 1)[(bit // (width + 1)) * width + bit % (width + 1)].astype(np.uint32)
     return entropy(codes, lengths, np.add.reduceat(ends.sum(1) + held.sum(1), np.cumsum(per) - per), lanes)
 
 
