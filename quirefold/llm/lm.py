@@ -63,6 +63,19 @@ def unplanes(b: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def narrow(a: np.ndarray) -> bytes:
+    """Numbers from 0 in as few bytes as the largest needs, planes apart."""
+    width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(a.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def wide(b: bytes) -> np.ndarray:
+    part = np.frombuffer(b, np.uint8, offset=1).reshape(b[0], -1)
+    full = np.zeros((part.shape[1], 8), np.uint8)
+    full[:, : b[0]] = part.T
+    return full.view("<i8").ravel()
+
+
 def packed(sorted_hashes: np.ndarray) -> bytes:
     """Sorted hashes as differences of as few bytes as the largest needs."""
     d = np.diff(sorted_hashes, prepend=np.uint64(0))
@@ -152,7 +165,8 @@ def written_parts(df: DataFrame, id_col: str, text_col: str, train: Column) -> D
 
 
 def totals(parts: DataFrame, bits: int) -> DataFrame:
-    """Answers (part, kind, hashes, counts) for what a part could not count by itself; with a null part, hashes' number of distinct training words."""
+    """Answers (part, kind, bucket, which, counts): which of the hashes that the part sent to the bucket have other
+    totals than the part's own counts, and these totals. With a null part: how many words of the bucket are in training."""
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -181,9 +195,9 @@ def totals(parts: DataFrame, bits: int) -> DataFrame:
                 lo += len(h)
                 differ = np.flatnonzero(s != n)
                 if len(differ):
-                    yield pd.DataFrame([{"part": r.part, "kind": r.kind, "hashes": packed(h[differ]), "counts": s[differ].tobytes(), "distinct": 0}])
+                    yield pd.DataFrame([{"part": r.part, "kind": r.kind, "bucket": r.bucket, "which": np.packbits(s != n).tobytes(), "counts": narrow(s[differ]), "distinct": 0}])
             if rows[0].kind == WORDS:
-                yield pd.DataFrame([{"part": None, "kind": WORDS, "hashes": None, "counts": None, "distinct": int((sums > 0).sum())}])
+                yield pd.DataFrame([{"part": None, "kind": WORDS, "bucket": r.bucket, "which": None, "counts": None, "distinct": int((sums > 0).sum())}])
 
         for f in frames:
             for r in f.itertuples():
@@ -196,23 +210,26 @@ def totals(parts: DataFrame, bits: int) -> DataFrame:
             yield from summed()
 
     asked = parts.select("part", "vocab", "seq", "sizes", "train").mapInPandas(ask, "bucket long, kind int, part string, hashes binary, counts binary")
-    return asked.repartition("bucket", "kind").sortWithinPartitions("bucket", "kind", "part").mapInPandas(answer, "part string, kind int, hashes binary, counts binary, distinct long")
+    return asked.repartition("bucket", "kind").sortWithinPartitions("bucket", "kind", "part").mapInPandas(answer, "part string, kind int, bucket long, which binary, counts binary, distinct long")
 
 
 class Automaton:
     """The states and arcs that the texts of one part can reach."""
 
-    def __init__(self, part: Part, answers, n: int, v: int, mu: float = MU):
+    def __init__(self, part: Part, answers, bits: int, n: int, v: int, mu: float = MU):
         self.part = part
         order = np.argsort(part.words)
         self.words = part.own_words()
         pairs, self.pairs, self.at = part.own_pairs()
-        for kind, hashes, counts in answers:
-            h, c = unpacked(hashes), np.frombuffer(counts, np.int64)
+        words = part.words[order]
+        for kind, bucket, which, counts in answers:
+            sent = words if kind == WORDS else pairs
+            first = int(np.searchsorted(sent, np.uint64(bucket << (64 - bits)))) if bits else 0
+            at = first + np.flatnonzero(np.unpackbits(np.frombuffer(which, np.uint8)))
             if kind == WORDS:
-                self.words[order[np.searchsorted(part.words, h, sorter=order)]] = c
+                self.words[order[at]] = wide(counts)
             else:
-                self.pairs[np.searchsorted(pairs, h)] = c
+                self.pairs[at] = wide(counts)
         p = (self.words + ADD) / (n + ADD * (v + 1))
         self.root = np.log10(p)  # arcs of the empty history
         self.failure = np.log10(mu / (self.words + mu))  # of each token's state
@@ -249,12 +266,12 @@ def score_documents(df: DataFrame, train: Column, id_col: str = "doc_id", text_c
             return pd.DataFrame(columns=columns)
         row = left.iloc[0]
         part = Part(row["vocab"], row["seq"], row["sizes"], row["train"])
-        got = Automaton(part, zip(right["kind"], right["hashes"], right["counts"], strict=True), n, v, mu).scores()
+        got = Automaton(part, zip(right["kind"], right["bucket"], right["which"], right["counts"], strict=True), bits, n, v, mu).scores()
         return pd.DataFrame({"id": pd.Series(list(row["ids"]), dtype=object), "trained": row["train"], **got, "train_tokens": n})[columns]
 
     columns = ["id", "trained", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     shape = f"id {id_type}, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scored = parts.groupBy("part").cogroup(answers.filter("part is not null").select("part", "kind", "hashes", "counts").groupBy("part")).applyInPandas(run, shape)
+    scored = parts.groupBy("part").cogroup(answers.filter("part is not null").select("part", "kind", "bucket", "which", "counts").groupBy("part")).applyInPandas(run, shape)
     return scored.withColumnRenamed("id", id_col)
 
 
