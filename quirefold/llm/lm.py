@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ._common import Scratch, remainder, table
 
 MU, ADD = 10.0, 0.1
-PART, PER_BUCKET = 2_000_000, 1_000_000
+PART, PER_BUCKET = 1_500_000, 1_000_000
 END = np.uint64(0x5851F42D4C957F2D)
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 WORDS, PAIRS = 0, 1
@@ -40,7 +40,7 @@ class Hashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word, 7)
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = h
         return h

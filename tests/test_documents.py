@@ -1,0 +1,87 @@
+import json
+
+import pytest
+
+from quirefold.functions.canonical import number_text
+from quirefold.operators import invariants
+from quirefold.sources import decode as D
+
+from .fixtures import block, changed, document
+
+
+def put(path, value):
+    def change(doc):
+        at = doc
+        for k in path[:-1]:
+            at = at[k]
+        at[path[-1]] = value
+
+    return change
+
+
+SHAPES = [
+    (put(["extra"], 1), "UNKNOWN_FIELD", "$.extra"),
+    (put(["blocks", 0, "attributes", "level"], 7), "ATTRIBUTE", "$.blocks[0].attributes.level"),
+    (put(["blocks", 1, "inline", 0, "end"], 99), "RANGE", "$.blocks[1].inline[0]"),
+    (put(["blocks", 1, "id"], "sk-abcdefgh1"), "IDENTIFIER", "$.blocks[1].id"),
+    (put(["blocks", 1, "evidence", "confidence"], 1.5), "RANGE", "$.blocks[1].evidence.confidence"),
+    (put(["blocks", 1, "evidence", "boxes", 0, "x"], -0.0), "NUMBER", "$.blocks[1].evidence.boxes[0].x"),
+    (put(["blocks", 2, "id"], "b-1"), "DUPLICATE_IDENTIFIER", "$.blocks"),
+    (put(["metadata", "language"], "en-x-"), "LANGUAGE", "$.metadata.language"),
+    (put(["metadata", "publicationDate"], "2026-02-30"), "DATE", "$.metadata.publicationDate"),
+    (put(["relationships", 0, "to"], ["http://a.example"]), "REFERENCE", "$.relationships[0].to[0]"),
+    (put(["schemaVersion"], "0.3.0"), "SCHEMA_VERSION", "$.schemaVersion"),
+]
+
+
+@pytest.mark.parametrize(("change", "code", "path"), SHAPES)
+def test_shape(change, code, path):
+    doc = document()
+    change(doc)
+    assert D.decode_one(json.dumps(doc))[1:] == (code, path)
+
+
+def test_scalars():
+    assert D.decode_one(json.dumps(document()))[1] is None
+    assert D.decode_one(None)[1] == D.decode_one("")[1] == "JSON"
+    assert [number_text(x) for x in (1e21, 1e-7, 1e16, 0.000001, -0.0)] == ["1e+21", "1e-7", "10000000000000000", "0.000001", "0"]
+    assert [D.is_canonical_url(u) for u in ("https://a.example/", "https://a.example", "http://a.example:80/", "https://A.example/", "https://a.example/../b", "mailto:x@a.example", "ftp://a/")] == [True, False, False, False, False, True, False]
+    asset = {"id": "a", "kind": "figure", "href": "x.png", "mediaType": "image/png", "sha256": "c" * 64, "width": 1, "height": 1, "sourceObjectIds": [], "evidence": {"confidence": 1, "pages": [], "boxes": [], "sourceIds": []}, "fallback": "asset"}
+    for change, code in (({"bytes": "AR=="}, "BYTES"), ({"bytes": "AQ=="}, "BYTES_HASH"), ({"href": "../x"}, "HREF"), ({"mediaType": "a/*"}, "MIME"), ({"width": 0}, "RANGE")):
+        doc = document()
+        doc["assets"] = [asset | change]
+        assert D.decode_one(json.dumps(doc))[1] == code
+
+
+CASES = [
+    (None, True, None, None),
+    (lambda d: d["blocks"].append(block(4)), True, "PAGE_BINDING", "$.blocks[4].page"),
+    (put(["receipt", "blockCount"], 9), False, "COUNT", "$.receipt"),
+    (put(["receipt", "generatedSha256"], "0" * 64), False, "DIGEST", "$.receipt.generatedSha256"),
+    (put(["receipt", "sourceSha256"], "0" * 64), False, "BINDING", "$.receipt.sourceSha256"),
+    (put(["receipt", "conservation", "accountedSourceNodeCount"], 1), False, "CONSERVATION", "$.receipt.conservation.accountedSourceNodeCount"),
+    (put(["relationships", 0, "from"], "nope"), True, "REFERENCE", "$.relationships[0].from"),
+    (put(["relationships", 0, "to"], ["#nope"]), True, "REFERENCE", "$.relationships[0].to[0]"),
+    (put(["blocks", 1, "inline", 1, "href"], "#nope"), True, "REFERENCE", "$.blocks[1].inline[1].href"),
+    (put(["blocks", 1, "inline", 1, "relationshipId"], "nope"), True, "REFERENCE", "$.blocks[1].inline[1].relationshipId"),
+    (put(["blocks", 1, "fallbackAssetIds"], ["nope"]), True, "REFERENCE", "$.blocks[1].fallbackAssetIds[0]"),
+    (put(["diagnostics", 0, "id"], "b-1"), True, "DUPLICATE_IDENTIFIER", "$.diagnostics"),
+    (put(["metadata", "authors"], ["Ann", "Ann"]), True, "DUPLICATE_IDENTIFIER", "$.metadata.authors"),
+    (put(["metadata", "authorNotes"], [{"id": "r-1", "author": "Ann", "label": "1", "target": "b-2"}]), True, None, None),
+    (put(["metadata", "authorNotes"], [{"id": "r-1", "author": "Ann", "label": "1", "target": "b-1"}]), True, "DUPLICATE_IDENTIFIER", "$.metadata.authorNotes[0].id"),
+    (put(["metadata", "authorNotes"], [{"id": "n", "author": "Bob", "label": "1", "target": "b-1"}]), True, "REFERENCE", "$.metadata.authorNotes[0].author"),
+    (put(["pages", 0, "columns", 0, "side"], "left"), True, "PAGE_BINDING", "$.pages[0].columns[0].blockIds[0]"),
+    (put(["pages", 0, "blocks"], ["b-0"]), True, "PAGE_BINDING", "$.pages[0]"),
+    (put(["diagnostics", 0, "pages"], [2]), True, "PAGE_BINDING", "$.diagnostics[0].pages[0]"),
+    (put(["blocks", 1, "evidence", "boxes", 0, "page"], 2), True, "PAGE_BINDING", "$.blocks[1].evidence.boxes[0].page"),
+    (lambda d: d["receipt"]["conservation"].pop("sourceFurnitureBlockCount"), False, "CONSERVATION", "$.receipt.conservation"),
+]
+
+
+def test_invariants(spark):
+    rows = [(i, json.dumps(changed(c, seal) if c else document())) for i, (c, seal, *_) in enumerate(CASES)] + [(99, "{")]
+    decoded = D.decode(spark.createDataFrame(rows, "doc_key long, raw string")).cache()
+    got = {r.doc_key: (r.code, r.path) for r in invariants.verdicts(decoded, D.tables(decoded)).collect()}
+    for i, (_, _, code, path) in enumerate(CASES):
+        assert got[i] == (code, path), i
+    assert got[99] == ("JSON", "$")
