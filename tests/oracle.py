@@ -1,0 +1,24 @@
+"""A query's rows against its SQL's, as unordered sets of rows by column name."""
+
+import glob
+import os
+from collections import Counter
+
+import duckdb
+
+DATA = "/root/testdata/sf0.001"
+
+
+def rows(df):
+    cols = sorted(df.columns)
+    return cols, Counter(tuple(r[c] for c in cols) for r in df.collect())
+
+
+def expected(sql, data=DATA):
+    c = duckdb.connect()
+    for f in glob.glob(f"{data}/*.parquet"):
+        c.execute(f"CREATE VIEW {os.path.basename(f).split('.')[0]} AS SELECT * FROM '{f}'")
+    got = c.execute(sql)
+    names = [d[0] for d in got.description]
+    order = sorted(names)
+    return order, Counter(tuple(r[names.index(n)] for n in order) for r in got.fetchall())

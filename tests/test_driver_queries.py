@@ -1,0 +1,16 @@
+import pytest
+
+from quirefold.plans.driver_queries import ORACLES, QUERIES
+
+from .oracle import DATA, expected, rows
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_query(spark, name):
+    assert rows(QUERIES[name](spark, DATA)) == expected(ORACLES[name])
+
+
+def test_entry(spark):
+    import __spark_entry__ as e
+
+    assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
