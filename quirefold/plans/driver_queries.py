@@ -18,6 +18,7 @@ from ..functions.text import SAFE_ID_FORMAT, escape_attribute, escape_text, lega
 from ..operators import invariants, ordering, reading, recovery
 from ..sources import decode as codec
 from ..sources import schema as S
+from ..sources.store import stored
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -179,7 +180,7 @@ def graphs(spark, sf_dir) -> DataFrame:
 
 def decoded_graphs(spark, sf_dir):
     """Documents as graphs, decoded and checked: the verdict, blocks and text units of each."""
-    decoded = codec.decode(graphs(spark, sf_dir))
+    decoded = stored(codec.decode(graphs(spark, sf_dir)), "decoded")  # many checks read it
     t = codec.tables(decoded)
     held = t["blocks"].groupBy("doc_key").agg(F.count("*").alias("blocks"), F.sum(utf16_length(F.col("text"))).alias("units"))
     return invariants.verdicts(decoded, t).join(held, "doc_key", "left").select(F.col("doc_key").alias("doc_id"), F.coalesce("code", F.lit("valid")).alias("verdict"), "blocks", "units")
