@@ -1,0 +1,26 @@
+import pytest
+
+#: doc_id, text, and columns whose names clash with those that the operators add.
+ROWS = [
+    (1, "The quick brown fox jumps over the lazy dog.", "en", 5),
+    (2, "The quick brown fox jumps over the lazy dog.", "en", 6),
+    (2, "The quick brown fox jumps over the lazy dog.", "en", 6),
+    (3, None, None, None),
+    (4, "", "en", 0),
+    (5, "Der schnelle braune Fuchs springt. Schreib an max@web.example.com oder +1 (017) 555-7713.", "de", 1),
+    (6, "x" * 70_000 + " " + "word " * 9_000, "en", 2),
+    (None, "a row without an id", "en", 3),
+    (7, "\U0001f642 ünï\tcode\nİstanbul 12345 \x85 end", None, 4),
+    (8, "12345 !!!", "en", 4),
+]
+SCHEMA = "doc_id long, text string, lang string, fp long, score double, row string, entities string, n_chars long"
+
+
+@pytest.fixture(scope="session")
+def docs(spark):
+    return spark.createDataFrame([(i, t, lang, k, 0.5, "r", "e", len(t or "")) for i, t, lang, k in ROWS], SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="session")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)

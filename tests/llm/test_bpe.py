@@ -1,0 +1,44 @@
+import base64
+import hashlib
+
+import public_tokenizers as P
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from quirefold.llm import bpe as m
+
+from ..oracle import DATA
+from .conftest import ROWS
+
+PATH = P.path("byte_bpe_multi_50k.tiktoken")
+with open(PATH, "rb") as f:
+    RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+THEIRS = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(st.characters(exclude_categories=["Cs"]), max_size=60), st.text("abc ", max_size=200)))
+def test_as_the_library(text):
+    c = m.codec(PATH)
+    ids = c.encode(text)
+    assert ids == THEIRS.encode_ordinary(text) and c.decode(ids) == text.encode()
+
+
+def test_long_pre_tokens():
+    for text in ("a" * 60_000, "ab" * 20_000, " " * 30_000 + "x"):
+        assert m.codec(PATH).encode(text) == THEIRS.encode_ordinary(text)
+
+
+def test_rows(docs, none):
+    got = m.bpe_decode(m.bpe_encode(docs, PATH), PATH).collect()
+    assert sorted(bytes(r.decoded) for r in got) == sorted((r[1] or "").encode() for r in ROWS)
+    assert m.bpe_encode(none, PATH).collect() == []
+
+
+def test_query(spark):
+    texts = dict(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect())
+    for r in m.op2_bpe(spark, DATA).collect():
+        ids = THEIRS.encode_ordinary(texts[r.doc_id])
+        want = hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), want, hashlib.sha256(texts[r.doc_id].encode()).hexdigest())

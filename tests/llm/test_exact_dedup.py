@@ -1,0 +1,41 @@
+import hashlib
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from quirefold.llm import exact_dedup as m
+
+from ..oracle import DATA, expected, rows
+from .conftest import ROWS
+
+
+def brute(pairs):
+    groups = {}
+    for n, (i, t) in enumerate(pairs):
+        groups.setdefault(t or "", []).append((i is not None, i or 0, n))
+    return {t: (max(g)[1] if max(g)[0] else None, len(g)) for t, g in groups.items()}
+
+
+def check(got, pairs):
+    groups = brute(pairs)
+    assert len(got) == len(pairs)
+    by_sha = {hashlib.sha256(t.encode()).hexdigest(): v for t, v in groups.items()}
+    assert all((r.keep_id, r.group_size) == by_sha[r.text_sha256] for r in got)
+    assert sum(r.kept for r in got) == len(groups) and all(r.keep_id == r.doc_id for r in got if r.kept)
+
+
+def test_odd_rows(docs, none):
+    check(m.exact_dedup(docs).collect(), [r[:2] for r in ROWS])
+    assert m.exact_dedup(none).collect() == []
+    kept = m.exact_dedup(docs, carry=docs.columns)
+    assert kept.columns == [*docs.columns, "keep_id", "group_size", "kept", "text_sha256"]
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(0, 9), st.sampled_from(["", "a", "b", None, "a" * 64, "a" * 65, "a" * 576, "a" * 577, "a" * 576 + "b", "a" * 5000, "a" * 5000 + "c"])), min_size=1, max_size=40))
+def test_shared_prefixes(spark, pairs):
+    check(m.exact_dedup(spark.createDataFrame(pairs, "doc_id long, text string")).collect(), pairs)
+
+
+def test_query(spark):
+    assert rows(m.op5_exact_dedup(spark, DATA)) == expected(m.SQL)

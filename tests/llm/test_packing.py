@@ -1,0 +1,76 @@
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers as P
+from tokenizers import Tokenizer
+
+from quirefold.llm import packing as m
+
+from ..oracle import DATA
+from .conftest import ROWS
+
+PATH = P.path("byte_bpe_50k.json")
+
+
+def check(got, texts):
+    """texts: (id, text) of every row; ids by the tokenizers library itself."""
+    slow = Tokenizer.from_file(PATH)
+    slow.encode_special_tokens = True
+    want, have, bins = [], [], defaultdict(list)
+    for i, t in texts:
+        ids = np.array([*slow.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        first = len(ids) % 2048 if len(ids) > 2048 else len(ids)
+        starts = [0, *range(first or 2048, len(ids), 2048)] if len(ids) > 2048 else [0]
+        for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
+            want.append((i or -1, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
+    for r in got:
+        have.append((r.doc_id or -1, r.piece, r.start, r.length, r.ids_crc32))
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert sorted(want) == sorted(have)
+    for held in bins.values():
+        held.sort()
+        assert [o for o, _ in held] == [sum(n for _, n in held[:k]) for k in range(len(held))] and sum(n for _, n in held) <= 2048
+    return len(bins), sum(w[3] for w in want)
+
+
+def test_odd_rows(docs, none):
+    check(m.pack(docs, PATH).collect(), [r[:2] for r in ROWS])
+    assert m.pack(none, PATH).collect() == []
+    ids = m.pack(docs.filter("doc_id = 1"), PATH, with_ids=True).first()
+    assert ids.ids[-1] == m.END_ID and len(ids.ids) == ids.length
+
+
+def test_query(spark):
+    texts = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+    bins, tokens = check(m.op1_best_fit_packing(spark, DATA).collect(), texts)
+    assert bins <= -(-tokens // 2048) * 1.05 + 8  # one task's last sequences are seldom full
+
+
+def test_best_fit_bounded():
+    rnd = random.Random(3)
+    for open_bins in (1, 3, 50):
+        fit, free, made = m.BestFit(100, open_bins), {}, 0
+        for _ in range(2000):
+            n = rnd.randint(1, 100)
+            k, offset = fit.place(n)
+            # brute force: the tightest open bin, else a new one in place of the fullest
+            able = [b for b in free if free[b] >= n]
+            if able:
+                assert free[k] == min(free[b] for b in able)
+            else:
+                assert k == made
+                made += 1
+                if len(free) >= open_bins:
+                    tight = min(free.values())
+                    gone = [b for b in free if free[b] == tight]
+                    free.pop(max(gone))
+                free[k] = 100
+            assert offset == 100 - free[k]
+            free[k] -= n
+            if not free[k]:
+                del free[k]
+            # which of equally full bins closes is free; keep to the operator's
+            free = {b: r for r, held in enumerate(fit.bins) for b in held}
+            assert len(free) <= open_bins

@@ -1,0 +1,89 @@
+import re
+
+import numpy as np
+import xxhash
+
+from quirefold.llm import simhash as m
+from quirefold.llm.components import components
+
+from ..oracle import DATA
+from .conftest import ROWS
+
+
+def slow(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def grouped(rows):
+    """Least id by brute force, for (id, fingerprint)."""
+    fps = sorted({f for _, f in rows})
+    root = {f: f for f in fps}
+    for a in fps:
+        for b in fps:
+            if a < b and bin(a ^ b).count("1") <= 3 and root[a] != root[b]:
+                lo, hi = sorted((root[a], root[b]))
+                root = {f: lo if r == hi else r for f, r in root.items()}
+    ids = {}
+    for i, f in rows:
+        ids.setdefault(root[f], []).append(i)
+    least = {r: min((x for x in v if x is not None), default=None) for r, v in ids.items()}
+    return sorted(((i, f"{f:016x}", least[root[f]]) for i, f in rows), key=str)
+
+
+def test_keys_meet():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 2**64, 1500, dtype=np.uint64)
+    b = a.copy()
+    for i in range(len(b)):
+        for bit in rng.choice(64, i % 4, replace=False):
+            b[i] ^= np.uint64(1 << int(bit))
+    held = [{}, {}]
+    for n, fps in enumerate((a, b)):
+        for r, o, k in zip(*m.keys(fps), strict=True):
+            held[n].setdefault(int(r), set()).add((int(o), int(k)))
+    assert all(any(((o if o == 2 else 1 - o), k) in held[1][i] for o, k in held[0][i]) for i in range(len(a)))
+
+
+def test_forest_is_exact():
+    rng = np.random.default_rng(2)
+    fps = np.unique(rng.integers(0, 2**12, 150, dtype=np.uint64))
+    root = list(range(len(fps)))
+    for i, j in m.forest(fps):
+        assert bin(int(fps[i] ^ fps[j])).count("1") <= 3
+        lo, hi = sorted((root[i], root[j]))
+        root = [lo if r == hi else r for r in root]
+    assert len(set(root)) == len({r for *_, r in grouped([(k, int(f)) for k, f in enumerate(fps)])})
+
+
+def test_crowded_cells(spark, monkeypatch):
+    monkeypatch.setattr(m, "CELL", 8)  # the grid of cells comes into play
+    rng = np.random.default_rng(3)
+    centre = int(rng.integers(0, 2**63))
+    fps = sorted({centre ^ sum(1 << int(x) for x in rng.choice(64, n % 6, replace=False)) for n in range(400)})
+    rows = [(k, f) for k, f in enumerate(fps)]
+    signed = [(k, f - 2**64 if f >> 63 else f) for k, f in rows]
+    got = m.near_groups(spark.createDataFrame(signed, "doc_id long, fp long")).collect()
+    assert sorted(((r.component_id) for r in got), key=str) == sorted((x[2] for x in grouped(rows)), key=str)
+
+
+def test_rows(docs, none):
+    want = grouped([(r[0], slow(r[1])) for r in ROWS])
+    assert sorted((tuple(r) for r in m.simhash_groups(docs).collect()), key=str) == want
+    assert m.simhash_groups(none).collect() == []
+    kept = m.near_dedup(docs)
+    assert kept.columns == docs.columns and kept.count() == len({w[2] for w in want if w[2] is not None}) + sum(w[2] is None for w in want)
+
+
+def test_query(spark):
+    docs = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+    assert sorted((tuple(r) for r in m.op8_simhash(spark, DATA).collect()), key=str) == grouped([(i, slow(t)) for i, t in docs])
+
+
+def test_components_of_a_chain(spark):
+    links = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)]
+    got = dict(map(tuple, components(spark.createDataFrame(links, "u long, v long")).collect()))
+    assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+    assert components(spark.createDataFrame([], "u long, v long")).collect() == []
