@@ -1,0 +1,33 @@
+import corpus_pipeline as c
+from quirefold.llm import pii, simhash, toxicity
+
+from .conftest import ROWS
+from .test_packing import check
+from .test_simhash import grouped, slow
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_against_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").filter("crc32(cast(doc_id as string)) % 3 <> 1")
+    model = toxicity.learn(docs, labels)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    rows = [(i, t) for i, t in rows if model.probability(model.evidence(*model.passages(t, {}))) < 0.7]
+    last = {t: max(i for i, u in rows if u == t) for _, t in rows}
+    rows = [(i, t) for i, t in rows if last[t] == i]
+    keep = {x[2] for x in grouped([(i, slow(t)) for i, t in rows])}
+    rows = [(i, t) for i, t in rows if i in keep]
+    rows = [(i, pii._rewritten(t, lambda k, v: pii.surrogate(k, v, 0))[0]) for i, t in rows]
+    check(c.run(spark, DATA).collect(), rows)
+
+
+def test_stages(docs, none):
+    assert [n for n, _ in c.STAGES] == ["toxicity", "exact_dedup", "simhash_near_dedup", "pii", "best_fit_packing"] and c.ORACLE_SQL is None
+    spark = docs.sparkSession
+    for name, stage in c.STAGES[:-1]:
+        assert stage(spark, none, DATA).count() == 0, name
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns and out.count() <= len(ROWS), name
+    assert c.STAGES[1][1](spark, docs, DATA).count() == len({r[1] or "" for r in ROWS})
+    assert c.STAGES[2][1](spark, docs, DATA).count() == len({simhash.fingerprint(r[1] or "") for r in ROWS})
