@@ -16,12 +16,13 @@ def block(i, kind="paragraph", text="Some text", **more):
     return {"id": f"b-{i}", "kind": kind, "text": text, "page": 1, "order": i, "column": "single", "inline": [], "evidence": evidence()} | more
 
 
-def sealed(doc):
+def sealed(doc, **counters):
     """The document with counters and digest that fit it."""
     units = sum(len(b["text"].encode("utf-16-le")) // 2 for b in doc["blocks"])
     furniture = [b for b in doc["blocks"] if b["kind"] == "furniture"]
     n = {"Block": len(doc["blocks"]), "Asset": len(doc["assets"]), "Relationship": len(doc["relationships"]), "Diagnostic": len(doc["diagnostics"]), "TextCharacter": units}
     c = dict.fromkeys(S.COUNTERS.split(), 0) | {f"struct{k}Count": v for k, v in n.items()} | {"sourceTextCharacterCount": units}
+    c |= counters
     for k in ("Asset", "Relationship", "Diagnostic"):
         c[f"source{k}Count"] = c[f"accountedSource{k}Count"] = n[k]
     if furniture:
