@@ -1,0 +1,90 @@
+import hashlib
+import json
+
+import pytest
+
+from quirefold.functions.canonical import canonical
+from quirefold.renderers import xhtml
+from quirefold.sources import bundle as B
+from quirefold.sources import decode as D
+
+from .fixtures import sealed
+from .test_renderers import golden
+
+
+def decoded(name="assets-links"):
+    return D.decode_one(json.dumps(golden(name)))[0]
+
+
+def refused(make):
+    with pytest.raises(B.Refused) as e:
+        make()
+    return e.value.stage, e.value.code
+
+
+def changed(change):
+    e = json.loads(B.create(decoded()))
+    change(e)
+    return canonical(e).encode()
+
+
+def test_round_trip():
+    doc = decoded()
+    raw = B.create(doc)
+    assert B.verify(raw, hashlib.sha256(raw).hexdigest())["external"] == []
+    assert hashlib.sha256(B.resolved(raw, {})["s04-asset-figure"]).hexdigest() == doc["assets"][0]["sha256"]
+    out = B.create(doc, frozenset({"s04-asset-figure"}))
+    assert B.verify(out)["external"] == ["s04-asset-figure"]
+    assert refused(lambda: B.resolved(out, {})) == ("assets", "UNRESOLVED")
+    assert refused(lambda: B.resolved(out, {"s04-asset-figure": b"no"})) == ("resolve", "LENGTH")
+    assert refused(lambda: B.resolved(out, {"s04-asset-figure": bytes(12)})) == ("resolve", "DIGEST")
+
+
+def test_refusals():
+    raw = B.create(decoded())
+    assert refused(lambda: B.verify(raw, "0" * 64)) == ("digest", "MISMATCH")
+    assert refused(lambda: B.verify(bytes(B.RAW + 1))) == ("input", "LIMIT")
+    assert refused(lambda: B.verify(b"{")) == ("canonical", "SYNTAX")
+    assert refused(lambda: B.verify(b" " + raw)) == ("canonical", "NONCANONICAL")
+    assert refused(lambda: B.verify(changed(lambda e: e.update(extra=1)))) == ("canonical", "TYPE")
+    assert refused(lambda: B.verify(changed(lambda e: e.update(documentSha256="0" * 64)))) == ("canonical", "TYPE")
+    assert refused(lambda: B.verify(changed(lambda e: e.update(assets=[])))) == ("assets", "SET")
+    assert refused(lambda: B.verify(changed(lambda e: e["assets"][0].update(mediaType="a/b")))) == ("assets", "METADATA")
+    assert refused(lambda: B.verify(changed(lambda e: e["assets"][0]["payload"].update(base64="AR==")))) == ("assets", "BASE64")
+    assert refused(lambda: B.verify(changed(lambda e: e["assets"][0]["payload"].update(base64="AAAAAAAAAAAAAAAA")))) == ("assets", "DIGEST")
+    assert refused(lambda: B.verify(changed(lambda e: e["assets"][0].update(byteLength=B.ASSET_BYTES + 1)))) == ("assets", "LIMIT")
+
+
+def test_tables(spark):
+    rows = [(n, json.dumps(golden(n))) for n in ("typography", "assets-links", "order")]
+    out = B.bundled(D.decode(spark.createDataFrame(rows, "doc_key string, raw string"))).cache()
+    got = {r.doc_key: r for r in B.verified(out, expected="bundle_sha256").collect()}
+    assert all(r.stage is None and r.document for r in got.values()) and len(got) == 3
+    other = B.verified(out.selectExpr("doc_key", "bundle", "repeat('0', 64) as want"), expected="want").collect()
+    assert {(r.stage, r.code) for r in other} == {("digest", "MISMATCH")}
+
+
+def test_policies():
+    policy = {"protocolVersion": "1.0.0", "profileId": "research", "profileVersion": "v1", "maxConcurrent": 3, "transport": {"kind": "content-addressed", "storeId": "objects", "algorithm": "sha256"}}
+    text, digest = B.policy_digest(policy, b"domain")
+    assert text == '{"maxConcurrent":3,"profileId":"research","profileVersion":"v1","protocolVersion":"1.0.0","transport":{"algorithm":"sha256","kind":"content-addressed","storeId":"objects"}}'
+    assert digest == hashlib.sha256(b"domain\0" + text.encode()).hexdigest()
+    web = {"kind": "https", "endpointMapId": "m", "allowedEndpointIds": ["b", "a"], "redirects": "deny", "maxRedirects": 0, "denyPrivateNetworks": True, "serializedLocators": False}
+    assert '["a","b"]' in B.policy_digest(policy | {"transport": web}, b"d")[0]
+    for bad in ({"maxRedirects": -1}, {"denyPrivateNetworks": False}, {"allowedEndpointIds": ["a", "a"]}, {"extra": 1}, {"kind": "ftp"}):
+        assert refused(lambda bad=bad: B.policy_digest(policy | {"transport": web | bad}, b"d")) == ("resolve", "POLICY")
+
+
+def test_citations():
+    r = xhtml.citation_ranges
+    assert r("[1, ²–3]", ["1", "2", "3"], ["a", "b", "c"]) == [(1, 2, "a"), (4, 5, "b"), (6, 7, "c")]
+    assert r("٢", ["2"], ["b"]) == [(0, 1, "b")]
+    assert r("Müller 2019, Doe 2019", ["muller:2019", "doe:2019"], ["a", "b"]) == [(7, 11, "a"), (17, 21, "b")]
+    assert r("1", ["1"], ["a", "b"]) is None and r("1", ["1", "1"], ["a", "b"]) is None
+    doc = golden("typography")
+    doc["blocks"][1] |= {"text": "See 1 and 2 😀.", "inline": [{"start": 4, "end": 11, "semanticRole": "citation", "relationshipId": "s04-rel-citation"}, {"start": 10, "end": 14, "bold": True}]}
+    doc["relationships"][0] |= {"to": ["s04-footnote", "s04-quote", "s04-code"], "label": "1,2,9"}
+    out = xhtml.render(D.decode_one(json.dumps(sealed(doc)))[0])
+    b = ' epub:type="biblioref" role="doc-biblioref"'
+    assert f'<a href="#s04-footnote"{b}>1</a> and <a href="#s04-code"' in out and f'<strong><a href="#s04-quote"{b}>2</a></strong>' in out
+    assert f'<a href="#s04-code"{b} class="additional-semantic-reference">Additional citation target 9</a>' in out
