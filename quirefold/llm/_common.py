@@ -47,6 +47,11 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def carried(columns: list[str], *results: str) -> list[str]:
+    """The columns that an operator hands on: one that bears the name of a result gives way to it."""
+    return [c for c in columns if c not in results]
+
+
 def remainder(id_col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % n

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import table
+from ._common import carried, table
 
 CACHE = 400_000
 _loaded: dict = {}
@@ -122,8 +122,8 @@ def codec(path: str, pattern: str | None = None) -> Codec:
 
 def _mapped(df: DataFrame, carry: list[str], value, name: str, fields: str, make) -> DataFrame:
     """df's carried columns and those that make() gives for each row's value."""
-    kept = df.select(*carry, value.alias(name))
     own = T._parse_datatype_string(fields)
+    kept = df.select(*carried(carry, *own.fieldNames()), value.alias(name))
     shape = T.StructType([*kept.schema.fields[:-1], *own.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, table
+from ._common import Scratch, carried, table
 
 FIRST, GROW, LAST = 64, 8, 262_144
 
@@ -25,12 +25,12 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
 
     Texts are equal when identical after no change; a null text counts as empty. Of equal texts the row with the
     largest id stays (null ids come below all others); of rows repeated with the same id exactly one stays.
-    Empty tables give an empty result. Columns of df that are not carried play no part; carried ones may have
-    any name except the four result names.
+    Empty tables give an empty result. Columns of df that are not carried play no part; carried ones that
+    bear the name of a result give way to it.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "exact_dedup")
-    carry = carry or [id_col]
+    carry = carried(carry or [id_col], "keep_id", "group_size", "kept", "text_sha256")
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = df.select(
         F.struct(*[F.col(c) for c in carry]).alias("row"),

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import table
+from ._common import carried, table
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -37,6 +37,8 @@ BOILER_WORDS = {
     "footer", "gdpr", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "pager", "popup", "promo", "promotion", "related",
     "recommended", "respond", "replies", "share", "sharing", "sidebar", "signup", "login", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "disqus", "overlay",
 }
+COMMENT_WORDS = {"comment", "comments", "reply", "replies", "ad", "advert", "promo", "related", "sponsored", "teaser"}
+STATES = {"has", "with", "without", "no", "left", "right", "open", "enabled", "wrapper", "layout"}
 CONTENT_WORDS = {"article", "content", "entry", "post", "story", "body", "text", "main", "prose"}
 #: Weights of the classifier, positive for content.
 WEIGHT = {"bias": -0.5, "article": 5.0, "content": 1.5, "boiler": -9.0, "links": -4.0, "length": 0.6, "sentence": 1.0, "paragraph": 1.0, "heading": 0.5, "item": -0.5}
@@ -78,8 +80,12 @@ def _nature(tag: str, attributes: str, stack: list) -> int:
         said.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
     if "hidden" in said or said.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", said.get("style", "")) or said.get("role", "") in BOILER_ROLES:
         return -1
-    words = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", said.get("class", "") + " " + said.get("id", "")).lower())) if "class" in said or "id" in said else set()
-    if tag not in ("html", "body", "article", "main") and words & BOILER_WORDS:
+    words: set[str] = set()
+    for name in (said.get("class", "") + " " + said.get("id", "")).split():
+        own = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()))
+        if not own & STATES:  # `has-sidebar` says what stands beside the element
+            words |= own
+    if tag not in ("html", "body", "main") and words & (COMMENT_WORDS if tag == "article" else BOILER_WORDS):
         return -1
     if tag in ("article", "main") or said.get("role") in ("article", "main") or said.get("itemprop") == "articleBody":
         return 2
@@ -211,9 +217,9 @@ def extract(df: DataFrame, html_col: str = "html", carry: list[str] | None = Non
     """The carried columns (all by default), text and n_chars (its code points).
 
     A null or empty page, and one without content, gives the empty text. Pages are read whole and by themselves,
-    so other nulls and repeated rows don't matter; carried columns named text or n_chars aren't allowed.
+    so other nulls and repeated rows don't matter; carried columns named text or n_chars give way to the results.
     """
-    kept = df.select(*(carry or df.columns), F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
+    kept = df.select(*carried(carry or df.columns, "text", "n_chars"), F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
     shape = T.StructType([*kept.schema.fields[:-1], *T._parse_datatype_string("text string, n_chars long").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import remainder, table
+from ._common import carried, remainder, table
 
 PER_LANGUAGE, LANDMARKS, RIDGE, BITS, BATCH = 600, 60, 0.05, 16, 64
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -97,7 +97,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", carry: list[st
     A null text, and one without a letter, is `und` with score 0. Texts are taken whole, each by itself, so ties
     between languages go to the first by name and other columns don't matter.
     """
-    kept = df.select(*(carry or df.columns), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    kept = df.select(*carried(carry or df.columns, "lang_pred", "score"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     shape = T.StructType([*kept.schema.fields[:-1], *T._parse_datatype_string("lang_pred string, score double").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

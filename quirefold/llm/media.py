@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import sub_batches, table
+from ._common import carried, sub_batches, table
 
 UNIT, RESTART, BATCH_BYTES = 64, 8, 700_000
 #: (components, Ss, Se, Ah, Al) of the scans that are written.
@@ -578,8 +578,8 @@ def media_columns(df: DataFrame, text_col: str = "text", carry: list[str] | None
     A null text counts as empty; an empty one is stored as 64 zero bytes. Every text is stored whole and by
     itself, so equal texts give equal values, and nulls or repeats in other columns don't matter.
     """
-    kept = df.select(*(carry or df.columns), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     own = T._parse_datatype_string(FIELDS + (", " + COLUMNS) * with_media)
+    kept = df.select(*carried(carry or df.columns, *own.fieldNames()), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     shape = T.StructType([*kept.schema.fields[:-1], *own.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

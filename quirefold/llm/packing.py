@@ -163,7 +163,7 @@ def pack(
     return (
         df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         .mapInPandas(pieces, shape)
-        .repartition(F.xxhash64("id", "piece", "start"))
+        .repartition(F.xxhash64("id", "piece", "start", "length", "ids_crc32"))  # null ids must not meet in one task
         .sortWithinPartitions(F.desc("length"), "id", "piece", "ids_crc32")
         .mapInPandas(packed, f"{shape}, sequence_id long, offset long")
         .withColumnRenamed("id", id_col)

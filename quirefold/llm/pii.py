@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import Scratch, table
+from ._common import Scratch, carried, table
 
 LOOKUP = 100_000
 KEY = b"surrogates"
@@ -34,6 +34,8 @@ PATTERNS = (
     ("email", re.compile(r"(?<![\w.+-])[\w.+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}"), "@"),
     ("secret", re.compile(r"(?i)\b(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|auth)\b[\"']?\s*[:=]\s*[\"']?([A-Za-z0-9_+/=.-]{12,})"), "0"),
     ("secret", re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,}|(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{32,128})\b"), "0"),
+    ("iban", re.compile(r"(?<![\w-])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w-])"), "0"),
+    ("ip6", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])"), "0"),
     ("ip", re.compile(rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?![\d]|\.\d)"), "0"),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), "0"),
     ("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)"), "0"),
@@ -53,6 +55,10 @@ NAMES = {
 def normal(kind: str, value: str) -> str:
     if kind == "email":
         return value.lower()
+    if kind == "ip6":
+        return value.lower()
+    if kind == "iban":
+        return value.replace(" ", "")
     if kind in ("phone", "card", "ssn"):
         return ("+" if value[0] == "+" else "") + "".join(c for c in value if c.isdecimal())
     return value
@@ -81,7 +87,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 kind_of = "person:" + ("m" if t in MALE else "f" if t in FEMALE else "n")
             else:
                 kind_of = kind
-                if kind == "secret" and not any(map(str.isdigit, value)):
+                if kind == "secret" and not any(map(str.isdigit, value)) or kind == "iban" and iban_rest(normal(kind, value)) != 1:
                     continue
             got.append((s, e, kind_of, normal(kind, value)))
         for s, e, *_ in got[before:]:
@@ -123,6 +129,11 @@ def luhn(digits: str) -> int:
     return (sum(d[::2]) + sum(x * 2 - 9 * (x > 4) for x in d[1::2])) % 10
 
 
+def iban_rest(value: str) -> int:
+    """1 for a valid account number."""
+    return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97
+
+
 def surrogate(kind: str, value: str, attempt: int, key: bytes = KEY) -> str:
     """The surrogate of a normal form, in normal form."""
     d = Draw(key, kind, value, str(attempt))
@@ -132,6 +143,11 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes = KEY) -> str:
         return f"{d.alike(local) + ('' if len(local) > 3 else d.alike('aaaa'))}@{site}.example.{('com', 'net', 'org')[Draw(key, 'top', host).below(3)]}"
     if kind == "ip":
         return ".".join(["10", *(str(d.below(256)) for _ in range(3))]) if attempt < 4 else ".".join(str(1 + d.below(254)) for _ in range(4))
+    if kind == "ip6":
+        return ":".join(["fd00", *(f"{d.below(65536):x}" for _ in range(7))])
+    if kind == "iban":
+        body = d.alike(value[4:])
+        return f"{value[:2]}{98 - iban_rest(value[:2] + '00' + body):02d}{body}"
     if kind == "ssn":
         return "9" + d.alike(value[1:])
     if kind == "phone":
@@ -159,6 +175,9 @@ def written(kind: str, original: str, new: str) -> str:
     """The surrogate in the format in which the entity stands in the text."""
     if kind == "email":
         return new.upper() if original.isupper() else new
+    if kind == "iban":
+        signs = iter(new)
+        return "".join(c if c == " " else next(signs) for c in original)
     if kind in ("phone", "card", "ssn"):
         digits = iter(c for c in new if c.isdecimal())
         return "".join(next(digits) if c.isdecimal() else c for c in original)
@@ -222,7 +241,7 @@ def replace_pii(docs: DataFrame, text_col: str = "text", carry: list[str] | None
     """
     again = assign(docs, text_col, key).filter("attempt > 0").select("kind", "value", "made")
     few = again.limit(lookup + 1).collect()
-    carry = carry or docs.columns
+    carry = carried(carry or docs.columns, "entities")
     kept = docs.select(*[c for c in carry if c != text_col], F.col(text_col))
     shape = T.StructType([*kept.schema.fields, *T._parse_datatype_string("entities array<struct<start:int,end:int,kind:string>>").fields])
     if len(few) > lookup:

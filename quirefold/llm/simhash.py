@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import Scratch, table
+from ._common import Scratch, carried, table
 from .components import components
 
 WORDS, DISTANCE, SEED, CELL = 3, 3, 42, 1024
@@ -51,7 +51,7 @@ def fingerprint(text: str, words: int = WORDS) -> int:
 
 def fingerprints(df: DataFrame, text_col: str = "text", carry: list[str] | None = None, words: int = WORDS) -> DataFrame:
     """The carried columns (all by default) and fp, the fingerprint as a signed long. Null texts count as empty."""
-    kept = df.select(*(carry or df.columns), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    kept = df.select(*carried(carry or df.columns, "fp"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     shape = T.StructType([*kept.schema.fields[:-1], T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import remainder, table
+from ._common import carried, remainder, table
 
 SAMPLE = 4000
 PRIOR, CAUTION, DRIFT, PREFIXES = 50.0, 2.0, 1.0, (3, 4, 5, 6)
@@ -224,7 +224,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             own = [pa.array(p, pa.float64()), pa.array([int(x >= threshold) for x in p], pa.int32()), pa.array(spans, span)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *own], names=[*b.schema.names[:-1], "score", "predicted", "passages"])
 
-    kept = docs.select(*carry, F.coalesce(F.col(text_col), F.lit("")).alias("_scored"))
+    kept = docs.select(*carried(carry, "score", "predicted", "passages"), F.coalesce(F.col(text_col), F.lit("")).alias("_scored"))
     shape = T.StructType([*kept.schema.fields[:-1], *T._parse_datatype_string("score double, predicted int, passages array<struct<start:int,end:int,score:double>>").fields])
     return kept.mapInArrow(run, shape)
 

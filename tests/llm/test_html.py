@@ -49,3 +49,8 @@ def test_rows(spark):
     df = spark.createDataFrame([(1, None), (1, ""), (None, PAGE)], "page_id long, html string")
     assert sorted(r.n_chars for r in m.extract(df).collect())[:2] == [0, 0]
     assert m.extract(df.limit(0)).collect() == []
+
+
+def test_wrappers_and_comments():
+    page = '<body><div id="page" class="has-sidebar"><article class="post"><h1>Head</h1><p>Main text.</p></article><div class="comments"><article class="comment"><p>First! I like it.</p></article></div></div></body>'
+    assert m.main_text(page) == "Head Main text."

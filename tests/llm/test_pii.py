@@ -55,3 +55,16 @@ def test_query(spark):
         found = m.find(texts[r.doc_id])
         assert r.n_entities == len(found) and not any(texts[r.doc_id][s:e] in r.text for s, e, *_ in found)
         assert found or r.text == texts[r.doc_id]
+
+
+def test_account_numbers_and_addresses():
+    text = "Pay DE89 3704 0044 0532 0130 00 or GB82WEST12345698765432, not DE00 3704 0044 0532 0130 00; host 2001:0DB8:0:0:0:0:0:1."
+    found = m.find(text)
+    assert [x[2] for x in found if x[2] in ("iban", "ip6")] == ["iban", "iban", "ip6"]
+    new, _ = m._rewritten(text, lambda k, v: m.surrogate(k, v, 0))
+    again = m.find(new)
+    assert [x[2] for x in again][:2] == ["iban", "iban"] and "DE89 3704" not in new and "2001" not in new
+
+
+def test_clashing_columns(docs):
+    assert m.replace_pii(docs).columns == [c for c in docs.columns if c != "entities"] + ["entities"]
