@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.canonical import receipt_digest
 from ..functions.text import SAFE_ID_FORMAT, escape_attribute, escape_text, legal_text, safe_id, struct_id, utf16_length, utf16_slice
 from ..operators import invariants, ordering, reading, recovery
+from ..renderers.epub import published
+from ..sources import bundle
 from ..sources import decode as codec
 from ..sources import schema as S
 from ..sources.store import stored
@@ -186,11 +188,38 @@ def decoded_graphs(spark, sf_dir):
     return invariants.verdicts(decoded, t).join(held, "doc_key", "left").select(F.col("doc_key").alias("doc_id"), F.coalesce("code", F.lit("valid")).alias("verdict"), "blocks", "units")
 
 
+def published_graphs(spark, sf_dir):
+    """Documents as graphs, rendered: the digest of each publication's XHTML."""
+    out = published(codec.decode(graphs(spark, sf_dir)))
+    return out.select(F.col("doc_key").alias("doc_id"), F.sha2("xhtml", 256).alias("xhtml"))
+
+
+def packaged_graphs(spark, sf_dir):
+    """Documents as graphs, packed as EPUB: identifier, file name and content digest. No SQL: the archive is built file by file."""
+    out = published(codec.decode(graphs(spark, sf_dir)), package=True)
+    return out.select(F.col("doc_key").alias("doc_id"), "error", "identifier", "file_name", "content_sha256", F.octet_length("epub").alias("bytes"))
+
+
+def bundled_graphs(spark, sf_dir):
+    """Documents as graphs, bundled and verified again. No SQL: a bundle is canonical JSON around a digest of itself."""
+    made = bundle.bundled(codec.decode(graphs(spark, sf_dir))).select("doc_key", "bundle", "bundle_sha256")
+    checked = bundle.verified(stored(made, "bundles"), expected="bundle_sha256")
+    return checked.select(F.col("doc_key").alias("doc_id"), F.coalesce("code", F.lit("ok")).alias("verdict"), F.sha2("document", 256).alias("document_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     content_ids, duplicate_content, block_split, conservation_counts, legal_identifiers, recovery_issues, recovery_summaries, dangling_references, membership, speaker_runs, flat_lists,
-    inline_segments, first_emission, layout_order, escaped_blocks, running_budget, decoded_graphs,
+    inline_segments, first_emission, layout_order, escaped_blocks, running_budget, decoded_graphs, published_graphs, packaged_graphs, bundled_graphs,
 )}
 
+_ESC = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_XHTML = """SELECT doc_id, sha256('<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<!DOCTYPE html>' || chr(10) ||
+    '<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops" xml:lang="und" lang="und">' || chr(10) || '<head>' || chr(10) || '  <meta charset="utf-8" />' || chr(10) ||
+    '  <title>' || min(t) FILTER (pos = 0) || '</title>' || chr(10) || '  <link rel="stylesheet" type="text/css" href="styles.css" />' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10) ||
+    '  <header><h1>' || min(t) FILTER (pos = 0) || '</h1></header>' || chr(10) || '  ' ||
+    string_agg('<' || tag || ' id="b-' || pos || '" data-struct-id="b-' || pos || '">' || t || '</' || tag || '>', chr(10) || '  ' ORDER BY pos) || chr(10) || '</body>' || chr(10) || '</html>' || chr(10)) AS xhtml
+    FROM (SELECT doc_id, pos, CASE WHEN pos = 0 THEN 'h2' ELSE 'p' END AS tag, {esc} AS t FROM ({lines})) GROUP BY 1"""
+
 SAFE_SQL = SAFE_ID_FORMAT.replace("'", "''")
 _ISSUES = """SELECT user_id, 'source' AS category, upper(substr(w, 1, 1)) || substr(w, 2) AS title, event_id, day(ts) AS page
 FROM (SELECT *, replace(lower(event_type), '_', ' ') AS w FROM events{where})"""
@@ -217,6 +246,7 @@ ORACLES = {
     "first_emission": "SELECT page_id, host, row_number() OVER (PARTITION BY host ORDER BY page_id) = 1 AS first FROM (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages)",
     "layout_order": "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY day(ts), CASE length(event_type) % 4 WHEN 0 THEN 0 WHEN 3 THEN 1 WHEN 1 THEN 2 ELSE 3 END, value, event_id % 7, event_id) - 1 AS BIGINT) AS place FROM events",
     "escaped_blocks": f"""SELECT doc_id, pos, sha256('<p id="b&quot;' || pos || '">' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p>') AS markup FROM ({LINES})""",
+    "published_graphs": _XHTML.format(esc=_ESC, lines=LINES),
     "running_budget": "SELECT source, doc_id, CAST(s AS BIGINT) AS so_far, s <= 100000 AS within FROM (SELECT source, doc_id, sum(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id) AS s FROM documents)",
     "decoded_graphs": f"SELECT doc_id, CASE WHEN bool_or(regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]')) THEN 'STRING' ELSE 'valid' END AS verdict, count(*) AS blocks, CAST(sum({UNITS}) AS BIGINT) AS units FROM ({LINES}) GROUP BY 1",
 }

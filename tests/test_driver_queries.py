@@ -5,11 +5,19 @@ from quirefold.plans.driver_queries import ORACLES, QUERIES
 from .oracle import DATA, expected, rows
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", ORACLES)
 def test_query(spark, name):
     assert rows(QUERIES[name](spark, DATA)) == expected(ORACLES[name])
 
 
+def test_graphs_without_sql(spark):
+    n = spark.read.parquet(f"{DATA}/documents.parquet").count()
+    assert {r.verdict for r in QUERIES["bundled_graphs"](spark, DATA).collect()} == {"ok"}
+    packages = QUERIES["packaged_graphs"](spark, DATA).collect()
+    assert len(packages) == n and all(r.error is None and r.bytes for r in packages)
+    assert set(QUERIES) - set(ORACLES) == {"bundled_graphs", "packaged_graphs"}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
