@@ -96,7 +96,7 @@ def note_backlinks(t: dict[str, DataFrame]) -> DataFrame:
     """doc_key, note_id, edge_ids: matched foot- and endnote edges that some run carries, by the note they point to."""
     shown = t["runs"].filter("relationshipId is not null and semanticRole is not null").select("doc_key", F.col("relationshipId").alias("id")).distinct()
     edges = t["edges"].filter("status = 'matched' and kind in ('footnote', 'endnote')").join(shown, ["doc_key", "id"], "left_semi")
-    flat = edges.select("doc_key", "pos", "id", F.regexp_replace(F.explode("to"), "^#", "").alias("note_id"))
+    flat = edges.select("doc_key", "pos", "id", F.explode("to").alias("note_id")).withColumn("note_id", F.regexp_replace("note_id", "^#", ""))
     return flat.groupBy("doc_key", "note_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("edge_ids"))
 
 
