@@ -1,9 +1,10 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
 Learning: log-odds of a token's presence in toxic against other documents, with Dirichlet priors that are
-themselves learnt one level up: a word leans on its first six letters, those on the first five, and so on to
-three, so an unseen form of a known stem still tells. A token keeps its prior unless a likelihood-ratio test
-rejects it; then its estimate is moved back towards the prior by its standard error, and a drift is taken off every token, so that texts without evidence sink.
+themselves learnt one level up: a word leans on its first six letters, those on the first five, and these on
+four, so an unseen form of a known stem still tells. A token keeps its prior unless a likelihood-ratio test
+rejects it; then its estimate is moved back towards the prior by its standard error. A drift is taken off every
+token, so that texts without evidence sink.
 
 Scoring: one linear scan over the whole text finds every maximal segment of positive score. Scores of a text's
 segments are combined by the sum statistics of extreme-value theory, with lambda and K estimated from the clean
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 from ._common import carried, remainder, table
 
 SAMPLE = 4000
-PRIOR, CAUTION, DRIFT, PREFIXES = 50.0, 2.0, 1.0, (3, 4, 5, 6)
+PRIOR, CAUTION, DRIFT, PREFIXES = 50.0, 2.0, 1.0, (4, 5, 6)
 #: Twice the log-likelihood ratio from which a token departs from its prior: few of a hundred thousand do by chance.
 SURE = 22.0
 THRESHOLD = 0.7
@@ -107,11 +108,11 @@ class Model:
             seen = set(WORD.findall(text.lower()))
             words[y].update(seen)
             for k in PREFIXES:
-                levels[k][y].update({w[:k] for w in seen})
+                levels[k][y].update({w[:k] for w in seen if len(w) >= k})
         known: dict[str, float] = {}
 
         def learn(counts, prior, name) -> None:
-            for item in counts[0].keys() | counts[1].keys():
+            for item in sorted(counts[0].keys() | counts[1].keys()):
                 n0, n1 = counts[0][item], counts[1][item]
                 lean = prior(item)
                 q = n[1] * math.exp(lean) / (n[1] * math.exp(lean) + n[0])
@@ -127,11 +128,12 @@ class Model:
 
         below = None
         for k in PREFIXES:
-            learn(levels[k], (lambda s, b=below: known.get("^" + s[:b], 0.0)) if below else (lambda s: 0.0), lambda s: "^" + s)
+            learn(levels[k], (lambda s, b=below: known["^" + s[:b]]) if below else (lambda s: 0.0), lambda s: "^" + s)
             below = k
-        learn(words, lambda w: known["^" + w[: PREFIXES[-1]]], lambda w: w)
+        stem = lambda w: next((known["^" + w[:k]] for k in reversed(PREFIXES) if len(w) >= k), 0.0)
+        learn(words, stem, lambda w: w)
         # a word that says what its stem says need not be kept
-        self.weight = {w: v for w, v in known.items() if w[0] == "^" and v or w[0] != "^" and abs(v - known["^" + w[: PREFIXES[-1]]]) > 1e-9}
+        self.weight = {w: v for w, v in known.items() if w[0] == "^" and v or w[0] != "^" and abs(v - stem(w)) > 1e-9}
         for w in [w for w in known if w[0] == "^" and not known[w] and len(w) > 1 + PREFIXES[0]]:
             self.weight[w] = 0.0
         self._calibrate(texts, labels)
