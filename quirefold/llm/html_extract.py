@@ -3,7 +3,7 @@
 A page is read into text blocks in page order, each with the elements it stands in. A linear classifier over
 what the block is and where it stands gives the cost of calling it content or boilerplate; these costs are the
 capacities to the two terminals. Blocks that follow each other, and blocks of one parent element, are joined by
-smoothness edges that weaken with their distance in the tree. The minimum cut, found by augmenting paths,
+smoothness edges that weaken with their distance in the tree. The minimum cut, found by blocking flows,
 separates content from boilerplate: a doubtful block goes with its surroundings.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,20 +43,35 @@ CONTENT_WORDS = {"article", "content", "entry", "post", "story", "body", "text",
 #: Weights of the classifier, positive for content.
 WEIGHT = {"bias": -0.5, "article": 5.0, "content": 1.5, "boiler": -9.0, "links": -4.0, "length": 0.6, "sentence": 1.0, "paragraph": 1.0, "heading": 0.5, "item": -0.5}
 ADJACENT, SIBLING = 0.6, 0.6
+TINY = 1e-9
+
+
+class Element:
+    """An open element, and what is known of all the elements it stands in."""
+
+    __slots__ = ("article", "boiler", "content", "depth", "holder", "link", "muted", "number", "outer", "tag")
+
+    def __init__(self, tag: str, nature: int, number: int, parent: Element | None):
+        self.tag, self.number = tag, number
+        self.boiler = (parent.boiler if parent else 0) + (nature < 0)
+        self.article = nature == 2 or bool(parent and parent.article)
+        self.content = nature == 1 or bool(parent and parent.content)
+        self.link = tag == "a" or bool(parent and parent.link)
+        self.muted = tag in NO_TEXT or bool(parent and parent.muted)
+        inline = tag in INLINE
+        # the nearest element that is no part of a line, and the one around that
+        self.holder = parent.holder if parent and inline else self
+        self.outer = (parent.outer if inline else parent.holder) if parent else self
+        self.depth = parent.depth + (not inline) if parent else 0
 
 
 class Block:
     __slots__ = ("boiler", "article", "content", "depth", "linked", "parent", "tag", "text")
 
-    def __init__(self, text: str, linked: int, stack: list):
+    def __init__(self, text: str, linked: int, inside: Element):
         self.text, self.linked = text, linked
-        holders = [e for e in stack if e[0] not in INLINE]
-        self.tag = holders[-1][0] if holders else ""
-        self.parent = holders[-2][2] if len(holders) > 1 else -1
-        self.depth = len(holders)
-        self.boiler = sum(e[1] < 0 for e in stack)
-        self.article = any(e[1] == 2 for e in stack)
-        self.content = any(e[1] == 1 for e in stack)
+        self.tag, self.parent, self.depth = inside.holder.tag, inside.outer.number, inside.depth
+        self.boiler, self.article, self.content = inside.boiler, inside.article, inside.content
 
     def logit(self) -> float:
         n = len(self.text)
@@ -68,12 +83,11 @@ class Block:
         )
 
 
-def _nature(tag: str, attributes: str, stack: list) -> int:
+def _nature(tag: str, attributes: str, inside: Element) -> int:
     """-1 boilerplate, 1 a likely and 2 a certain content element, 0 neither."""
     if tag in BOILER_TAGS or tag in NO_TEXT:
         return -1
-    inside = any(e[1] == 2 for e in stack)
-    if tag == "header" and not inside:
+    if tag == "header" and not inside.article:
         return -1
     said = {}
     for m in ATTRIBUTE.finditer(attributes):
@@ -94,32 +108,42 @@ def _nature(tag: str, attributes: str, stack: list) -> int:
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # tag, nature, number
+    stack = [Element("", 0, -1, None)]  # the page itself, which never closes
+    opened: Counter[str] = Counter()
     run: list[str] = []
-    linked = count = at = muted = 0
+    linked = count = at = 0
 
     def close() -> None:
         nonlocal linked
         if run:
             text = " ".join("".join(run).split())
             if text:
-                out.append(Block(text, min(linked, len(text)), stack))
+                out.append(Block(text, min(linked, len(text)), stack[-1]))
             run.clear()
         linked = 0
 
     def said(raw: str) -> None:
         nonlocal linked
-        if raw and not muted:
+        if raw and not stack[-1].muted:
             text = html.unescape(raw) if "&" in raw else raw
             run.append(text)
-            if any(e[0] == "a" for e in stack):
+            if stack[-1].link:
                 linked += len(text)
 
     def drop(i: int) -> None:
-        nonlocal muted
-        muted -= sum(e[0] in NO_TEXT for e in stack[i:])
+        opened.subtract(e.tag for e in stack[i:])
         del stack[i:]
 
+    def innermost(tags, until) -> int:
+        """The place of the innermost open element with one of the tags, -1 if one of the others holds it off or there is none."""
+        if any(opened[t] > 0 for t in tags):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in tags:
+                    return i
+                if until(stack[i].tag):
+                    break
+        return -1
+
     while (m := TOKEN.search(page, at)) is not None:
         said(page[at : m.start()])
         at = m.end()
@@ -134,30 +158,26 @@ def blocks(page: str) -> list[Block]:
         if tag not in INLINE:
             close()
         if m[1]:
-            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if i >= 0 and not (tag in INLINE and any(e[0] not in INLINE for e in stack[i:])):
+            # an inline end tag ends nothing beyond its block
+            i = innermost((tag,), (lambda t: t not in INLINE) if tag in INLINE else (lambda t: False))
+            if i >= 0:
                 drop(i)
             continue
         if tag in VOID:
             continue
         if tag not in INLINE:
             # a paragraph ends at the next block, an item at the next of its list
-            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p" or stack[i][0] in SCOPE), -1)
-            if i >= 0 and stack[i][0] == "p":
-                drop(i)
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ENDS.get(tag, ()):
+            for ended in (("p",), ENDS.get(tag, ())):
+                i = innermost(ended, SCOPE.__contains__)
+                if i >= 0:
                     drop(i)
-                    break
-                if stack[i][0] in SCOPE:
-                    break
-            if tag == "body" and any(e[0] == "head" for e in stack):
-                drop(next(i for i, e in enumerate(stack) if e[0] == "head"))
+            if tag == "body" and opened["head"] > 0:
+                drop(next(i for i, e in enumerate(stack) if e.tag == "head"))
         if m[3].endswith("/") and tag not in RAW and tag in ("svg", "math", "object", "canvas"):
             continue
         count += 1
-        stack.append((tag, _nature(tag, m[3], stack), count))
-        muted += tag in NO_TEXT
+        stack.append(Element(tag, _nature(tag, m[3], stack[-1]), count, stack[-1]))
+        opened[tag] += 1
         if tag in RAW:
             end = re.compile(rf"</{tag}\b", re.I).search(page, at)
             at = end.start() if end else len(page)
@@ -167,36 +187,69 @@ def blocks(page: str) -> list[Block]:
 
 
 def minimum_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Whether each node is on the source side of the minimum cut; gain: its source less its sink capacity."""
+    """Whether each node is on the source side of the least minimum cut; gain: its source less its sink capacity.
+
+    A node whose own capacity outweighs all its edges lies on that side whatever the rest does; it is taken out
+    and its edges go to its neighbours' capacities. Flow is found among the doubtful rest, by blocking flows on
+    shortest paths, so that long pages take little more than one pass.
+    """
     n = len(gain)
     left = list(gain)
     arcs: list[dict[int, float]] = [{} for _ in range(n)]
     for a, b, c in edges:
         arcs[a][b] = arcs[a].get(b, 0.0) + c
         arcs[b][a] = arcs[b].get(a, 0.0) + c
+    side: list[bool | None] = [None] * n
+    held = [sum(a.values()) for a in arcs]
+    todo = list(range(n))
+    while todo:
+        i = todo.pop()
+        if side[i] is not None or -held[i] + TINY < left[i] <= held[i] + TINY:
+            continue
+        side[i] = left[i] > 0 and left[i] > held[i] + TINY
+        for b, c in arcs[i].items():
+            if side[b] is None:
+                left[b] += c if side[i] else -c
+                held[b] -= c
+                todo.append(b)
+    rest = [i for i in range(n) if side[i] is None]
     while True:
-        back = {i: -1 for i in range(n) if left[i] > 1e-9}
-        todo, end = deque(back), -1
-        while todo and end < 0:
-            a = todo.popleft()
+        level = {i: 0 for i in rest if left[i] > TINY}
+        reached, ends = list(level), False
+        for a in reached:
             for b, c in arcs[a].items():
-                if c > 1e-9 and b not in back:
-                    back[b] = a
-                    if left[b] < -1e-9:
-                        end = b
-                        break
-                    todo.append(b)
-        if end < 0:
-            return [i in back for i in range(n)]
-        path = [end]
-        while back[path[-1]] >= 0:
-            path.append(back[path[-1]])
-        flow = min(left[path[-1]], -left[end], *(arcs[b][a] for a, b in zip(path, path[1:], strict=False)))
-        left[path[-1]] -= flow
-        left[end] += flow
-        for a, b in zip(path, path[1:], strict=False):
-            arcs[b][a] -= flow
-            arcs[a][b] += flow
+                if c > TINY and side[b] is None and b not in level:
+                    level[b] = level[a] + 1
+                    reached.append(b)
+                    ends = ends or left[b] < -TINY
+        if not ends:
+            for i in rest:
+                side[i] = i in level
+            return side
+        ways = {i: list(arcs[i]) for i in level}  # those not yet found closed, last first
+        for start in reached:
+            if level[start]:
+                break
+            path = [start]
+            while path and left[start] > TINY:
+                a = path[-1]
+                if left[a] < -TINY:
+                    steps = list(zip(path, path[1:], strict=False))
+                    flow = min(left[start], -left[a], *(arcs[x][y] for x, y in steps))
+                    left[start] -= flow
+                    left[a] += flow
+                    for x, y in steps:
+                        arcs[x][y] -= flow
+                        arcs[y][x] += flow
+                    path = [start]
+                elif not ways[a]:
+                    path.pop()
+                    if path:
+                        ways[path[-1]].pop()
+                elif arcs[a][ways[a][-1]] > TINY and level.get(ways[a][-1]) == level[a] + 1:
+                    path.append(ways[a][-1])
+                else:
+                    ways[a].pop()
 
 
 def main_text(page: str) -> str:

@@ -54,3 +54,11 @@ def test_rows(spark):
 def test_wrappers_and_comments():
     page = '<body><div id="page" class="has-sidebar"><article class="post"><h1>Head</h1><p>Main text.</p></article><div class="comments"><article class="comment"><p>First! I like it.</p></article></div></div></body>'
     assert m.main_text(page) == "Head Main text."
+
+
+def test_long_doubtful_page():
+    """Tens of thousands of blocks that nothing but their neighbours decides, and elements that never close."""
+    kinds = ("<div>short one</div>", "<li>item</li>", "<div>" + "word " * 12 + ".</div>", "<div><a href=x>link text</a></div>")
+    page = "<body><div>" + "".join(kinds[i * i % 7 % 4] for i in range(40_000)) + "</div>"
+    assert len(m.main_text(page)) > 100_000
+    assert len(m.main_text("<div><span>one more line of text here. " * 20_000)) > 100_000
