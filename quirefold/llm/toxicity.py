@@ -43,23 +43,25 @@ def segments(scores: list[tuple[int, float]], drift: float) -> list[tuple[int, i
 
     scores: position and score of the tokens whose score is positive; every other token scores -drift.
     """
-    kept: list[list] = []  # first, last, sum before, sum after
+    kept: list[list] = []  # first, last, sum before, sum after, place of the nearest segment before it whose sum before is lower
     total, at = 0.0, -1
     for pos, s in scores:
         total -= drift * (pos - at - 1)
         seg = [pos, pos, total, total + s]
         total += s
         at = pos
+        j = len(kept) - 1
         while True:
-            j = len(kept) - 1
             while j >= 0 and kept[j][2] >= seg[2]:
-                j -= 1
+                j = kept[j][4]
             if j < 0 or kept[j][3] >= seg[3]:
-                kept.append(seg)
+                kept.append([*seg, j])
                 break
             seg = [kept[j][0], seg[1], kept[j][2], seg[3]]
+            lower = kept[j][4]
             del kept[j:]
-    return [(a, b, r - l) for a, b, l, r in kept]
+            j = lower
+    return [(a, b, r - l) for a, b, l, r, _ in kept]
 
 
 def apart(texts: list[str], labels: list[int]) -> tuple[list[str], list[int]]:

@@ -70,3 +70,9 @@ def test_query(spark):
     got = m.op10_toxicity(spark, DATA).collect()
     assert len(got) == spark.read.parquet(f"{DATA}/documents.parquet").count()
     assert all(r.predicted == (r.score >= 0.7) for r in got)
+
+
+def test_many_segments():
+    """100,000 segments that never join; the scan stays linear."""
+    assert len(m.segments([(3 * i, 1.0) for i in range(100_000)], 1.0)) == 100_000
+    assert len(m.segments([(0, 1e6)] + [(4 * i + 2, 2.5) for i in range(100_000)], 1.0)) == 100_001
