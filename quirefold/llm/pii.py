@@ -66,12 +66,12 @@ def normal(kind: str, value: str) -> str:
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, normal form) of the entities, in order and apart from each other."""
-    number, at = re.search(r"\d", text), "@" in text
+    number, mail = re.search(r"\d", text), "@" in text
     title = re.search(r"\b(?:M(?:r|s|iss|onsieur|adame)|Dr|Prof|Herr|Frau|Señor)", text)
     got: list[tuple[int, int, str, str]] = []
     rest = text  # what has been found is blotted out, so that no later pattern runs into it
     for kind, pattern, needs in PATTERNS:
-        if not {"@": at, "0": number, "M": title}[needs]:
+        if not {"@": mail, "0": number, "M": title}[needs]:
             continue
         before = len(got)
         for m in pattern.finditer(rest):
@@ -90,8 +90,12 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 if kind == "secret" and not any(map(str.isdigit, value)) or kind == "iban" and iban_rest(normal(kind, value)) != 1:
                     continue
             got.append((s, e, kind_of, normal(kind, value)))
-        for s, e, *_ in got[before:]:
-            rest = rest[:s] + "\0" * (e - s) + rest[e:]
+        if len(got) > before:
+            parts, at = [], 0
+            for s, e, *_ in got[before:]:  # in order of their starts
+                parts += [rest[at:s], "\0" * (e - s)]
+                at = e
+            rest = "".join([*parts, rest[at:]])
     return sorted(got)
 
 

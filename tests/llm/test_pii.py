@@ -68,3 +68,8 @@ def test_account_numbers_and_addresses():
 
 def test_clashing_columns(docs):
     assert m.replace_pii(docs).columns == [c for c in docs.columns if c != "entities"] + ["entities"]
+
+
+def test_many_entities_in_one_text():
+    found = m.find(" ".join(f"user{i}@host{i % 50}.example.com said so" for i in range(50_000)))
+    assert len(found) == 50_000 and {x[2] for x in found} == {"email"}
