@@ -75,4 +75,4 @@ def test_query(spark):
 def test_many_segments():
     """100,000 segments that never join; the scan stays linear."""
     assert len(m.segments([(3 * i, 1.0) for i in range(100_000)], 1.0)) == 100_000
-    assert len(m.segments([(0, 1e6)] + [(4 * i + 2, 2.5) for i in range(100_000)], 1.0)) == 100_001
+    assert len(m.segments([(0, 1e6)] + [(4 * i + 4, 2.5) for i in range(100_000)], 1.0)) == 100_001
