@@ -5,7 +5,7 @@ from io import BytesIO
 
 import pytest
 
-from quirefold.renderers import epub, xhtml
+from quirefold.renderers import epub, mathml, xhtml
 from quirefold.sources import decode as D
 from quirefold.sources import schema as S
 
@@ -116,4 +116,52 @@ def test_packages(spark):
     assert [got[n].content_sha256 for n in names] == [GOLDEN[n][1] for n in names]
     with zipfile.ZipFile(BytesIO(got["order"].epub)) as z:
         assert z.namelist()[0] == "mimetype" and z.infolist()[0].compress_type == zipfile.ZIP_STORED and z.read("EPUB/content.xhtml").decode() == got["order"].xhtml
-    assert got["review"].error and got["review"].epub is None and got["order"].file_name == "reading-order-baseline.epub"
+    assert got["review"].error and got["review"].epub is None and got["order"].file_name == f"reading-order-baseline-{golden('order')['receipt']['generatedSha256'][:12]}.epub"
+
+
+MATH = "http://www.w3.org/1998/Math/MathML"
+
+
+@pytest.mark.parametrize("value", ["<math><mi>x</mi></math>", "<math\ndisplay='block'><mn>1</mn><!-- one --></math>", f'<m:math xmlns:m="{MATH}"><m:mi xml:lang="en">x</m:mi></m:math>'])
+def test_formula_gets_its_namespace(value):
+    at = 1 + len(value[1:].split(">")[0].split()[0])
+    assert mathml.mathml(value) == f'{value[:at]} xmlns="{MATH}"{value[at:]}'
+
+
+def test_formulas():
+    own = f'<math xmlns="{MATH}"><mfrac><mi>a</mi><mi>b</mi></mfrac></math>'
+    assert mathml.mathml(own) == own
+    refused = (
+        "", "x", "<math/>", " <math></math>", "<math></math> ", "<mrow></mrow>", "<math><script/></math>", "<math><mi href='x'/></math>", "<math><mi STYLE='x'/></math>", "<math><mi onclick='x'/></math>",
+        "<math><mi></math>", "<math></math><math></math>", "<?xml version='1.0'?><math></math>", "<!DOCTYPE math><math></math>", "<math><?a b?></math>", "<math></math><!-- c -->", "<!-- c --><math></math>",
+        "<math xmlns='http://www.w3.org/1999/xhtml'></math>", "<m:math></m:math>", "<math><mi xmlns=''/></math>", "<math><mi xml:base='x'/></math>", f"<math><mi xmlns:m='{MATH}' m:id='x'/></math>", "<math>&nbsp;</math>",
+    )
+    assert [v for v in refused if mathml.mathml(v) is not None] == []
+
+
+def test_equation_and_profile():
+    def add(doc):
+        doc["blocks"].append(block(4, "equation", "x over y", attributes={"mathml": "<math><mi>x</mi></math>"}))
+
+    doc = changed(add)
+    assert '<figure id="b-4" data-struct-id="b-4" class="equation">' in xhtml.render(doc)
+    assert f'<math xmlns="{MATH}"><mi>x</mi></math><figcaption>x over y</figcaption></figure>' in xhtml.render(doc)
+    profile = {"id": "wide", "version": "1", "fileName": "wide.epub", "pageProgressionDirection": "rtl", "renditionFlow": "paginated", "configurationSha256": "c" * 64, "css": "p{}"}
+    files = epub.entries(doc, profile)
+    opf = files["EPUB/package.opf"].decode()
+    assert 'media-type="application/xhtml+xml" properties="mathml" />' in opf and '<spine page-progression-direction="rtl">' in opf and '<meta property="rendition:flow">paginated</meta>' in opf
+    assert list(files)[-1] == "EPUB/profile.json" and json.loads(files["EPUB/profile.json"]) == {"schemaVersion": "1.0.0"} | {k: v for k, v in profile.items() if k != "css"} | {"cssSha256": hashlib.sha256(b"p{}").hexdigest()}
+    assert files["EPUB/styles.css"] == b"p{}" and epub.identifier(doc, epub.checked_profile(profile)).endswith(":wide:1:" + "c" * 16)
+    for wrong in ({"id": "-"}, {"fileName": "wide.zip"}, {"css": ""}, {"css": "\0"}, {"renditionFlow": "auto"}, {"version": "1\n"}, {"configurationSha256": None}):
+        with pytest.raises(xhtml.Unrenderable):
+            epub.entries(doc, profile | wrong)
+
+
+def test_links_of_a_package():
+    def check(body, **more):
+        epub.check_links({"d/a.xhtml": f"<html>{body}</html>".encode(), "b.xhtml": b"<p id='x'/>"} | more, ["d/a.xhtml", "b.xhtml"])
+
+    check("<a href='../b.xhtml#x'/><a href='./../b.xhtml'/><a id='y' href='#y'/><a href='HTTPS://e.org/#q'/><b>&nbsp;</b>")
+    for body in ("<a href='../b.xhtml#y'/>", "<a href='#'/>", "<a href='/b.xhtml'/>", "<a href='../../b.xhtml'/>", "<a href='c.xhtml'/>", "<a href='javascript:x'/>", "<a href='b?c'/>", "<a href=' #y'/>", "<i id='q'/><b id='q'/>", "<b>", "<a href='a\\b'/>", "<a href='//e.org'/>"):
+        with pytest.raises(xhtml.Unrenderable):
+            check(body)
