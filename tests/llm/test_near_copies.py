@@ -1,0 +1,60 @@
+import random
+
+import corpus_pipeline as c
+from quirefold.llm import near_copies as m
+
+
+def similar(a, b):
+    def own(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+    a, b = own(a), own(b)
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def least_ids(rows):
+    root = {i: i for i, _ in rows}
+    for k, (i, t) in enumerate(rows):
+        for j, u in rows[:k]:
+            if root[i] != root[j] and similar(t, u):
+                lo, hi = sorted((root[i], root[j]))
+                root = {x: lo if r == hi else r for x, r in root.items()}
+    return sorted(set(root.values()))
+
+
+def made():
+    """Texts with edited copies at similarities around 0.8, and chains of edits."""
+    rnd = random.Random(5)
+    rows = []
+    for _ in range(40):
+        words = [rnd.choice("abcdefghij") + str(rnd.randrange(900)) for _ in range(rnd.choice((12, 60, 200)))]
+        for _ in range(rnd.randrange(1, 8)):
+            rows.append((len(rows), " ".join(words)))
+            for _ in range(rnd.randrange(0, 5)):
+                words[rnd.randrange(len(words))] = "new" + str(rnd.randrange(9000))
+    rnd.shuffle(rows)
+    return rows
+
+
+def test_stage_against_brute_force(spark):
+    rows = made()
+    want = least_ids(rows)
+    assert len(want) < len(rows) - 60
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in c.drop_near_copies(spark, df, "").collect()) == want
+
+
+def test_many_in_one_band(spark, monkeypatch):
+    monkeypatch.setattr(m, "CELL", 4)  # the grid of cells comes into play
+    monkeypatch.setattr(m, "bands", lambda hashes: [1])
+    rows = made()[:70]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = m._signed(df.select(df.doc_id.alias("id"), "text"), m.WORDS).select("id", "node").collect()
+    keys = spark.createDataFrame([(r.id, r.node, [1]) for r in signed], "id long, node binary, keys array<long>")
+    texts = spark.createDataFrame([(r.node, dict(rows)[r.id]) for r in signed], "node binary, text string")
+    root = {bytes(r.node): bytes(r.root) for r in m.groups(texts, keys).collect()}
+    held = {}
+    for r in signed:
+        held.setdefault(root.get(bytes(r.node), bytes(r.node)), []).append(r.id)
+    assert sorted(map(min, held.values())) == least_ids(rows)
