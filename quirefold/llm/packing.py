@@ -3,8 +3,10 @@
 Each task keeps a fixed number of open sequences in a bitset keyed by free space: bit f of one integer says that
 some open sequence has f places left, so the tightest fit is one shift and one find-first-set. When a new
 sequence is needed and all are open, the fullest closes. Pieces reach the tasks by a hash of document and piece
-and come longest first within a task, so a task that is run again packs the same way, and one source or document
-that holds much of the table is dealt evenly. Only piece lengths are shuffled, unless the ids are asked for.
+and come in lots, in the order of that hash, so a task that is run again packs the same way, and one source or
+document that holds much of the table is dealt evenly. A lot has fewer pieces than sequences may be open and comes
+longest first, so short pieces follow the long ones before the space beside these is lost, however large a task is.
+Only piece lengths are shuffled, unless the ids are asked for.
 """
 
 from __future__ import annotations
@@ -120,6 +122,20 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return ([(0, first)] if first else []) + [(s, capacity) for s in range(first, n, capacity)]
 
 
+def lots(frames: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    """The rows in lots of `most` (the last may have fewer), each longest first and else in the order they come."""
+    held, n = [], 0
+    for f in frames:
+        while len(f):
+            held.append(f.iloc[: most - n])
+            n, f = n + len(held[-1]), f.iloc[most - n :]
+            if n == most:
+                yield pd.concat(held).sort_values("length", ascending=False, kind="stable")
+                held, n = [], 0
+    if held:
+        yield pd.concat(held).sort_values("length", ascending=False, kind="stable")
+
+
 def pack(
     df: DataFrame,
     tokenizer_path: str,
@@ -132,7 +148,7 @@ def pack(
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if asked for).
 
     A null text counts as empty; an empty text is one piece that holds the end id alone. Rows with a null or
-    repeated id are packed like any other, each with pieces of its own. Ties in length go by id, then piece.
+    repeated id are packed like any other, each with pieces of its own. Ties in length go by hash, id, piece.
     Other columns of df are not read; an empty table gives an empty result.
     """
     id_type = dict(df.dtypes)[id_col]
@@ -153,18 +169,19 @@ def pack(
 
     def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fit, base = BestFit(capacity, open_bins), TaskContext.get().partitionId() << 40
-        for f in frames:
+        for f in lots(frames, max(1, open_bins // (32 if with_ids else 2))):  # ids are held for a lot
             placed = [fit.place(n) for n in f["length"].tolist()]
             f["sequence_id"] = np.array([base + k for k, _ in placed], dtype="i8")
             f["offset"] = np.array([o for _, o in placed], dtype="i8")
             yield f
 
     shape = f"id {id_type}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
+    by = F.xxhash64("id", "piece", "start", "length", "ids_crc32")
     return (
         df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         .mapInPandas(pieces, shape)
-        .repartition(F.xxhash64("id", "piece", "start", "length", "ids_crc32"))  # null ids must not meet in one task
-        .sortWithinPartitions(F.desc("length"), "id", "piece", "ids_crc32")
+        .repartition(by)  # null ids must not meet in one task
+        .sortWithinPartitions(by, "id", "piece", "ids_crc32")
         .mapInPandas(packed, f"{shape}, sequence_id long, offset long")
         .withColumnRenamed("id", id_col)
     )

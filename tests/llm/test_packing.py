@@ -74,3 +74,13 @@ def test_best_fit_bounded():
             # which of equally full bins closes is free; keep to the operator's
             free = {b: r for r, held in enumerate(fit.bins) for b in held}
             assert len(free) <= open_bins
+
+
+def test_short_pieces_beside_long_ones(spark):
+    """Far more long pieces than open bins: the short ones must still find the space beside them."""
+    rnd = random.Random(7)
+    rows = [(i, "a " * (rnd.randint(1300, 1500) if i % 2 else rnd.randint(500, 700))) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = m.pack(df, PATH, open_bins=64).collect()
+    tokens, tasks = sum(r.length for r in got), len({r.sequence_id >> 40 for r in got})
+    assert len({r.sequence_id for r in got}) <= -(-tokens // 2048) * 1.1 + 8 * tasks
