@@ -62,3 +62,19 @@ def test_long_doubtful_page():
     page = "<body><div>" + "".join(kinds[i * i % 7 % 4] for i in range(40_000)) + "</div>"
     assert len(m.main_text(page)) > 100_000
     assert len(m.main_text("<div><span>one more line of text here. " * 20_000)) > 100_000
+
+
+LONG = "This paragraph goes on and on about something else than the article does, " * 4 + "and then it ends."
+
+
+@pytest.mark.parametrize("around", ["<div>", "<div id=content>", '<div class="entry-content post">', "<form action=/>"])
+@pytest.mark.parametrize("box", ["<aside>", "<form>", "<div class=ad>", "<div class=notice>", "<section class=comments>", "<aside><article>"])
+@pytest.mark.parametrize("n", [1, 6])
+def test_long_boilerplate_in_an_article(around, box, n):
+    """Also with the article's paragraphs on both sides, and where a form holds the whole page."""
+    tag, name = (x[1:].split(" ")[0].strip(">") for x in (around, box))
+    inner = box + f"<p>{LONG}</p>" * n + ("</article>" if "<article>" in box else "") + f"</{name}>"
+    page = f"<body>{around}<article><p>{LONG} First.</p>{inner}<p>{LONG} Last.</p></article></{tag}></body>"
+    if around.startswith("<form") and box == "<form>":
+        return  # forms do not nest
+    assert m.main_text(page) == f"{LONG} First. {LONG} Last."
