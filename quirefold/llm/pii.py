@@ -1,9 +1,9 @@
 """Surrogates for personal data.
 
-Entities (e-mail and IP addresses, phone, card and social-security numbers, secrets, persons after a title) get
+Entities (e-mail and IP addresses, phone, card, account and social-security numbers, secrets, persons after a title) get
 replacements of their own kind, drawn by a keyed hash of kind and normal form: the same person or number gets the
 same surrogate in every document, in the format in which it stands there. Digits stay digits, letters letters of
-the same script and case, a valid card number stays valid, a title keeps its gender.
+the same script and case (a person's name in Latin, Cyrillic or Greek gives way to one from a list), a valid card number stays valid, a title keeps its gender.
 
 Collision checks run over the distinct entities of the whole table: a surrogate may neither be another entity's
 surrogate nor a value that occurs in the table; the losers (all but the least) draw again until none is left.
@@ -15,8 +15,11 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,20 +31,32 @@ from ._common import Scratch, carried, table
 LOOKUP = 100_000
 KEY = b"surrogates"
 
+#: Combining signs, which \w leaves out.
+MARKS = "\u0300-\u036f\u0591-\u05c7\u064b-\u065f\u0900-\u0dff\u0e31-\u0e4e"
+TITLE = "(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)"
+#: Initials, or a word that is no title.
+PART = rf"(?:(?:[^\W\d_]\.-?)+(?![^\W\d_]\w)|(?!{TITLE}\b)[^\W\d_][\w{MARKS}'’-]*)"
+PARTICLES = {"von", "vom", "van", "de", "der", "den", "del", "della", "di", "da", "dos", "du", "la", "le", "ter", "ten", "zu", "zur", "al", "el", "bin", "ibn", "y", "af", "av"}
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: In order of precedence; group 1, where there is one, is the entity.
 PATTERNS = (
-    ("email", re.compile(r"(?<![\w.+-])[\w.+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}"), "@"),
+    ("email", re.compile(rf"(?<![\w.+{MARKS}-])[\w.+{MARKS}-]{{1,64}}@[\w{MARKS}-]+(?:\.[\w{MARKS}-]+)*\.(?:[A-Za-z]{{2,24}}|[^\W\d_A-Za-z]{{2,24}})"), "@"),
     ("secret", re.compile(r"(?i)\b(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|auth)\b[\"']?\s*[:=]\s*[\"']?([A-Za-z0-9_+/=.-]{12,})"), "0"),
     ("secret", re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,}|(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{32,128})\b"), "0"),
     ("iban", re.compile(r"(?<![\w-])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w-])"), "0"),
-    ("ip6", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])"), "0"),
+    ("ip6", re.compile(rf"(?<![\w:])(?:[0-9A-Fa-f]{{0,4}}:){{2,7}}(?:(?:{OCTET}\.){{3}}{OCTET}|[0-9A-Fa-f]{{1,4}}|(?<=::))(?!\w)(?!:[\w:])"), ":"),
     ("ip", re.compile(rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?![\d]|\.\d)"), "0"),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), "0"),
     ("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)"), "0"),
     ("card", re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"), "0"),
-    ("phone", re.compile(r"(?<![\w-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[.-]\d{4}(?![\w-])"), "0"),
-    ("person", re.compile(r"\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\b\.? ((?:[^\W\d_][\w'-]+)(?: [^\W\d_][\w'-]+)?)"), "M"),
+    ("phone", re.compile(r"(?<![\w-])(?:1[ .-])?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[.-]\d{4}(?![\w-])"), "0"),
+    ("phone", re.compile(r"(?<![\w-])(?:1[ .-])?(?:\([2-9]\d{2}\) ?|[2-9]\d{2} )\d{3} \d{4}(?![\w-])"), "0"),
+    # national numbers with their trunk zero: pairs, short groups, two or three groups, an area code in brackets, or in one
+    ("phone", re.compile(
+        r"(?<![\w.,:/-])(?:0\d(?:[ .-]\d\d){4}|0\d{2,4}[ /-]\d{2,3}(?:[ -]\d{2,3}){2,3}|0\d{1,4}[ /-]\d{3,4}[ -]\d{3,4}|0\d{1,5} ?[ /-] ?\d{4,9}"
+        r"|\(0\d{1,5}\) ?\d{2,9}(?:[ -]\d{2,5}){0,3}|0[1-9]\d{8,9})(?![\w-]|[.,]\d)"
+    ), "0"),
+    ("person", re.compile(rf"\b(?:{TITLE}\b\.? )+({PART}(?: {PART})*)"), "M"),
 )
 MALE, FEMALE = ("Mr", "Herr", "Monsieur", "Señor"), ("Mrs", "Ms", "Miss", "Frau", "Madame", "Señora")
 #: Given names (male, female) and family names by script.
@@ -56,7 +71,7 @@ def normal(kind: str, value: str) -> str:
     if kind == "email":
         return value.lower()
     if kind == "ip6":
-        return value.lower()
+        return str(ipaddress.IPv6Address(value))  # one address, one spelling
     if kind == "iban":
         return value.replace(" ", "")
     if kind in ("phone", "card", "ssn"):
@@ -64,30 +79,55 @@ def normal(kind: str, value: str) -> str:
     return value
 
 
+def address(value: str) -> bool:
+    """Whether it is an IPv6 address, and not words between colons."""
+    try:
+        return any(c.isdecimal() for c in value) and bool(ipaddress.IPv6Address(value))
+    except ValueError:
+        return False
+
+
+def name_length(value: str) -> int:
+    """The places that a name takes of the words after a title: parts with a capital, and particles before one; two
+    parts at most in scripts without capitals, where nothing tells a name from what follows it."""
+    end = at = parts = 0
+    for word in value.split(" "):
+        at += len(word)
+        plain = not (word[0].isupper() or word[0].islower() or word[0].istitle())
+        if word[0].islower() and word not in PARTICLES or plain and parts == 2:
+            break
+        if not word[0].islower():
+            end, parts = at, parts + 1
+        at += 1
+    return end
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, normal form) of the entities, in order and apart from each other."""
     number, mail = re.search(r"\d", text), "@" in text
+    colons = number and ("::" in text or text.count(":") > 5)
     title = re.search(r"\b(?:M(?:r|s|iss|onsieur|adame)|Dr|Prof|Herr|Frau|Señor)", text)
     got: list[tuple[int, int, str, str]] = []
     rest = text  # what has been found is blotted out, so that no later pattern runs into it
     for kind, pattern, needs in PATTERNS:
-        if not {"@": mail, "0": number, "M": title}[needs]:
+        if not {"@": mail, "0": number, ":": colons, "M": title}[needs]:
             continue
         before = len(got)
         for m in pattern.finditer(rest):
             s, e = m.span(pattern.groups)
             value = m[pattern.groups]
             if kind == "person":
-                words = value.split(" ")
-                if not words[0][0].isupper():
+                n = name_length(value)
+                if not n:
                     continue
-                if len(words) == 2 and not words[1][0].isupper():
-                    value, e = words[0], s + len(words[0])
-                t = m[0].split(" ")[0].rstrip(".")
-                kind_of = "person:" + ("m" if t in MALE else "f" if t in FEMALE else "n")
+                value, e = value[:n], s + n
+                titles = [t.rstrip(".") for t in m[0][: s - m.start()].split()]
+                kind_of = "person:" + ("m" if any(t in MALE for t in titles) else "f" if any(t in FEMALE for t in titles) else "n")
             else:
                 kind_of = kind
-                if kind == "secret" and not any(map(str.isdigit, value)) or kind == "iban" and iban_rest(normal(kind, value)) != 1:
+                if kind == "secret" and not any(map(str.isdigit, value)) or kind == "iban" and iban_rest(normal(kind, value)) != 1 or kind == "ip6" and not address(value):
+                    continue
+                if kind == "phone" and not 9 <= sum(map(str.isdecimal, value)) <= 20:  # shorter ones are dates and the like
                     continue
             got.append((s, e, kind_of, normal(kind, value)))
         if len(got) > before:
@@ -99,6 +139,18 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     return sorted(got)
 
 
+@cache
+def _class(c: str) -> str:
+    """The letters or signs of the script and case of c that stand near it."""
+    kind, script = unicodedata.category(c), unicodedata.name(c, "").split(" ")[0]
+    for width in (128, 1024, 8192):
+        base = ord(c) // width * width
+        own = [x for x in map(chr, range(max(base, 128), base + width)) if unicodedata.category(x) == kind and unicodedata.name(x, "").split(" ")[0] == script]
+        if len(own) >= 8:
+            return "".join(own)
+    return "abcdefghijklmnopqrstuvwxyz"
+
+
 class Draw:
     """Numbers below given limits, from a keyed hash."""
 
@@ -122,6 +174,9 @@ class Draw:
                 out.append(str(self.below(10)))
             elif "а" <= c <= "я":
                 out.append(chr(0x430 + self.below(32)))
+            elif unicodedata.category(c)[0] in "LM":
+                near = _class(c)
+                out.append(near[self.below(len(near))])
             else:
                 out.append(c)
         return "".join(out)
@@ -148,7 +203,7 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes = KEY) -> str:
     if kind == "ip":
         return ".".join(["10", *(str(d.below(256)) for _ in range(3))]) if attempt < 4 else ".".join(str(1 + d.below(254)) for _ in range(4))
     if kind == "ip6":
-        return ":".join(["fd00", *(f"{d.below(65536):x}" for _ in range(7))])
+        return str(ipaddress.IPv6Address(0xFD00 << 112 | sum(d.below(65536) << 16 * i for i in range(7))))
     if kind == "iban":
         body = d.alike(value[4:])
         return f"{value[:2]}{98 - iban_rest(value[:2] + '00' + body):02d}{body}"
@@ -163,6 +218,8 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes = KEY) -> str:
             return body + str(d.below(10))
         return next(x for c in range(10) if luhn(x := body + str(c)) == 0)
     if kind.startswith("person"):
+        if not unicodedata.name(value[0], "").startswith(("LATIN", "CYRILLIC", "GREEK")):
+            return d.alike(value)
         script = "cyrillic" if "Ѐ" <= value[0] <= "ԯ" else "greek" if "Ͱ" <= value[0] <= "Ͽ" else "latin"
         men, women, families = NAMES[script]
         given = {"m": men, "f": women}.get(kind[-1], men + women)

@@ -73,3 +73,37 @@ def test_clashing_columns(docs):
 def test_many_entities_in_one_text():
     found = m.find(" ".join(f"user{i}@host{i % 50}.example.com said so" for i in range(50_000)))
     assert len(found) == 50_000 and {x[2] for x in found} == {"email"}
+
+
+def test_usual_forms():
+    """Each form is found whole, and nothing of it is left in the text."""
+    forms = {
+        "ip6": ["2001:db8::1", "fe80::1", "::ffff:192.0.2.7", "2001:db8:0:0:8::7334"],
+        "person": [
+            "Mr J. Smith", "Mr. John A. Smith", "Dr Anna Maria Schmidt", "Prof. Dr. Karl Weber", "Herr von Bülow", "Mr. J.R.R. Tolkien", "Dr 王小明", "Mr. محمد علي",
+        ],
+        "phone": ["020 7946 0958", "030 12345678", "0171-2345678", "555 123 4567", "01 23 45 67 89", "(030) 1234567", "1-212-555-0199", "044 668 18 00", "01712345678"],
+        "email": ["jürgen.müller@example.com", "иван.Петров@example.com", "王小明@example.com", "max@münchen.de", "jose\u0301@example.com"],
+    }
+    for kind, values in forms.items():
+        for v in values:
+            text = f"She wrote to {v}, then left; so it was."
+            found = m.find(text)
+            assert [x[2].split(":")[0] for x in found] == [kind], (v, found)
+            new, _ = m._rewritten(text, lambda k, x: m.surrogate(k, x, 0))
+            s, e = found[0][:2]
+            assert text[e:] == ", then left; so it was." and new.endswith(text[e:]) and text[s:e] not in new, (v, new)
+            assert kind != "person" or not set(text[s:e].split()) & set(new.split()), (v, new)
+    assert len({x[3] for x in m.find("2001:db8::1 and 2001:0DB8:0:0:0:0:0:1")}) == 1
+    assert [x[2] for x in m.find("Call 0171-2345678 0171-2345679.")] == ["phone", "phone"]
+    for text in ("on 01-02-2024 at 12:30:45", "std::vector a::b Foo::bar2", "05/2024 and 100 200 3000", "the Dr and a nurse", "0.123456789 or 0,1234567890"):
+        assert m.find(text) == [], text
+
+
+def test_letters_by_class():
+    import unicodedata
+
+    text = "jürgen ÉTÉ Иван łódź محمد 王小明 नमस्ते"
+    new = m.Draw(b"k", "x").alike(text)
+    kinds = [[(unicodedata.category(c), unicodedata.name(c, "").split(" ")[0]) for c in t] for t in (text, new)]
+    assert kinds[0] == kinds[1] and sum(a == b for a, b in zip(text, new, strict=True) if a != " ") < 6
