@@ -171,7 +171,11 @@ class Model:
         cache: dict[str, float] = {}
         found = [self.passages(t, cache) for t in texts]
         clean = [(t, f) for t, f, y in zip(texts, found, labels, strict=True) if y == 0]
-        tally = Counter(round(self.score(w), 3) for t, _ in clean[:1000] for w in WORD.findall(t.lower()))
+        words, tally = Counter(), Counter()
+        for t, _ in clean:
+            words.update(WORD.findall(t.lower()))
+        for w, n in words.items():
+            tally[round(self.score(w), 3)] += n
         s, c = np.array(list(tally)) if tally else np.zeros(1), np.array(list(tally.values()), float) if tally else np.ones(1)
         lo, hi = 0.05, 1.5  # sum p e^(lambda s) = 1 has its positive root here or is taken as the nearer end
         for _ in range(50):

@@ -76,3 +76,15 @@ def test_many_segments():
     """100,000 segments that never join; the scan stays linear."""
     assert len(m.segments([(3 * i, 1.0) for i in range(100_000)], 1.0)) == 100_000
     assert len(m.segments([(0, 1e6)] + [(4 * i + 4, 2.5) for i in range(100_000)], 1.0)) == 100_001
+
+
+def test_calibrated_on_all_clean_documents():
+    """Also those that come after the first thousand."""
+    texts = ["plain words only"] * 1000 + ["plain bad words"] * 500 + ["bad bad words"] * 50
+    labels, lam = [0] * 1500 + [1] * 50, []
+    for order in (1, -1):
+        model = m.Model()
+        model.weight = {"bad": 3.0}
+        model._calibrate(texts[::order], labels[::order])
+        lam.append(model.lam)
+    assert abs(lam[0] - lam[1]) < 1e-9 and 0.05 < lam[0] < 1.49
