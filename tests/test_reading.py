@@ -81,3 +81,17 @@ def test_segments(spark):
     runs = spark.createDataFrame(rows, "k long, text_units long, run_pos int, start long, end long")
     got = sorted((r.k, r.start, r.end, r.owners) for r in reading.segments(runs, ["k"]).collect())
     assert got == [(1, 0, 2, []), (1, 2, 4, [0, 1]), (1, 4, 5, [0]), (1, 5, 6, [0, 2]), (1, 6, 9, [2]), (1, 9, 10, []), (2, 0, 4, [0])]
+
+
+def test_segments_over_a_whole_text(spark):
+    """Many overlapping and far-apart runs, against a brute force."""
+    rows = [(k, 600, p, s, min(600, s + 1 + s * 7 % 40 + 300 * (p % 50 == 0))) for k in range(3) for p, s in enumerate(range(k, 600, 4))]
+    runs = spark.createDataFrame(rows, "k int, text_units long, run_pos int, start long, end long")
+    got = sorted((r.k, r.start, r.end, r.owners) for r in reading.segments(runs, ["k"]).collect())
+    want = []
+    for k in range(3):
+        own = [r for r in rows if r[0] == k]
+        cuts = sorted({0, 600, *(r[3] for r in own), *(r[4] for r in own)})
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            want.append((k, s, e, [r[2] for r in sorted(own, key=lambda r: (r[3], -r[4], r[2])) if r[3] <= s and r[4] >= e]))
+    assert got == want and len(got) > 400
