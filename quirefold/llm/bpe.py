@@ -11,17 +11,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
 from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ._common import carried, table
+from ._common import mapped, table
 
 CACHE = 400_000
 _loaded: dict = {}
@@ -120,46 +116,33 @@ def codec(path: str, pattern: str | None = None) -> Codec:
     return _loaded[path, pattern]
 
 
-def _mapped(df: DataFrame, carry: list[str], value, name: str, fields: str, make) -> DataFrame:
-    """df's carried columns and those that make() gives for each row's value."""
-    own = T._parse_datatype_string(fields)
-    kept = df.select(*carried(carry, *own.fieldNames()), value.alias(name))
-    shape = T.StructType([*kept.schema.fields[:-1], *own.fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        kinds = [to_arrow_type(f.dataType) for f in own.fields]
-        for b in batches:
-            rows = [make(v) for v in b.column(b.num_columns - 1).to_pylist()]
-            cols = [pa.array([r[i] for r in rows], kinds[i]) for i in range(len(kinds))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=[f.name for f in shape.fields])
-
-    return kept.mapInArrow(run, shape)
-
-
 def bpe_encode(df: DataFrame, path: str, text_col: str = "text", carry: list[str] | None = None, pattern: str | None = None) -> DataFrame:
     """The carried columns (all by default) and ids, array<int>. Null texts count as empty and have no ids.
 
-    Rows are encoded one by one and whole, so nulls and repeats elsewhere don't matter.
+    Rows are encoded one by one and whole, so nulls and repeats elsewhere don't matter, and an empty table gives an
+    empty result. Carried columns may have any names; one named ids gives way to the result.
     """
-    return _mapped(df, carry or df.columns, F.coalesce(F.col(text_col), F.lit("")), "_text", "ids array<int>", lambda t: (codec(path, pattern).encode(t),))
+    return mapped(df, carry or df.columns, text_col, "ids array<int>", lambda texts: [[codec(path, pattern).encode(t or "") for t in texts]])
 
 
 def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", carry: list[str] | None = None) -> DataFrame:
-    """The carried columns and decoded, binary: the bytes that the ids stand for (null ids: none)."""
-    return _mapped(df, carry or df.columns, F.coalesce(F.col(ids_col), F.array().cast("array<int>")), "_ids", "decoded binary", lambda ids: (codec(path).decode(ids),))
+    """The carried columns and decoded, binary: the bytes that the ids stand for (null ids: none).
+
+    Odd rows as in bpe_encode; a column named decoded gives way to the result.
+    """
+    return mapped(df, carry or df.columns, ids_col, "decoded binary", lambda rows: [[codec(path).decode(ids or ()) for ids in rows]])
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digest of every document's ids, and the digest of what they decode to (see bpe_encode for odd rows)."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
-    def both(text: str) -> tuple[int, str, str]:
+    def both(texts: list) -> list[list]:
         c = codec(path)
-        ids = c.encode(text)
-        return len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()
+        ids = [c.encode(t or "") for t in texts]
+        sha = lambda data: hashlib.sha256(data).hexdigest()
+        return [[len(x) for x in ids], [sha(np.array(x, "<u4").tobytes()) for x in ids], [sha(c.decode(x)) for x in ids]]
 
-    docs = table(spark, sf_dir, "documents")
-    return _mapped(docs, ["doc_id"], F.coalesce(F.col("text"), F.lit("")), "_text", "n_tokens long, ids_sha256 string, decoded_sha256 string", both)
+    return mapped(table(spark, sf_dir, "documents"), ["doc_id"], "text", "n_tokens long, ids_sha256 string, decoded_sha256 string", both)

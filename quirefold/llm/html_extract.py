@@ -12,14 +12,10 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ._common import carried, table
+from ._common import mapped, table
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -273,19 +269,17 @@ def extract(df: DataFrame, html_col: str = "html", carry: list[str] | None = Non
     """The carried columns (all by default), text and n_chars (its code points).
 
     A null or empty page, and one without content, gives the empty text. Pages are read whole and by themselves,
-    so other nulls and repeated rows don't matter; carried columns named text or n_chars give way to the results.
+    so other nulls and repeated rows don't matter, and an empty table gives an empty result. Carried columns may have
+    any names; those named text or n_chars give way to the results.
     """
-    kept = df.select(*carried(carry or df.columns, "text", "n_chars"), F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
-    shape = T.StructType([*kept.schema.fields[:-1], *T._parse_datatype_string("text string, n_chars long").fields])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [main_text(p) for p in b.column(b.num_columns - 1).to_pylist()]
-            cols = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=[f.name for f in shape.fields])
+    def make(pages: list) -> list[list]:
+        texts = [main_text(p or "") for p in pages]
+        return [texts, [len(t) for t in texts]]
 
-    return kept.mapInArrow(run, shape)
+    return mapped(df, carry or df.columns, html_col, "text string, n_chars long", make)
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page (see extract for odd rows)."""
     return extract(table(spark, sf_dir, "pages"), carry=["page_id", "url"])

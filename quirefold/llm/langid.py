@@ -6,22 +6,20 @@ regression learns one language against the rest on them. n-grams are hashed into
 texts is a 0/1 matrix; its product with the landmarks' matrix is linear in the former, and the two products are
 multiplied out once, after fitting.
 
-The model is fitted on the driver on about PER_LANGUAGE documents of each language, picked by a hash of the id.
+The model is fitted on the driver on at most PER_LANGUAGE documents, of SAMPLE_BYTES bytes in all, of each language,
+picked by a hash of the id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ._common import carried, remainder, table
+from ._common import mapped, remainder, table
 
-PER_LANGUAGE, LANDMARKS, RIDGE, BITS, BATCH = 600, 60, 0.05, 16, 64
+PER_LANGUAGE, SAMPLE_BYTES, LANDMARKS, RIDGE, BITS, BATCH = 600, 16_000_000, 60, 0.05, 16, 64
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -78,15 +76,27 @@ class Model:
         return out
 
 
-def learn(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Fits on rows with text and language; of each language about per_language, or all where there are fewer."""
-    rows = train.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # one row per language
+def learn(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fits on rows with text and language: of each language at most per_language ids, those that hash lowest, and at
+    most sample_bytes of text.
+
+    Of rows that repeat an id in one language the least text counts. A table without such rows gives a model that
+    knows no language. Other columns play no part.
+    """
+    rows = train.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).filter("t is not null and l is not null")
+    counts = {r[0]: max(1, r[1]) for r in rows.groupBy("l").agg(F.approx_count_distinct("id")).collect()}  # one row per language
     if not counts:
         return Model([], [])
-    share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, per_language / n))])
-    place = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_003)) / F.lit(1_000_003)
-    picked = rows.filter(place < share[F.col(lang_col)]).select(F.col(lang_col).alias("l"), F.col(text_col).alias("t")).limit(2 * per_language * len(counts)).toPandas()
+    # a hash below this share picks about twice as many rows as are wanted, of which the lowest are taken
+    share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, (2 * per_language + 100) / n))])
+    h = F.xxhash64(F.col("id").cast("string"))
+    place = F.pmod(h, F.lit(1 << 40)) / F.lit(float(1 << 40))
+    own = W.partitionBy("l").orderBy("place", "h")
+    picked = (
+        rows.withColumn("h", h).withColumn("place", place).filter(F.col("place") < share[F.col("l")]).groupBy("l", "h", "place").agg(F.min("t").alias("t"))
+        .withColumn("nth", F.row_number().over(own)).withColumn("so_far", F.sum(F.octet_length("t")).over(own))
+        .filter((F.col("nth") <= per_language) & (F.col("so_far") <= sample_bytes)).select("l", "t").toPandas()
+    )
     picked = picked.sort_values(["l", "t"]).sample(frac=1, random_state=1)
     return Model(picked["t"].tolist(), picked["l"].tolist())
 
@@ -95,21 +105,19 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", carry: list[st
     """The carried columns (all by default), lang_pred and score (0 to 1).
 
     A null text, and one without a letter, is `und` with score 0. Texts are taken whole, each by itself, so ties
-    between languages go to the first by name and other columns don't matter.
+    between languages go to the first by name, repeats are alike and an empty table gives an empty result. Carried
+    columns may have any names; one that bears the name of a result gives way to it.
     """
-    kept = df.select(*carried(carry or df.columns, "lang_pred", "score"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    shape = T.StructType([*kept.schema.fields[:-1], *T._parse_datatype_string("lang_pred string, score double").fields])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = model.predict(b.column(b.num_columns - 1).to_pylist())
-            own = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *own], names=[f.name for f in shape.fields])
+    def make(texts: list) -> list[list]:
+        found = model.predict([t or "" for t in texts])
+        return [[x[0] for x in found], [x[1] for x in found]]
 
-    return kept.mapInArrow(run, shape)
+    return mapped(df, carry or df.columns, text_col, "lang_pred string, score double", make)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from those whose id leaves no remainder 2 by 4 (see learn and identify for odd rows)."""
     docs = table(spark, sf_dir, "documents")
     out = remainder(F.col("doc_id"), 4) == 2
     model = learn(docs.filter(~out))

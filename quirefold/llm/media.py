@@ -15,16 +15,12 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ._common import carried, sub_batches, table
+from ._common import mapped, sub_batches, table
 
 UNIT, RESTART, BATCH_BYTES = 64, 8, 700_000
 #: (components, Ss, Se, Ah, Al) of the scans that are written.
@@ -113,12 +109,12 @@ class Frame:
         return np.stack(cols, 1)
 
 
-@cache
+@lru_cache(16)
 def frame(height: int, width: int, sampling) -> Frame:
     return Frame(height, width, sampling)
 
 
-@cache
+@lru_cache(16)
 def order(f: Frame, components: tuple[int, ...]) -> np.ndarray:
     return f.order(components)
 
@@ -346,7 +342,7 @@ def parse(image: bytes) -> dict:
     return out
 
 
-@cache
+@lru_cache(256)
 def reading_table(spec: bytes) -> Huffman:
     out, at = [], 16
     for n in spec[:16]:
@@ -576,33 +572,25 @@ def media_columns(df: DataFrame, text_col: str = "text", carry: list[str] | None
     """The carried columns (all by default), the stored form's figures, and (with_media) the image and its tensor.
 
     A null text counts as empty; an empty one is stored as 64 zero bytes. Every text is stored whole and by
-    itself, so equal texts give equal values, and nulls or repeats in other columns don't matter.
+    itself, so equal texts give equal values, and nulls or repeats in other columns don't matter; an empty table gives
+    an empty result. Carried columns may have any names; those that bear the name of a result give way to it.
     """
-    own = T._parse_datatype_string(FIELDS + (", " + COLUMNS) * with_media)
-    kept = df.select(*carried(carry or df.columns, *own.fieldNames()), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    shape = T.StructType([*kept.schema.fields[:-1], *own.fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        kinds = [to_arrow_type(f.dataType) for f in own.fields]
-        for b in batches:
-            texts = [t.encode() for t in b.column(b.num_columns - 1).to_pylist()]
-            for lo, hi in sub_batches([len(t) for t in texts], BATCH_BYTES):
-                part = texts[lo:hi]
-                images = encode([padded(t) for t in part])
-                parsed, coefficients, base = decode(images)
-                rows = []
-                for d, rgb in enumerate(tensors(parsed, coefficients, base)):
-                    payload = payload_of(parsed[d], coefficients[base[d] : base[d + 1]])
-                    row = [len(part[d]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(images[d]), hashlib.sha256(images[d]).hexdigest(), described(rgb)]
-                    rows.append(row + ([images[d], rgb.shape[0], rgb.shape[1], rgb.tobytes()] if with_media else []))
-                cols = [pa.array([r[i] for r in rows], kinds[i]) for i in range(len(kinds))]
-                kept_part = b.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*kept_part.columns[:-1], *cols], names=[f.name for f in shape.fields])
-
-    return kept.mapInArrow(run, shape)
+
+    def make(texts: list) -> list[list]:
+        part = [(t or "").encode() for t in texts]
+        images = encode([padded(t) for t in part])
+        parsed, coefficients, base = decode(images)
+        rows = []
+        for d, rgb in enumerate(tensors(parsed, coefficients, base)):
+            payload = payload_of(parsed[d], coefficients[base[d] : base[d + 1]])
+            row = [len(part[d]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(images[d]), hashlib.sha256(images[d]).hexdigest(), described(rgb)]
+            rows.append(row + ([images[d], rgb.shape[0], rgb.shape[1], rgb.tobytes()] if with_media else []))
+        return [list(c) for c in zip(*rows, strict=True)]
+
+    return mapped(df, carry or df.columns, text_col, FIELDS + (", " + COLUMNS) * with_media, make, BATCH_BYTES)
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_columns(table(spark, sf_dir, "documents"), carry=["doc_id"], with_media=False)
+    """Figures of every document's image and tensor (see media_columns for odd rows)."""
+    digest = [f.split()[0] for f in FIELDS.split(", ")]
+    return media_columns(table(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", *digest)

@@ -41,9 +41,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        #: Tokens that stand in a text by name, which the library finds before anything else.
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.fast = self._fast(spec)
 
     @staticmethod
@@ -60,7 +61,8 @@ class Encoder:
         spelt = {c: b for b, c in zip([*range(33, 127), *range(161, 173), *range(174, 256)], [*range(33, 127), *range(161, 173), *range(174, 256)], strict=True)}
         rest = [b for b in range(256) if b not in spelt]
         spelt |= {256 + i: b for i, b in enumerate(rest)}
-        assert {chr(c) for c in spelt} == set(ByteLevel.alphabet())
+        if {chr(c) for c in spelt} != set(ByteLevel.alphabet()):
+            raise ValueError("the library spells bytes in another way")
         ranks = {bytes(spelt[ord(c)] for c in tok): i for tok, i in vocab.items() if tok not in special}
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         ids = [vocab[a + b] for a, b in merges]
@@ -69,7 +71,7 @@ class Encoder:
         return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        if self.fast is None or LONG_RUN.search(text):
+        if self.fast is None or LONG_RUN.search(text) or any(t in text for t in self.added):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
         return np.array(self.fast.encode_ordinary(text), dtype="<u4")
 
@@ -149,7 +151,7 @@ def pack(
 
     A null text counts as empty; an empty text is one piece that holds the end id alone. Rows with a null or
     repeated id are packed like any other, each with pieces of its own. Ties in length go by hash, id, piece.
-    Other columns of df are not read; an empty table gives an empty result.
+    Other columns of df are not read, whatever their names; an empty table gives an empty result.
     """
     id_type = dict(df.dtypes)[id_col]
 
@@ -188,6 +190,7 @@ def pack(
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 2048 tokens (see pack for odd rows)."""
     import public_tokenizers
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -3,12 +3,17 @@
 Entities (e-mail and IP addresses, phone, card, account and social-security numbers, secrets, persons after a title) get
 replacements of their own kind, drawn by a keyed hash of kind and normal form: the same person or number gets the
 same surrogate in every document, in the format in which it stands there. Digits stay digits, letters letters of
-the same script and case (a person's name in Latin, Cyrillic or Greek gives way to one from a list), a valid card number stays valid, a title keeps its gender.
+the same script and case, and a valid card number stays valid.
+
+A person's given and family names are entities of their own, so `Mr. John Smith`, `Dr. Smith` and `Smith's` keep one
+family name, and full names are told apart by their parts. A given name is drawn for the gender of the titles that it
+stands after in the whole table; initials are rotated through the alphabet by a keyed number. Names of a person with
+a title are replaced wherever they stand in that text, with a title or without.
 
 Collision checks run over the distinct entities of the whole table: a surrogate may neither be another entity's
-surrogate nor a value that occurs in the table; the losers (all but the least) draw again until none is left.
-Only those that drew again must be looked up when texts are rewritten. They travel to the executors while there
-are at most LOOKUP of them; beyond that, the texts that hold one are rewritten through a join.
+surrogate nor a value that occurs in the table; the losers (all but the least) draw again, from a larger pool of names,
+until none is left. Only those that drew again must be looked up when texts are rewritten. They travel to the executors
+while there are at most LOOKUP of them; beyond that, the texts that hold one are rewritten through a join.
 """
 
 from __future__ import annotations
@@ -18,18 +23,19 @@ import hmac
 import ipaddress
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.types import DataType
 
-from ._common import Scratch, carried, table
+from ._common import Scratch, bundle, carried, mapped, named, table
 
 LOOKUP = 100_000
-KEY = b"surrogates"
+#: The session's setting that holds the secret key; without it this key is used, which keeps nothing secret.
+KEY_SETTING, KEY = "spark.quirefold.pii.key", b"surrogates"
 
 #: Combining signs, which \w leaves out.
 MARKS = "\u0300-\u036f\u0591-\u05c7\u064b-\u065f\u0900-\u0dff\u0e31-\u0e4e"
@@ -59,12 +65,29 @@ PATTERNS = (
     ("person", re.compile(rf"\b(?:{TITLE}\b\.? )+({PART}(?: {PART})*)"), "M"),
 )
 MALE, FEMALE = ("Mr", "Herr", "Monsieur", "Señor"), ("Mrs", "Ms", "Miss", "Frau", "Madame", "Señora")
-#: Given names (male, female) and family names by script.
-NAMES = {
-    "latin": (("Adam", "Bruno", "Colin", "Daniel", "Erik", "Felix", "Gregor", "Hugo"), ("Anna", "Bella", "Clara", "Dora", "Emma", "Flora", "Greta", "Helen"), ("Archer", "Baker", "Carter", "Draper", "Fisher", "Glover", "Hunter", "Miller")),
-    "cyrillic": (("Андрей", "Борис", "Виктор", "Иван"), ("Анна", "Вера", "Ирина", "Ольга"), ("Белов", "Волков", "Козлов", "Орлов")),
-    "greek": (("Γιώργος", "Νίκος", "Πέτρος"), ("Ελένη", "Μαρία", "Σοφία"), ("Δήμου", "Μάνου", "Νάσου")),
+
+
+def _first(consonants: str, vowels: str) -> tuple[str, ...]:
+    return tuple(c + v for c in consonants.split() for v in vowels.split())
+
+
+#: By script: first syllables, those put in between by later draws, and the ends of male and female given and of family names.
+SYLLABLES = {
+    "latin": (
+        _first("B D F G H J K L M N P R S T V W", "a e i o u"), _first("b d l m n r s t", "a e i o"), ("rin", "lon", "ric", "mund", "das", "vin", "bert", "nard", "lius", "thar"),
+        ("ra", "lina", "nia", "ssa", "tta", "rielle", "mira", "ndra", "via", "lisa"), ("rtel", "lden", "nsen", "ckman", "mford", "rgate", "ller", "ngton", "rwick", "sberg", "nton", "vers", "rham", "nnet", "ddow", "lkin"),
+    ),
+    "cyrillic": (
+        _first("Б В Г Д З К Л М Н П Р С Т", "а е и о у"), _first("б в л м н р т", "а е и о"), ("дрей", "рис", "ктор", "лан", "мир", "слав"),
+        ("нна", "рина", "льга", "лена", "мира", "слава"), ("лов", "рин", "шев", "нков", "ров", "син", "вцов", "дин"),
+    ),
+    "greek": (
+        _first("Β Γ Δ Κ Λ Μ Ν Π Ρ Σ Τ Φ", "α ε ι ο"), _first("β λ μ ν ρ τ", "α ε ι ο"), ("νος", "ρης", "λος", "τας"),
+        ("νη", "ρία", "φία", "λένη"), ("δης", "νου", "ρας", "τσης", "πουλος", "κης"),
+    ),
 }
+#: Given names (male, female) and family names by script, of two parts.
+NAMES = {script: tuple(tuple(x + y for x in first for y in ends) for ends in rest) for script, (first, _, *rest) in SYLLABLES.items()}
 
 
 def normal(kind: str, value: str) -> str:
@@ -87,9 +110,14 @@ def address(value: str) -> bool:
         return False
 
 
+POSSESSIVE = re.compile(r"(?<=\w)['’]s?\Z")
+INITIALS = re.compile(r"(?:[^\W\d_]\.-?)+\Z|[^\W\d_]\Z")
+
+
 def name_length(value: str) -> int:
     """The places that a name takes of the words after a title: parts with a capital, and particles before one; two
-    parts at most in scripts without capitals, where nothing tells a name from what follows it."""
+    parts at most in scripts without capitals, where nothing tells a name from what follows it. A possessive ends it
+    and is no part of it."""
     end = at = parts = 0
     for word in value.split(" "):
         at += len(word)
@@ -98,10 +126,61 @@ def name_length(value: str) -> int:
             break
         if not word[0].islower():
             end, parts = at, parts + 1
+            if m := POSSESSIVE.search(word):
+                return end - len(m[0])
         at += 1
     return end
 
 
+def parts(kind: str, value: str) -> list[tuple[str, str, str]]:
+    """(kind, gender, part) of a person's names: given names and initials, then the family name; particles are left out."""
+    gender = kind.split(":")[1]
+    words = [w for w in value.split(" ") if w not in PARTICLES]
+    out = [("initials" if INITIALS.match(w) else "given", gender, w) for w in words]
+    if not kind.endswith(":given") and out:
+        out[-1] = ("family", "", words[-1])
+    return out
+
+
+def _repeats(text: str, rest: str, persons: list[tuple[str, str]]) -> list[tuple[int, int, str, str]]:
+    """Names of these persons that stand in what is left of the text without a title."""
+    known: dict[str, tuple[str, str]] = {}
+    for kind, value in persons:
+        for what, gender, part in parts(kind, value):
+            if what != "initials" and len(part) > 1 and part[0].isupper() and known.get(part, ("",))[0] != "family":
+                known[part] = (what, gender)
+    if not known:
+        return []
+    out, end, run = [], -1, []
+
+    def done() -> None:
+        if run:
+            s, e, words = run[0][0], run[-1][1], [w for _, _, w in run]
+            families = [i for i, w in enumerate(words) if known[w][0] == "family"]
+            genders = {known[w][1] for w in words} & {"m", "f"}
+            gender = genders.pop() if len(genders) == 1 else "n"
+            # names run up to a family name, or are given names only
+            if families and families[0] < len(words) - 1:
+                cut = families[0] + 1
+                first, more = run[:cut], run[cut:]
+                out.append((first[0][0], first[-1][1], f"person:{gender}", " ".join(w for *_, w in first)))
+                run[:] = more
+                done()
+                return
+            out.append((s, e, f"person:{gender}" + ("" if families else ":given"), " ".join(words)))
+            run.clear()
+
+    for m in re.finditer(rf"[^\W\d_][\w{MARKS}-]*(?:['’](?!s\b)[\w{MARKS}-]+)*", rest):
+        if m[0] not in known:
+            continue
+        if run and not (m.start() == end + 1 and rest[end] == " "):
+            done()
+        run.append((m.start(), m.end(), m[0]))
+        end = m.end()
+    done()
+    return out
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, normal form) of the entities, in order and apart from each other."""
     number, mail = re.search(r"\d", text), "@" in text
@@ -131,11 +210,13 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                     continue
             got.append((s, e, kind_of, normal(kind, value)))
         if len(got) > before:
-            parts, at = [], 0
+            left, at = [], 0
             for s, e, *_ in got[before:]:  # in order of their starts
-                parts += [rest[at:s], "\0" * (e - s)]
+                left += [rest[at:s], "\0" * (e - s)]
                 at = e
-            rest = "".join([*parts, rest[at:]])
+            rest = "".join([*left, rest[at:]])
+    if title:
+        got += _repeats(text, rest, sorted({x[2:] for x in got if x[2].startswith("person")}))
     return sorted(got)
 
 
@@ -193,9 +274,14 @@ def iban_rest(value: str) -> int:
     return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97
 
 
+def composed(kind: str, value: str, made: Callable[[str, str, str], str]) -> str:
+    """A person's names, each by its own surrogate."""
+    return " ".join(made(*part) for part in parts(kind, value))
+
+
 def surrogate(kind: str, value: str, attempt: int, key: bytes = KEY) -> str:
-    """The surrogate of a normal form, in normal form."""
-    d = Draw(key, kind, value, str(attempt))
+    """The surrogate of a normal form, in normal form; each further attempt on a name draws from a pool many times larger."""
+    d = Draw(key, kind.split(":")[0], value, str(attempt))
     if kind == "email":
         local, host = value.rsplit("@", 1)
         site = Draw(key, "host", host).alike(host.split(".")[0])  # one host, one surrogate
@@ -218,14 +304,19 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes = KEY) -> str:
             return body + str(d.below(10))
         return next(x for c in range(10) if luhn(x := body + str(c)) == 0)
     if kind.startswith("person"):
+        return composed(kind, value, lambda what, gender, part: surrogate(f"{what}:{gender}", part, attempt, key))
+    if kind.startswith("initials"):
+        by = 1 + Draw(key, "initials").below(25)  # a rotation: distinct initials stay distinct, and none stays
+        return "".join(chr((ord(c) - base + by) % 26 + base) if (base := 65 if c.isupper() else 97) and c.isascii() and c.isalpha() else d.alike(c) for c in value)
+    if kind.startswith(("given", "family")):
         if not unicodedata.name(value[0], "").startswith(("LATIN", "CYRILLIC", "GREEK")):
             return d.alike(value)
         script = "cyrillic" if "Ѐ" <= value[0] <= "ԯ" else "greek" if "Ͱ" <= value[0] <= "Ͽ" else "latin"
-        men, women, families = NAMES[script]
-        given = {"m": men, "f": women}.get(kind[-1], men + women)
-        names = [families[d.below(len(families))] for _ in range(1 + attempt // 2)]
-        first = [given[d.below(len(given))]] if " " in value else []
-        return " ".join([*first, "-".join(names)])
+        first, between, men, women, families = SYLLABLES[script]
+        ends = families if kind.startswith("family") else {"m": men, "f": women}.get(kind[-1], men + women)
+        name = first[d.below(len(first))] + "".join(between[d.below(len(between))] for _ in range(attempt)) + ends[d.below(len(ends))]
+        # a Slavic family name keeps its gender
+        return name + "а" * (ends is families and script == "cyrillic" and value[-1] in "ая")
     head = "AKIA" if value.startswith("AKIA") else m[0] if (m := re.match(r"gh[a-z]_|sk-", value)) else ""
     if re.fullmatch(r"[0-9a-f]+", value):
         return "".join("0123456789abcdef"[d.below(16)] for _ in value)
@@ -245,43 +336,60 @@ def written(kind: str, original: str, new: str) -> str:
     return new
 
 
+def held(text: str) -> set[tuple[str, str, str]]:
+    """(kind, gender, normal form) of what a text's surrogates are drawn for: names apart, and without initials."""
+    out: set[tuple[str, str, str]] = set()
+    for _, _, kind, value in find(text):
+        out |= {p for p in parts(kind, value) if p[0] != "initials"} if kind.startswith("person") else {(kind, "", value)}
+    return out
+
+
 def _collected(docs: DataFrame, text_col: str) -> DataFrame:
+    """The distinct entities (kind, gender, value), and the genders under which each was met: one where they agree."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = sorted({x[2:] for t in b.column(0).to_pylist() for x in find(t)})
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.string())], names=["kind", "value"])
+            got = sorted({x for t in b.column(0).to_pylist() for x in held(t)})
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], pa.string()) for i in range(3)], names=["kind", "gender", "value"])
 
-    return docs.filter(F.col(text_col).isNotNull()).select(text_col).mapInArrow(run, "kind string, value string").distinct()
+    met = docs.select(F.col(text_col).alias("text")).filter("text is not null").mapInArrow(run, "kind string, gender string, value string").distinct()
+    known = F.array_remove("met", "n")
+    return met.groupBy("kind", "value").agg(F.collect_set("gender").alias("met")).select("kind", F.when(F.size(known) == 1, known[0]).when(F.col("kind") == "given", "n").otherwise("").alias("gender"), "value", (F.size("met") > 1).alias("mixed"))
 
 
 def _drawn(entities: DataFrame, key: bytes) -> DataFrame:
-    """Entities (kind, value, attempt) with their surrogates."""
+    """Entities (kind, gender, value, mixed, attempt) with their surrogates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [surrogate(*x, key) for x in zip(*[c.to_pylist() for c in b.columns], strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], names=["kind", "value", "attempt", "made"])
+            kind, gender, value, _, attempt = (c.to_pylist() for c in b.columns)
+            made = [surrogate(f"{k}:{g}" if g else k, v, n, key) for k, g, v, n in zip(kind, gender, value, attempt, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], names=[*b.schema.names, "made"])
 
-    return entities.select("kind", "value", "attempt").mapInArrow(run, "kind string, value string, attempt int, made string")
+    return entities.select("kind", "gender", "value", "mixed", "attempt").mapInArrow(run, "kind string, gender string, value string, mixed boolean, attempt int, made string")
 
 
 def assign(docs: DataFrame, text_col: str, key: bytes = KEY) -> DataFrame:
-    """(kind, value, attempt, made) of every distinct entity, all made values distinct and none of them real."""
+    """(kind, gender, value, mixed, attempt, made) of every distinct entity, all made values distinct and none of them real.
+
+    mixed: the entity was met under several genders. A round draws for those only that the rounds before left over,
+    and what has been settled stays.
+    """
     scratch = Scratch(docs.sparkSession, "pii")
     entities = scratch.write(_collected(docs, text_col))
-    state = scratch.write(_drawn(entities.withColumn("attempt", F.lit(0)), key))
+    real = entities.select(F.col("value").alias("made")).distinct()
+    drawn, settled = scratch.write(_drawn(entities.withColumn("attempt", F.lit(0)), key)), None
     while True:
-        first = state.groupBy("made").agg(F.min(F.struct("attempt", "kind", "value")).alias("first"), F.count("*").alias("n"))
-        # an earlier attempt goes first: what has been settled stays
-        twice = state.join(first.filter("n > 1"), "made").filter(F.struct("attempt", "kind", "value") != F.col("first")).select("kind", "value", "attempt")
-        real = state.join(entities.select(F.col("value").alias("made")).distinct(), "made", "left_semi").select("kind", "value", "attempt")
-        bad = scratch.write(twice.union(real).distinct())
+        first = drawn.groupBy("made").agg(F.min(F.struct("kind", "value")).alias("first"))
+        lost = drawn.join(first, "made").filter(F.struct("kind", "value") != F.col("first")).unionByName(drawn.join(real, "made", "left_semi").withColumn("first", F.lit(None)))
+        if settled is not None:
+            lost = lost.unionByName(drawn.join(settled.select("made"), "made", "left_semi").withColumn("first", F.lit(None)))
+        bad = scratch.write(lost.select("kind", "gender", "value", "mixed", "attempt").distinct())
+        good = drawn.join(bad, ["kind", "value"], "left_anti")
+        settled = good if settled is None else settled.unionByName(good)
         if bad.isEmpty():
-            return state
-        kept = state.join(bad, ["kind", "value"], "left_anti")
-        new = scratch.write(kept.unionByName(_drawn(bad.withColumn("attempt", F.col("attempt") + 1), key)))
-        scratch.drop(state)
-        state = new
+            return settled
+        drawn = scratch.write(_drawn(bad.withColumn("attempt", F.col("attempt") + 1), key))
 
 
 def _rewritten(text: str, chosen) -> tuple[str, list[dict]]:
@@ -294,59 +402,78 @@ def _rewritten(text: str, chosen) -> tuple[str, list[dict]]:
     return "".join([*out, text[at:]]), spans
 
 
-def replace_pii(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None, key: bytes = KEY, lookup: int = LOOKUP) -> DataFrame:
+def chooser(known: dict[tuple[str, str], str], key: bytes):
+    """Surrogates by kind and value: those that are known, else first draws."""
+
+    def part(kind: str, gender: str, value: str) -> str:
+        return known.get((kind, value)) or surrogate(f"{kind}:{gender}" if gender else kind, value, 0, key)
+
+    return lambda kind, value: composed(kind, value, part) if kind.startswith("person") else part(kind, "", value)
+
+
+ENTITIES = "entities array<struct<start:int,end:int,kind:string>>"
+
+
+def replace_pii(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None, key: bytes | None = None, lookup: int = LOOKUP) -> DataFrame:
     """The carried columns (all by default), with surrogates in the text column, and entities.
 
     entities: start, end (code points of the original text) and kind. Null texts stay null and hold no entities;
-    rows that repeat are rewritten alike, since a rewrite depends on text and key only.
+    rows that repeat are rewritten alike, since a rewrite depends on the entities of the table and the key only. An
+    empty table gives an empty result. Carried columns may have any names; one named entities gives way to the result.
+    The key is the session's spark.quirefold.pii.key unless one is given.
     """
-    again = assign(docs, text_col, key).filter("attempt > 0").select("kind", "value", "made")
-    few = again.limit(lookup + 1).collect()
+    spark = docs.sparkSession
+    key = key or spark.conf.get(KEY_SETTING, KEY.decode()).encode()
     carry = carried(carry or docs.columns, "entities")
-    kept = docs.select(*[c for c in carry if c != text_col], F.col(text_col))
-    shape = T.StructType([*kept.schema.fields, *T._parse_datatype_string("entities array<struct<start:int,end:int,kind:string>>").fields])
+    again = assign(docs, text_col, key).filter("attempt > 0 or mixed").select("kind", "value", "made")
+    few = again.limit(lookup + 1).collect()
     if len(few) > lookup:
-        return _replaced_by_join(kept, text_col, again, key, shape).select(*carry, "entities")
+        return _replaced_by_join(docs, text_col, carry, again, key)
     known = {(r.kind, r.value): r.made for r in few}
-    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            done = [(None, []) if t is None else _rewritten(t, lambda k, v: known.get((k, v)) or surrogate(k, v, 0, key)) for t in b.column(b.num_columns - 1).to_pylist()]
-            cols = [pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], span)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=[f.name for f in shape.fields])
+    def make(texts: list) -> list[list]:
+        chosen = chooser(known, key)
+        done = [(None, []) if t is None else _rewritten(t, chosen) for t in texts]
+        return [[x[0] for x in done], [x[1] for x in done]]
 
-    return kept.mapInArrow(run, shape).select(*carry, "entities")
+    return mapped(docs, carry, text_col, f"`{text_col}` string, {ENTITIES}", make).select(*map(named, carry), "entities")
 
 
-def _replaced_by_join(kept: DataFrame, text_col: str, again: DataFrame, key: bytes, shape: T.StructType) -> DataFrame:
-    """Each row brings its entities' surrogates along: those that drew again are joined to the texts that hold them, by the texts' digests."""
-    pairs = "array<struct<kind:string,value:string>>"
+def _replaced_by_join(docs: DataFrame, text_col: str, carry: list[str], again: DataFrame, key: bytes) -> DataFrame:
+    """Each row brings its entities' surrogates along: those that drew again are joined to the texts that hold them, by
+    the texts' digests. A text that many rows hold meets them under as many salts as there are shuffle partitions."""
+    salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest = [c for c in carry if c != text_col]
+    rows = docs.select(bundle(rest).alias("carried"), F.col(text_col).alias("text")).withColumn("digest", F.sha2("text", 256)).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
 
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())]))
         for b in batches:
-            got = [[{"kind": k, "value": v} for k, v in sorted({x[2:] for x in find(t)})] for t in b.column(1).to_pylist()]
+            got = [[{"kind": k, "value": v} for k, v in sorted({(k, v) for k, _, v in held(t)})] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, kind)], names=["digest", "held"])
 
-    digest = F.sha2(text_col, 256)
-    texts = kept.filter(F.col(text_col).isNotNull()).select(digest.alias("digest"), F.col(text_col).alias("t"))
-    each = texts.mapInArrow(held, f"digest string, held {pairs}").select("digest", F.explode("held").alias("h")).select("digest", "h.kind", "h.value").distinct()
-    brought = each.join(again, ["kind", "value"]).groupBy("digest").agg(F.collect_list(F.struct("kind", "value", "made")).alias("_made"))
-    rows = kept.withColumn("_digest", digest).join(brought, F.col("_digest") == F.col("digest"), "left").select(*kept.columns, "_made")
-    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
+    texts = rows.filter("text is not null").select("digest", "text")
+    each = texts.mapInArrow(run, "digest string, held array<struct<kind:string,value:string>>").select("digest", F.explode("held").alias("h")).select("digest", "h.kind", "h.value").distinct()
+    brought = each.join(again, ["kind", "value"]).groupBy("digest").agg(F.collect_list(F.struct("kind", "value", "made")).alias("made"))
+    # every salt brings all that its rows may need, whichever of them they are
+    brought = brought.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    both = rows.join(brought, ["digest", "salt"], "left").select("carried", "text", "made")
+
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             done = []
-            for t, made in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
-                known = {(x["kind"], x["value"]): x["made"] for x in made or []}
-                done.append((None, []) if t is None else _rewritten(t, lambda k, v, known=known: known.get((k, v)) or surrogate(k, v, 0, key)))
-            cols = [pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], span)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], *cols], names=[f.name for f in shape.fields])
+            for t, made in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                done.append((None, []) if t is None else _rewritten(t, chooser({(x["kind"], x["value"]): x["made"] for x in made or []}, key)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], to_arrow_type(span))], names=["carried", "text", "entities"])
 
-    return rows.mapInArrow(run, shape)
+    shape = both.select("carried", "text").schema.add(ENTITIES.split()[0], DataType.fromDDL(ENTITIES.split()[1]))
+    span = shape["entities"].dataType
+    out = both.mapInArrow(rewrite, shape)
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col("carried").getField(c).alias(c) for c in carry], "entities")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates in its text, and how many (see replace_pii for odd rows)."""
     return replace_pii(table(spark, sf_dir, "documents"), carry=["doc_id", "text"]).select("doc_id", "text", F.size("entities").alias("n_entities"))

@@ -25,9 +25,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ._common import Scratch, carried, table
+from ._common import Scratch, mapped, table
 from .components import components
 
 WORDS, DISTANCE, SEED, CELL = 3, 3, 42, 1024
@@ -50,16 +49,16 @@ def fingerprint(text: str, words: int = WORDS) -> int:
 
 
 def fingerprints(df: DataFrame, text_col: str = "text", carry: list[str] | None = None, words: int = WORDS) -> DataFrame:
-    """The carried columns (all by default) and fp, the fingerprint as a signed long. Null texts count as empty."""
-    kept = df.select(*carried(carry or df.columns, "fp"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    shape = T.StructType([*kept.schema.fields[:-1], T.StructField("fp", T.LongType())])
+    """The carried columns (all by default) and fp, the fingerprint as a signed long.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = np.array([fingerprint(t, words) for t in b.column(b.num_columns - 1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps.view(np.int64))], names=[f.name for f in shape.fields])
+    Null texts count as empty, repeated rows are alike, and an empty table gives an empty result. Carried columns may
+    have any names; one named fp, in whatever case, gives way to the result.
+    """
+
+    def make(texts: list) -> list[list]:
+        return [np.array([fingerprint(t or "", words) for t in texts], np.uint64).view(np.int64).tolist()]
 
-    return kept.mapInArrow(run, shape)
+    return mapped(df, carry or df.columns, text_col, "fp long", make)
 
 
 @cache
@@ -228,4 +227,5 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document (see simhash_groups for odd rows)."""
     return simhash_groups(table(spark, sf_dir, "documents"))

@@ -10,26 +10,27 @@ Scoring: one linear scan over the whole text finds every maximal segment of posi
 segments are combined by the sum statistics of extreme-value theory, with lambda and K estimated from the clean
 documents of the sample, and a logistic curve over that evidence gives the probability.
 
-The model is fitted on the driver, on at most SAMPLE documents of each class (those whose ids hash lowest).
+The model is fitted on the driver, on at most SAMPLE documents and SAMPLE_BYTES bytes of text of each class (those
+whose ids hash lowest).
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ._common import carried, remainder, table
+from ._common import mapped, remainder, table
+from .near_copies import SIMILARITY, alike, bands, shingles
 
-SAMPLE = 4000
+#: Bounds of the sample that the model is fitted on: documents and bytes of text of each label.
+SAMPLE, SAMPLE_BYTES = 4000, 64_000_000
 PRIOR, CAUTION, DRIFT, PREFIXES = 50.0, 2.0, 1.0, (4, 5, 6)
 #: Twice the log-likelihood ratio from which a token departs from its prior: few of a hundred thousand do by chance.
 SURE = 22.0
@@ -65,17 +66,21 @@ def segments(scores: list[tuple[int, float]], drift: float) -> list[tuple[int, i
 
 
 def apart(texts: list[str], labels: list[int]) -> tuple[list[str], list[int]]:
-    """Without near copies of earlier texts, which are no evidence of their own: those that share the lowest of
-    their word triples by either of two hashes."""
-    seen: set = set()
-    kept = []
+    """Without near copies (five-word similarity of 0.8 or more) of earlier texts, which are no evidence of their own.
+
+    Candidates share a band of MinHash values and are compared on all their shingles: a line that texts share costs none.
+    """
+    held: dict[tuple[int, int], list[int]] = {}
+    sets, kept = [], []
     for text, y in zip(texts, labels, strict=True):
-        w = WORD.findall(text.lower())
-        triples = [" ".join(t).encode() for t in zip(w, w[1:], w[2:], strict=False)] or [text.encode()]
-        keys = {(h, min(zlib.crc32(t, h) for t in triples)) for h in (0, 1)}
-        if not keys & seen:
-            kept.append((text, y))
-        seen |= keys
+        own = shingles(text)
+        keys = list(enumerate(bands(own)))
+        if any(alike(own, sets[i], SIMILARITY) for i in {i for k in keys for i in held.get(k, ())}):
+            continue
+        for k in keys:
+            held.setdefault(k, []).append(len(sets))
+        sets.append(own)
+        kept.append((text, y))
     return [t for t, _ in kept], [y for _, y in kept]
 
 
@@ -195,19 +200,22 @@ class Model:
         self.bias, self.slope = float(beta[0]), max(0.0, float(beta[1]))
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Fits on at most `sample` documents of each label; rows without a label or text don't count."""
-    ids = None
-    for y in (0, 1):
-        own = (
-            labels.filter(F.col(label_col) == y).select(F.col(id_col).alias("_id"), F.lit(y).alias("_y"))
-            .orderBy(F.xxhash64("_id"), "_id").limit(sample)
-        )
-        ids = own if ids is None else ids.unionByName(own)
-    # at most 2 * sample rows, so it may be broadcast
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter("_text is not null").join(F.broadcast(ids), "_id").select("_text", "_y").toPandas()
-    rows = rows.sort_values(["_y", "_text"]).drop_duplicates()  # copies are one piece of evidence
-    return Model().fit(rows["_text"].tolist(), [int(y) for y in rows["_y"]])
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fits on at most `sample` documents of each label, those whose ids hash lowest, of at most sample_bytes in all.
+
+    Rows without a label or text don't count; of rows that repeat an id the least text counts, and a repeated label
+    once. Where a label, the labels or the documents are missing, every text scores below one half. Other columns
+    play no part.
+    """
+    named = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).distinct()
+    place = F.xxhash64("id")
+    ids = reduce(DataFrame.unionByName, [named.filter(F.col("y") == y).orderBy(place, "id").limit(sample) for y in (0, 1)])
+    # at most 2 * sample rows, so it may be broadcast; as many come out, repeated ids being added up before the shuffle
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").join(F.broadcast(ids), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    so_far = F.sum(F.octet_length("text")).over(W.partitionBy("y").orderBy(place, "id"))
+    rows = rows.withColumn("so_far", so_far).filter(F.col("so_far") <= sample_bytes).select("text", "y").toPandas()
+    rows = rows.sort_values(["y", "text"]).drop_duplicates()  # copies are one piece of evidence
+    return Model().fit(rows["text"].tolist(), [int(y) for y in rows["y"]])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -215,29 +223,26 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     passages: start, end (code points of the lower-cased text's words) and score of each maximal segment. A null
     or empty text has none, and the score that no evidence gives. Every row is scored by itself, so nulls and
-    repeats in other columns change nothing; an empty table gives an empty result.
+    repeats in other columns change nothing; an empty table gives an empty result. Carried columns may have any
+    names; one that bears the name of a result gives way to it. text_col may be a field of a struct (a.b).
     """
-    carry = carry or [id_col]
-    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
+    cache: dict[str, float] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, float] = {}
-        for b in batches:
-            p, spans = [], []
-            for text in b.column(b.num_columns - 1).to_pylist():
-                n, found = model.passages(text, cache)
-                p.append(model.probability(model.evidence(n, found)))
-                where = [m.span() for m in WORD.finditer(text.lower())] if found else []
-                spans.append([{"start": where[x][0], "end": where[y][1], "score": s} for x, y, s in found])
-            own = [pa.array(p, pa.float64()), pa.array([int(x >= threshold) for x in p], pa.int32()), pa.array(spans, span)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *own], names=[*b.schema.names[:-1], "score", "predicted", "passages"])
+    def make(texts: list) -> list[list]:
+        p, spans = [], []
+        for text in texts:
+            text = (text or "").lower()
+            n, found = model.passages(text, cache)
+            p.append(model.probability(model.evidence(n, found)))
+            where = [m.span() for m in WORD.finditer(text)] if found else []
+            spans.append([{"start": where[x][0], "end": where[y][1], "score": s} for x, y, s in found])
+        return [p, [int(x >= threshold) for x in p], spans]
 
-    kept = docs.select(*carried(carry, "score", "predicted", "passages"), F.coalesce(F.col(text_col), F.lit("")).alias("_scored"))
-    shape = T.StructType([*kept.schema.fields[:-1], *T._parse_datatype_string("score double, predicted int, passages array<struct<start:int,end:int,score:double>>").fields])
-    return kept.mapInArrow(run, shape)
+    return mapped(docs, carry or [id_col], text_col, "score double, predicted int, passages array<struct<start:int,end:int,score:double>>", make)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learnt from labels whose id leaves remainder 0 or 2 by 3 (see learn and score for odd rows)."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = learn(docs, labels.filter(remainder(F.col("doc_id"), 3) != 1))
     return score(docs, model).select(

@@ -107,3 +107,45 @@ def test_letters_by_class():
     new = m.Draw(b"k", "x").alike(text)
     kinds = [[(unicodedata.category(c), unicodedata.name(c, "").split(" ")[0]) for c in t] for t in (text, new)]
     assert kinds[0] == kinds[1] and sum(a == b for a, b in zip(text, new, strict=True) if a != " ") < 6
+
+
+def test_one_person_by_several_names():
+    """A surname keeps its surrogate across titles, full names, possessives and repeats without a title."""
+    text = "Mr. John Smith met Mr. Smith. Dr Smith's car, and Smith's wife; John Smith left. Frau Anna Schmidt saw Smith, not Smithson."
+    found = m.find(text)
+    assert [text[s:e] for s, e, *_ in found] == ["John Smith", "Smith", "Smith", "Smith", "John Smith", "Anna Schmidt", "Smith"]
+    new, _ = m._rewritten(text, m.chooser({}, m.KEY))
+    words = new.replace("'s", "").replace(",", "").replace(".", "").replace(";", "").split()
+    given, family = words[1], words[2]
+    assert words.count(family) == 6 and words.count(given) == 2 and "Smithson." in new and f"Dr {family}'s car" in new and f" {family}'s wife" in new
+    assert given in m.NAMES["latin"][0] and words[words.index("Frau") + 1] in m.NAMES["latin"][1]
+    assert m.find("The Smiths of Smith Street") == [] and m.parts("person:m", "J. R. von Berg") == [("initials", "m", "J."), ("initials", "m", "R."), ("family", "", "Berg")]
+
+
+def test_names_across_the_table(spark):
+    """Against brute force: names map one to one, alike in every text, and to the gender that titles elsewhere give."""
+    import itertools
+    import random
+
+    rnd = random.Random(7)
+    first = {"m": [f"Bo{a}{b}" for a, b in itertools.product("abcde", "lmnop")], "f": [f"Ge{a}{b}" for a, b in itertools.product("abcde", "lmnop")]}
+    families = [f"Wu{a}{b}{c}er" for a, b, c in itertools.product("aeiou", "lmnrst", "aeiou")]
+    said = []
+    for i in range(1500):
+        g = rnd.choice("mf")
+        given, family = rnd.choice(first[g]), rnd.choice(families)
+        said.append((i, rnd.choice(["Dr.", {"m": "Mr.", "f": "Mrs."}[g]]), given, family, g))
+    titled = {given for _, t, given, _, _ in said if t != "Dr."}
+    docs = spark.createDataFrame([(i, f"{t} {given} {family} said so; {family}'s word.") for i, t, given, family, _ in said], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in m.replace_pii(docs, key=b"another key").collect()}
+    assert got == {r.doc_id: r.text for r in m.replace_pii(docs, key=b"another key", lookup=-1).collect()}
+    names = {}
+    for i, title, given, family, g in said:
+        new = got[i].split()
+        assert new[0] == title and got[i] == f"{title} {new[1]} {new[2]} said so; {new[2]}'s word."
+        for old, made in ((given, new[1]), (family, new[2])):
+            assert names.setdefault(old, made) == made
+        ends = m.SYLLABLES["latin"][2 if g == "m" else 3]
+        assert given not in titled or new[1].endswith(ends)
+    assert len(set(names.values())) == len(names) and not set(names.values()) & set(names)
+    assert got != {r.doc_id: r.text for r in m.replace_pii(docs).collect()}  # under another key
