@@ -1,10 +1,15 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is read into text blocks in page order, each with the elements it stands in. A linear classifier over
-what the block is and where it stands gives the cost of calling it content or boilerplate; these costs are the
-capacities to the two terminals. Blocks that follow each other, and blocks of one parent element, are joined by
-smoothness edges that weaken with their distance in the tree. The minimum cut, found by blocking flows,
-separates content from boilerplate: a doubtful block goes with its surroundings.
+A page is read into text blocks in page order, each with the elements it stands in. A linear classifier gives the cost
+of calling a block content or boilerplate; these costs are the capacities to the two terminals. Blocks that follow each
+other, and blocks of one parent element, are joined by smoothness edges that weaken with their distance in the tree.
+The minimum cut, found by blocking flows, separates content from boilerplate: a doubtful block goes with its
+surroundings.
+
+The classifier is learnt from pages that mark their own article: their blocks in it are content, the others are not. It
+sees what a block is (length, links, sentences, tag) and the names of the elements, classes and ids around it, but not
+the mark itself, so it speaks for pages without one. What a page says outright (an article element, a boilerplate
+element or name around the block) is added as a fixed capacity.
 """
 
 from __future__ import annotations
@@ -13,7 +18,9 @@ import html
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._common import mapped, table
 
@@ -32,13 +39,21 @@ BOILER_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "consent", "disclaimer",
     "footer", "gdpr", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "pager", "popup", "promo", "promotion", "related",
     "recommended", "respond", "replies", "share", "sharing", "sidebar", "signup", "login", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "disqus", "overlay",
+    "aside", "toc", "alert", "discussion", "commentlist", "teaser", "teasers", "popular", "trending",
 }
-COMMENT_WORDS = {"comment", "comments", "reply", "replies", "ad", "advert", "promo", "related", "sponsored", "teaser"}
-STATES = {"has", "with", "without", "no", "left", "right", "open", "enabled", "wrapper", "layout"}
+COMMENT_WORDS = {"comment", "comments", "commentlist", "discussion", "reply", "replies", "ad", "advert", "promo", "related", "sponsored", "teaser"}
+#: A class name that begins so says what the element has beside it; one with a word of the second kind may belong to a
+#: frame around the whole page, and counts for nothing within an article or a content element that the frame holds.
+BESIDE, FRAME = {"has", "with", "without", "no"}, {"left", "right", "open", "enabled", "wrapper", "layout", "page"}
 CONTENT_WORDS = {"article", "content", "entry", "post", "story", "body", "text", "main", "prose"}
-#: Weights of the classifier, positive for content. One boilerplate element around a block outweighs all that can
-#: speak for it: 10.4 by the other weights, 2.4 by its four edges at most.
-WEIGHT = {"bias": -0.5, "article": 5.0, "content": 1.5, "boiler": -14.0, "links": -4.0, "length": 0.6, "sentence": 1.0, "paragraph": 1.0, "heading": 0.5, "item": -0.5}
+#: Fixed capacities, positive for content, of what a page says outright. One boilerplate element around a block
+#: outweighs all that can speak for it: 16.4 by the article, the largest learnt sum, and its four edges at most.
+MARKED = {"article": 5.0, "boiler": -17.0}
+#: Weights of the classifier before anything is learnt, to which learning holds on where there is little to learn from.
+WEIGHT = {"bias": -0.5, "content": 1.5, "links": -4.0, "length": 0.6, "sentence": 1.0, "paragraph": 1.0, "heading": 0.5, "item": -0.5}
+MOST = 9.0
+#: What is learnt from: pages and bytes of them at most, names that stand around so many blocks, and so many names at most.
+SAMPLE, SAMPLE_BYTES, SEEN, NAMES, HOLD = 2000, 64_000_000, 20, 300, 0.02
 ADJACENT, SIBLING = 0.6, 0.6
 TINY = 1e-9
 
@@ -46,11 +61,13 @@ TINY = 1e-9
 class Element:
     """An open element, and what is known of all the elements it stands in."""
 
-    __slots__ = ("article", "boiler", "content", "depth", "forms", "holder", "link", "muted", "number", "outer", "tag")
+    __slots__ = ("article", "boiler", "content", "depth", "forms", "frames", "holder", "link", "muted", "names", "number", "outer", "tag")
 
-    def __init__(self, tag: str, nature: int, number: int, parent: Element | None):
+    def __init__(self, tag: str, nature: int, number: int, parent: Element | None, names: frozenset[str] = frozenset()):
         self.tag, self.number = tag, number
-        self.boiler = (parent.boiler if parent else 0) + (nature < 0 and tag != "form")
+        self.boiler = (parent.boiler if parent else 0) + (nature == -1 and tag != "form")
+        # a frame around an article or a content element says nothing of it
+        self.frames = 0 if nature > 0 or not parent else parent.frames + (nature == -2)
         # a form around the article is the page's own, as some page builders write it
         self.forms = 0 if nature == 2 or not parent else parent.forms + (tag == "form")
         self.article = nature == 2 or bool(parent and parent.article)
@@ -58,6 +75,7 @@ class Element:
         self.link = tag == "a" or bool(parent and parent.link)
         self.muted = tag in NO_TEXT or bool(parent and parent.muted)
         inline = tag in INLINE
+        self.names = names if not parent else parent.names if inline or names <= parent.names else parent.names | names
         # the nearest element that is no part of a line, and the one around that
         self.holder = parent.holder if parent and inline else self
         self.outer = (parent.outer if inline else parent.holder) if parent else self
@@ -65,41 +83,94 @@ class Element:
 
 
 class Block:
-    __slots__ = ("boiler", "article", "content", "depth", "linked", "parent", "tag", "text")
+    __slots__ = ("boiler", "article", "content", "depth", "linked", "names", "parent", "tag", "text")
 
     def __init__(self, text: str, linked: int, inside: Element):
         self.text, self.linked = text, linked
         self.tag, self.parent, self.depth = inside.holder.tag, inside.outer.number, inside.depth
-        self.boiler, self.article, self.content = inside.boiler + inside.forms, inside.article, inside.content
+        self.boiler, self.article, self.content = inside.boiler + inside.forms + inside.frames, inside.article, inside.content
+        self.names = inside.names
 
-    def logit(self) -> float:
+    def features(self) -> list[float]:
+        """In the order of WEIGHT."""
         n = len(self.text)
-        w = WEIGHT
-        return (
-            w["bias"] + w["article"] * self.article + w["content"] * self.content + w["boiler"] * self.boiler + w["links"] * self.linked / n
-            + w["length"] * min(4.0, n / 50) + w["sentence"] * (self.text[-1] in ".!?…\"'") + w["paragraph"] * (self.tag in ("p", "blockquote", "pre"))
-            + w["heading"] * (self.tag in ("h1", "h2", "h3")) + w["item"] * (self.tag == "li")
-        )
+        return [
+            1.0, float(self.content), self.linked / n, min(4.0, n / 50), float(self.text[-1] in ".!?…\"'"), float(self.tag in ("p", "blockquote", "pre")),
+            float(self.tag in ("h1", "h2", "h3")), float(self.tag == "li"),
+        ]
+
+
+class Model:
+    """Weights of the features and of the names around a block."""
+
+    def __init__(self) -> None:
+        self.weights, self.names = list(WEIGHT.values()), {}
+
+    def logit(self, block: Block) -> float:
+        """What the block itself says, within MOST, and what its page says of it."""
+        own = sum(w * x for w, x in zip(self.weights, block.features(), strict=True)) + sum(map(self.names.get, block.names & self.names.keys()))
+        return max(-MOST, min(MOST, own)) + MARKED["article"] * block.article + MARKED["boiler"] * block.boiler
+
+    def fit(self, pages: list[str]) -> Model:
+        """Logistic regression on the blocks of pages that mark an article, held to the first weights by a ridge."""
+        held = [b for found in map(blocks, pages) if any(b.article for b in found) for b in found]
+        seen = Counter(n for b in held for n in b.names)
+        names = sorted(n for n, k in seen.most_common(NAMES) if SEEN <= k < len(held))
+        if not held:
+            return self
+        place = {n: len(WEIGHT) + i for i, n in enumerate(names)}
+        x = np.zeros((len(held), len(WEIGHT) + len(names)))
+        x[:, : len(WEIGHT)] = [b.features() for b in held]
+        for row, b in zip(x, held, strict=True):
+            row[[place[n] for n in b.names & place.keys()]] = 1
+        y = np.array([b.article and not b.boiler for b in held], float)
+        first = np.array([*WEIGHT.values(), *([0.0] * len(names))])
+        w, ridge = first.copy(), HOLD * len(held) / 10
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            step = np.linalg.solve((x.T * (p * (1 - p) + 1e-6)) @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * (w - first))
+            w += np.clip(step, -1, 1)
+            if abs(step).max() < 1e-6:
+                break
+        self.weights = w[: len(WEIGHT)].tolist()
+        self.names = dict(zip(names, w[len(WEIGHT) :].tolist(), strict=True))
+        return self
+
+
+def _words(name: str) -> list[str]:
+    return re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
+
+
+def _named(tag: str, said: dict[str, str]) -> frozenset[str]:
+    """The element's tag and the names it has, but for those that mark an article."""
+    own = {tag} | {"." + n.lower() for n in (said.get("class", "") + " " + said.get("id", "")).split()}
+    return frozenset(own - {"article", "main", "html", "body"})
+
+
+def _attributes(text: str) -> dict[str, str]:
+    said: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text):
+        said.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    return said
 
 
-def _nature(tag: str, attributes: str, inside: Element) -> int:
-    """-1 boilerplate, 1 a likely and 2 a certain content element, 0 neither."""
+def _nature(tag: str, said: dict[str, str], inside: Element) -> int:
+    """-1 boilerplate, -2 perhaps a frame around the page, 1 a likely and 2 a certain content element, 0 neither."""
     if tag in BOILER_TAGS or tag in NO_TEXT:
         return -1
     if tag == "header" and not inside.article:
         return -1
-    said = {}
-    for m in ATTRIBUTE.finditer(attributes):
-        said.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
     if "hidden" in said or said.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", said.get("style", "")) or said.get("role", "") in BOILER_ROLES:
         return -1
     words: set[str] = set()
+    frame = False
     for name in (said.get("class", "") + " " + said.get("id", "")).split():
-        own = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()))
-        if not own & STATES:  # `has-sidebar` says what stands beside the element
-            words |= own
+        own = _words(name)
+        if own and own[0] not in BESIDE:  # `has-sidebar` says what stands beside the element
+            words.update(own)
+            frame = frame or bool(FRAME & set(own) and BOILER_WORDS & set(own))
     if tag not in ("html", "body", "main") and words & (COMMENT_WORDS if tag == "article" else BOILER_WORDS):
-        return -1
+        return -2 if frame and tag != "article" else -1
     if tag in ("article", "main") or said.get("role") in ("article", "main") or said.get("itemprop") == "articleBody":
         return 2
     return int(bool(words & CONTENT_WORDS))
@@ -175,7 +246,8 @@ def blocks(page: str) -> list[Block]:
         if m[3].endswith("/") and tag not in RAW and tag in ("svg", "math", "object", "canvas"):
             continue
         count += 1
-        stack.append(Element(tag, _nature(tag, m[3], stack[-1]), count, stack[-1]))
+        said_of = _attributes(m[3])
+        stack.append(Element(tag, _nature(tag, said_of, stack[-1]), count, stack[-1], _named(tag, said_of)))
         opened[tag] += 1
         if tag in RAW:
             end = re.compile(rf"</{tag}\b", re.I).search(page, at)
@@ -251,7 +323,8 @@ def minimum_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[
                     ways[a].pop()
 
 
-def main_text(page: str) -> str:
+def labelled(page: str, model: Model) -> tuple[list[Block], list[float], list[bool]]:
+    """The page's blocks, what speaks for each by itself, and whether the cut leaves it with the content."""
     found = blocks(page)
     edges, last = [], {}
     for i, b in enumerate(found):
@@ -261,11 +334,34 @@ def main_text(page: str) -> str:
         if b.parent in last and last[b.parent] < i - 1:
             edges.append((last[b.parent], i, SIBLING))
         last[b.parent] = i
-    content = minimum_cut([b.logit() for b in found], edges)
+    own = [model.logit(b) for b in found]
+    return found, own, minimum_cut(own, edges)
+
+
+def main_text(page: str, model: Model | None = None) -> str:
+    found, _, content = labelled(page, model or Model())
     return " ".join(b.text for b, keep in zip(found, content, strict=True) if keep)
 
 
-def extract(df: DataFrame, html_col: str = "html", carry: list[str] | None = None) -> DataFrame:
+def learn(df: DataFrame, html_col: str = "html", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fits on at most `sample` different pages, of sample_bytes in all: those whose hash is lowest.
+
+    Null pages and repeated ones play no part. Without a page that marks its article the model keeps its first weights.
+    """
+    pages = df.select(F.col(html_col).alias("page")).filter("page is not null").withColumn("h", F.xxhash64("page"))
+    sizes = pages.groupBy("h").agg(F.min(F.octet_length("page")).alias("n")).orderBy("h").limit(sample).collect()
+    cut, total = None, 0
+    for r in sizes:
+        total += r.n
+        if total > sample_bytes:
+            break
+        cut = r.h
+    if cut is None:
+        return Model()
+    return Model().fit([r.page for r in pages.filter(F.col("h") <= cut).groupBy("h").agg(F.min("page").alias("page")).orderBy("h").collect()])
+
+
+def extract(df: DataFrame, html_col: str = "html", carry: list[str] | None = None, model: Model | None = None) -> DataFrame:
     """The carried columns (all by default), text and n_chars (its code points).
 
     A null or empty page, and one without content, gives the empty text. Pages are read whole and by themselves,
@@ -273,13 +369,16 @@ def extract(df: DataFrame, html_col: str = "html", carry: list[str] | None = Non
     any names; those named text or n_chars give way to the results.
     """
 
+    model = model or Model()
+
     def make(pages: list) -> list[list]:
-        texts = [main_text(p or "") for p in pages]
+        texts = [main_text(p or "", model) for p in pages]
         return [texts, [len(t) for t in texts]]
 
     return mapped(df, carry or df.columns, html_col, "text string, n_chars long", make)
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The main text of every page (see extract for odd rows)."""
-    return extract(table(spark, sf_dir, "pages"), carry=["page_id", "url"])
+    """The main text of every page, by a model learnt from pages of the table (see learn and extract for odd rows)."""
+    pages = table(spark, sf_dir, "pages")
+    return extract(pages, carry=["page_id", "url"], model=learn(pages))

@@ -78,3 +78,65 @@ def test_long_boilerplate_in_an_article(around, box, n):
     if around.startswith("<form") and box == "<form>":
         return  # forms do not nest
     assert m.main_text(page) == f"{LONG} First. {LONG} Last."
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    return [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()]
+
+
+@pytest.fixture(scope="module")
+def learnt(pages):
+    return m.Model().fit(pages[:120])
+
+
+def test_learnt_without_marks(pages, learnt):
+    """Pages that were not learnt from, in a template that marks nothing: no article, navigation or footer, no classes."""
+    right = of = changed = 0
+    for page in pages[120:]:
+        want = m.main_text(page)
+        plain = re.sub(r"<(/?)(?:article|nav|footer)\b[^>]*>", r"<\1div>", page).replace(' class="ad"', "")
+        found, own, content = m.labelled(plain, learnt)
+        held = m.labelled(page, learnt)[2]
+        assert len(found) == len(held) and m.main_text(page, learnt) == want
+        of += len(found)
+        right += sum(a == b for a, b in zip(content, held, strict=True))
+        changed += sum((x > 0) != c for x, c in zip(own, content, strict=True))
+    assert right >= 0.97 * of, (right, of, changed)
+    print(f"{right} of {of} blocks right, {changed} changed by the cut")
+
+
+def test_names_are_learnt(pages):
+    """A name that stands around boilerplate only speaks against a block elsewhere, and one around articles for it."""
+    renamed = [p.replace('<div class="ad">', '<div class="qx7">').replace("<article>", '<article><section class="zz3">').replace("</article>", "</section></article>") for p in pages[:120]]
+    model = m.Model().fit(renamed)
+    text = "Something is said here that might be either."
+    assert model.names[".qx7"] < -0.5 and model.names[".zz3"] > 0.2
+    against, plain, speaks = (m.labelled(f"<section class={c}>{text}</section>", model)[1][0] for c in ("qx7", "none", "zz3"))
+    assert against < plain - 0.5 and speaks > plain + 0.2
+
+
+def test_the_cut_decides():
+    """A short line between paragraphs is kept, the same line among links is not."""
+    line, para = "<div>A short line</div>", f"<p>{'Long paragraphs say much, and say it well. ' * 5}</p>"
+    link = "<div><a href=x>Some link</a></div>"
+    assert "A short line" in m.main_text(para + para + line + para) and "A short line" not in m.main_text(link * 3 + line + link * 3)
+    _, own, content = m.labelled(para + line + para, m.Model())
+    assert (own[1] > 0) != content[1]
+
+
+@pytest.mark.parametrize("name", "sidebar-left left-sidebar ad-wrapper nav-open comments-layout aside toc alert discussion commentlist teaser popular".split())
+def test_names_of_boilerplate(name):
+    page = f"<body><div id=content><p>{LONG} First.</p><div class={name}><p>{LONG}</p></div><p>{LONG} Last.</p></div></body>"
+    assert m.main_text(page) == f"{LONG} First. {LONG} Last."
+    framed = f"<body><div class=left-sidebar><article><p>{LONG} First.</p></article></div></body>"
+    assert m.main_text(framed) == f"{LONG} First."
+
+
+def test_repeated_pages_and_clashing_columns(spark, none):
+    rows = [(1, PAGE, 7, "x"), (1, PAGE, 7, "x"), (2, None, 8, "y")]
+    df = spark.createDataFrame(rows, "page_id long, html string, N_CHARS int, h string")
+    model = m.learn(df)
+    got = m.extract(df, model=model).collect()
+    assert m.extract(df).columns == ["page_id", "html", "h", "text", "n_chars"] and got[0].text == got[1].text != "" and [r.n_chars for r in got if r.page_id == 2] == [0]
+    assert m.learn(df.limit(0)).names == {} and m.learn(df, sample_bytes=1).names == {}
