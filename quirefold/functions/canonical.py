@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import math
 from decimal import Decimal
+from functools import lru_cache
+from json.encoder import encode_basestring as string_text
 
 
 def number_text(value: int | float) -> str:
@@ -29,26 +30,33 @@ def number_text(value: int | float) -> str:
     return "-" * sign + text
 
 
-def string_text(value: str) -> str:
-    return json.dumps(value, ensure_ascii=False)
-
-
 def code_units(key: str) -> bytes:
     """Sorts as UTF-16 code units do."""
     return key.encode("utf-16-be", "surrogatepass")
 
 
+@lru_cache(4096)
+def _fields(keys: tuple[str, ...], order) -> list[tuple[str, str]]:
+    """Keys in order, with their text: objects of one kind have the same keys."""
+    return [(k, string_text(k) + ":") for k in sorted(keys, key=order)]
+
+
 def canonical(value, order=code_units) -> str:
     """JSON text without blanks, keys in the given order (of UTF-16 code units by default)."""
+    if isinstance(value, str):
+        return string_text(value)
     if value is None or isinstance(value, bool):
         return {None: "null", True: "true", False: "false"}[value]
     if isinstance(value, (int, float)):
         return number_text(value)
-    if isinstance(value, str):
-        return string_text(value)
     if isinstance(value, (list, tuple)):
-        return "[" + ",".join(canonical(v, order) for v in value) + "]"
-    return "{" + ",".join(f"{string_text(k)}:{canonical(value[k], order)}" for k in sorted(value, key=order)) + "}"
+        return "[" + ",".join([canonical(v, order) for v in value]) + "]"
+    return joined({k: canonical(v, order) for k, v in value.items()}, order)
+
+
+def joined(texts: dict[str, str], order=code_units) -> str:
+    """An object of values that are canonical text already."""
+    return "{" + ",".join([label + texts[k] for k, label in _fields(tuple(texts), order)]) + "}"
 
 
 def digest(value) -> str:

@@ -20,7 +20,7 @@ from ..renderers.epub import published
 from ..sources import bundle
 from ..sources import decode as codec
 from ..sources import schema as S
-from ..sources.store import stored
+from ..sources.store import spread, stored
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -177,7 +177,7 @@ def graphs(spark, sf_dir) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([build(*x) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], pa.string())], names=["doc_key", "raw"])
 
-    return read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_key long, raw string")
+    return spread(read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id").mapInArrow(run, "doc_key long, raw string")
 
 
 def decoded_graphs(spark, sf_dir):

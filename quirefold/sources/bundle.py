@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.canonical import canonical
+from ..functions.canonical import canonical, joined
 from ..sources.decode import Decoder, Rejected, decode_one, digests, loads
 from . import schema as S
 
@@ -49,9 +49,10 @@ def create(document: dict, external: frozenset[str] = frozenset(), media_type: s
     if len(assets) > ASSETS:
         raise Refused("assets", "LIMIT")
     body = canonical(plain)
-    envelope = {"mediaType": media_type, "bundleVersion": VERSION, "schemaVersion": document["schemaVersion"], "documentSha256": hashlib.sha256(body.encode()).hexdigest(), "document": plain, "assets": assets, "receipt": document["receipt"]}
-    out = canonical(envelope).encode()
-    if len(out) > RAW or any(len(canonical(v).encode()) > FIELD for v in envelope.values()):
+    envelope = {"mediaType": media_type, "bundleVersion": VERSION, "schemaVersion": document["schemaVersion"], "documentSha256": hashlib.sha256(body.encode()).hexdigest(), "assets": assets, "receipt": document["receipt"]}
+    texts = {k: canonical(v) for k, v in envelope.items()} | {"document": body}  # each field once, measured as it stands
+    out = joined(texts).encode()
+    if len(out) > RAW or any(len(t) > FIELD or len(t) * 4 > FIELD and len(t.encode()) > FIELD for t in texts.values()):
         raise Refused("canonical", "LIMIT")
     return out
 
@@ -59,7 +60,7 @@ def create(document: dict, external: frozenset[str] = frozenset(), media_type: s
 def _bounded(value, depth: int = 0, left: list[int] | None = None) -> None:
     left = left if left is not None else [NODES]
     left[0] -= 1
-    if depth > DEPTH or left[0] < 0 or isinstance(value, str) and len(value) > STRING:
+    if depth > DEPTH or left[0] < 0 or isinstance(value, str) and (len(value) > STRING or len(value) * 4 > STRING and len(value.encode()) > STRING):
         raise Refused("canonical", "LIMIT")
     for v in value.values() if isinstance(value, dict) else value if isinstance(value, list) else ():
         _bounded(v, depth + 1, left)
@@ -92,7 +93,8 @@ def verify(raw: bytes, expected: str | None = None, media_type: str = MEDIA_TYPE
         if not isinstance(a, dict) or set(a) != ASSET_KEYS or not isinstance(a["payload"], dict) or a["payload"].get("kind") not in ("embedded", "external") or set(a["payload"]) - {"kind", "base64", "resourceId"} or len(a["payload"]) != 2:
             raise Refused("canonical", "TYPE")
     ids = [a["id"] for a in envelope["assets"]]
-    if canonical(document) != body or ids != sorted(map(str, ids)) or canonical(envelope).encode() != raw:
+    texts = {k: canonical(v) for k, v in envelope.items() if k != "document"} | {"document": body}
+    if document != envelope["document"] or ids != sorted(map(str, ids)) or joined(texts).encode() != raw:
         raise Refused("canonical", "NONCANONICAL")
     wanted, total, external = {a["id"]: a for a in document["assets"]}, 0, []
     if len(ids) > ASSETS:
