@@ -44,12 +44,12 @@ def duplicate_content(spark, sf_dir):
 
 
 def lines(spark, sf_dir) -> DataFrame:
-    """Documents as blocks: one per line."""
+    """Documents as blocks: one per line; a null text is one empty line."""
     docs = read(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).withColumn("pos", F.col("pos").cast("long"))
+    return docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "text")).withColumn("pos", F.col("pos").cast("long"))
 
 
-LINES = "SELECT doc_id, CAST(unnest(range(len(l))) AS BIGINT) AS pos, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"
+LINES = "SELECT doc_id, CAST(unnest(range(len(l))) AS BIGINT) AS pos, unnest(l) AS text FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)"
 
 
 def block_split(spark, sf_dir):

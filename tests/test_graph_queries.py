@@ -1,0 +1,16 @@
+import pytest
+
+from quirefold.plans.graph_queries import FAULTS, ORACLES, QUERIES
+
+from .oracle import DATA, expected, rows
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_query(spark, name):
+    got, want = rows(QUERIES[name](spark, DATA)), expected(ORACLES[name])
+    assert got[0] == want[0] and not (diff := (got[1] - want[1], want[1] - got[1]))[0] and not diff[1], (got[0], [list(d)[:8] for d in diff])
+    assert got[1]
+
+
+def test_every_fault_is_met(spark):
+    assert spark.read.parquet(f"{DATA}/documents.parquet").count() >= len(FAULTS)
