@@ -20,7 +20,7 @@ CREDENTIAL_SHAPES = (
 ILLEGAL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F￾￿]"
 
 
-def struct_id(namespace: str, value: Column) -> Column:
+def content_id(namespace: str, value: Column) -> Column:
     """Content-addressed identifier."""
     return F.concat(F.lit(f"struct-{namespace}-"), F.substring(F.sha2(value, 256), 1, 24))
 

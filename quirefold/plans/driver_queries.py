@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.canonical import receipt_digest
-from ..functions.text import SAFE_ID_FORMAT, escape_attribute, escape_text, legal_text, safe_id, struct_id, utf16_length, utf16_slice
+from ..functions.text import SAFE_ID_FORMAT, escape_attribute, escape_text, legal_text, safe_id, content_id, utf16_length, utf16_slice
 from ..operators import invariants, ordering, reading, recovery
 from ..renderers.epub import published
 from ..sources import bundle
@@ -34,7 +34,7 @@ UNITS = "CAST(length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFF
 def content_ids(spark, sf_dir):
     """Content-addressed ids, digests and lengths of documents."""
     t = F.col("text")
-    return read(spark, sf_dir, "documents").select("doc_id", struct_id("doc", t).alias("struct_id"), F.sha2(t, 256).alias("digest"), utf16_length(t).alias("units"), F.octet_length(t).cast("long").alias("bytes"))
+    return read(spark, sf_dir, "documents").select("doc_id", content_id("doc", t).alias("content_id"), F.sha2(t, 256).alias("digest"), utf16_length(t).alias("units"), F.octet_length(t).cast("long").alias("bytes"))
 
 
 def duplicate_content(spark, sf_dir):
@@ -53,7 +53,7 @@ LINES = "SELECT doc_id, CAST(unnest(range(len(l))) AS BIGINT) AS pos, unnest(l)
 
 
 def block_split(spark, sf_dir):
-    return lines(spark, sf_dir).select("doc_id", "pos", struct_id("block", F.col("text")).alias("block_id"), utf16_length(F.col("text")).alias("units"))
+    return lines(spark, sf_dir).select("doc_id", "pos", content_id("block", F.col("text")).alias("block_id"), utf16_length(F.col("text")).alias("units"))
 
 
 def conservation_counts(spark, sf_dir):
@@ -224,7 +224,7 @@ SAFE_SQL = SAFE_ID_FORMAT.replace("'", "''")
 _ISSUES = """SELECT user_id, 'source' AS category, upper(substr(w, 1, 1)) || substr(w, 2) AS title, event_id, day(ts) AS page
 FROM (SELECT *, replace(lower(event_type), '_', ' ') AS w FROM events{where})"""
 ORACLES = {
-    "content_ids": f"SELECT doc_id, 'struct-doc-' || substr(sha256(text), 1, 24) AS struct_id, sha256(text) AS digest, {UNITS} AS units, CAST(strlen(text) AS BIGINT) AS bytes FROM documents",
+    "content_ids": f"SELECT doc_id, 'struct-doc-' || substr(sha256(text), 1, 24) AS content_id, sha256(text) AS digest, {UNITS} AS units, CAST(strlen(text) AS BIGINT) AS bytes FROM documents",
     "duplicate_content": "SELECT sha256(text) AS digest, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "block_split": f"SELECT doc_id, pos, 'struct-block-' || substr(sha256(text), 1, 24) AS block_id, {UNITS} AS units FROM ({LINES})",
     "conservation_counts": f"SELECT d.doc_id, blocks, units, units + blocks - 1 = n_chars AS conserved FROM documents d JOIN (SELECT doc_id, count(*) AS blocks, CAST(sum({UNITS}) AS BIGINT) AS units FROM ({LINES}) GROUP BY 1) USING (doc_id)",

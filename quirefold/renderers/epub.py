@@ -119,6 +119,7 @@ def entries(document: dict, profile: dict | None = None) -> dict[str, bytes]:
     direction = f' page-progression-direction="{record["pageProgressionDirection"]}"' if record else ""
     profiled = '<item id="profile" href="profile.json" media-type="application/json" />' if record else ""
     math = ' properties="mathml"' if any(map(formula, document["blocks"])) else ""
+    # The wording of the package and of its navigation, byte for byte.
     package = f"""<?xml version="1.0" encoding="UTF-8"?>
 <package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="publication-id" xml:lang="{attr(language)}">
   <metadata xmlns:dc="http://purl.org/dc/elements/1.1/">
@@ -147,10 +148,10 @@ def entries(document: dict, profile: dict | None = None) -> dict[str, bytes]:
     )
     source = document["source"] | {"fileName": re.split(r"[\\/]", document["source"]["fileName"])[-1] or "source"}
     receipt = document["receipt"] | {"conservation": in_order(document["receipt"]["conservation"], (S.COUNTERS + " " + S.FURNITURE_COUNTERS).split())}
-    struct = {"schemaVersion": document["schemaVersion"], "source": in_order(source, S.SOURCE[1]), "receipt": in_order(receipt, RECEIPT)}
+    origin = {"schemaVersion": document["schemaVersion"], "source": in_order(source, S.SOURCE[1]), "receipt": in_order(receipt, RECEIPT)}
     out = {
         "mimetype": b"application/epub+zip", "META-INF/container.xml": CONTAINER.encode(), "EPUB/package.opf": package.encode(), "EPUB/nav.xhtml": nav.encode(),
-        "EPUB/content.xhtml": render(document).encode(), "EPUB/styles.css": (profile["css"] if record else CSS).encode(), "EPUB/struct.json": (json.dumps(struct, ensure_ascii=False, separators=(",", ":")) + "\n").encode(),
+        "EPUB/content.xhtml": render(document).encode(), "EPUB/styles.css": (profile["css"] if record else CSS).encode(), "EPUB/struct.json": (json.dumps(origin, ensure_ascii=False, separators=(",", ":")) + "\n").encode(),
     }
     if record:
         out["EPUB/profile.json"] = (json.dumps(record, ensure_ascii=False, separators=(",", ":")) + "\n").encode()

@@ -24,12 +24,13 @@ from . import schema as S
 VERSION, RAW, FIELD, ASSETS, ASSET_BYTES, BASE64, DEPTH, STRING, NODES = "1.0.0", 8 * 1024 * 1024, 5_600_000, 256, 4 * 1024 * 1024, 5_592_408, 128, 5_592_408, 1_000_000
 KEYS = {"mediaType", "bundleVersion", "schemaVersion", "documentSha256", "document", "assets", "receipt"}
 ASSET_KEYS = {"id", "sha256", "mediaType", "byteLength", "payload"}
+#: The default only: bundles that are exchanged with other engines need the media type those use, given as a parameter.
 MEDIA_TYPE = "application/vnd.struct+json"
 
 
 class Refused(ValueError):
     def __init__(self, stage: str, code: str):
-        super().__init__(f"struct bundle {stage} rejected")
+        super().__init__(f"bundle refused at {stage}: {code}")
         self.stage, self.code = stage, code
 
 

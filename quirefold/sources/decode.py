@@ -26,7 +26,7 @@ from . import schema as S
 
 class Rejected(ValueError):
     def __init__(self, code: str, path: str, message: str):
-        super().__init__(f"STRUCT_CODEC_{code} at {path}: {message}")
+        super().__init__(f"{code} at {path}: {message}")
         self.code, self.path, self.message = code, path, message
 
 

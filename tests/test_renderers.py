@@ -24,6 +24,7 @@ def proof():
 
 
 def golden(name):
+    # Three documents whose digests are known.
     def b(i, kind, text, inline=(), column="single", **more):
         return {"id": "s04-" + i, "kind": kind, "text": text, "page": 1, "column": column, "inline": list(inline), "evidence": proof()} | more
 
@@ -165,3 +166,18 @@ def test_links_of_a_package():
     for body in ("<a href='../b.xhtml#y'/>", "<a href='#'/>", "<a href='/b.xhtml'/>", "<a href='../../b.xhtml'/>", "<a href='c.xhtml'/>", "<a href='javascript:x'/>", "<a href='b?c'/>", "<a href=' #y'/>", "<i id='q'/><b id='q'/>", "<b>", "<a href='a\\b'/>", "<a href='//e.org'/>"):
         with pytest.raises(xhtml.Unrenderable):
             check(body)
+
+
+def test_long_nested_lists():
+    """Ten thousand items of changing levels and kinds stay linear, and every item is published once, in order of its list."""
+    rows = [(n * n % 11, n % 5 == 0, "a" if n % 1000 else "b", True) for n in range(10_000)]
+    places = xhtml.list_places(items(*rows))
+    assert all(holder is None or holder < n for n, (_, holder) in enumerate(places))
+
+    def walk(lists):
+        for x in lists:
+            for e in x["entries"]:
+                yield e["item"]["block"]
+                yield from walk(e["lists"])
+
+    assert sorted(walk(xhtml.nested_lists(items(*rows)))) == list(range(10_000))
