@@ -48,17 +48,20 @@ def segments(runs: DataFrame, keys: list[str]) -> DataFrame:
     """Text cut at every start and end of its inline runs: keys, start, end, owners (the covering runs' positions).
 
     runs: keys, text_units, run_pos, start, end. Owners come by start, then longest first, then position. Runs of no
-    width own nothing. A range join on the boundaries of one text, never across texts.
+    width own nothing. Segments of a text are numbered, and a run finds its first and last one by equality of their
+    bounds, so rows grow with what runs cover, not with runs times segments.
     """
     solid = runs.filter("`end` > start")
+    w = W.partitionBy(*keys).orderBy("start")
     cuts = (
         solid.select(*keys, F.explode(F.array(F.lit(0).cast("long"), "text_units", "start", "end")).alias("start")).distinct()
-        .withColumn("end", F.lead("start").over(W.partitionBy(*keys).orderBy("start"))).filter("`end` is not null")
+        .withColumn("end", F.lead("start").over(w)).withColumn("_nth", F.row_number().over(w)).filter("`end` is not null")
     )
-    own = solid.select(*keys, F.struct("start", (-F.col("end")).alias("minus_end"), "run_pos").alias("owner"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    covered = cuts.join(own, keys, "left").filter("owner is null or (_s <= start and _e >= `end`)")
-    held = covered.groupBy(*keys, "start", "end").agg(F.array_sort(F.collect_list("owner")).alias("owners"))
-    out = cuts.join(held, [*keys, "start", "end"], "left")
+    own = solid.select(*keys, F.struct("start", (-F.col("end")).alias("minus_end"), "run_pos").alias("owner"), "start", "end")
+    begun = own.join(cuts.select(*keys, "start", F.col("_nth").alias("_first")), [*keys, "start"])
+    spans = begun.join(cuts.select(*keys, "end", F.col("_nth").alias("_last")), [*keys, "end"])
+    held = spans.select(*keys, F.explode(F.sequence("_first", "_last")).alias("_nth"), "owner").groupBy(*keys, "_nth").agg(F.array_sort(F.collect_list("owner")).alias("owners"))
+    out = cuts.join(held, [*keys, "_nth"], "left").drop("_nth")
     return out.withColumn("owners", F.coalesce(F.transform("owners", lambda o: o["run_pos"]), F.array().cast("array<int>")))
 
 

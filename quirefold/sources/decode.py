@@ -222,23 +222,54 @@ class Decoder:
         return out
 
     def is_consultations(self, v, path):
-        """A closed receipt: known top-level keys, bounded size, no key or value shaped like a credential."""
-        def visit(x, depth, budget):
-            budget[0] -= 1
-            if depth > 128 or budget[0] < 0:
+        """A closed receipt: known top-level keys, bounded size, no key or value shaped like a credential.
+
+        What is met first, a bound or a fault, decides the code. Texts and keys count in UTF-8 bytes.
+        """
+        nodes = held = 0
+
+        def fault(broken):
+            if broken:
+                raise Rejected("MODEL_RECEIPT", path, "receipt is not a closed record free of credentials")
+
+        def bound(exceeded):
+            if exceeded:
                 raise Rejected("BUDGET", path, "receipt exceeds its bounds")
-            if isinstance(x, str) and any(p.match(x) for p in SHAPES):
-                raise Rejected("MODEL_RECEIPT", path, "receipt holds a credential-shaped value")
-            for k in x if isinstance(x, dict) else ():
-                plain = re.sub(r"[^A-Za-z0-9]", "", k).lower()
-                if not is_safe_id(k) or any(f in plain for f in ("apikey", "authorization", "credential", "password", "privatekey", "secret", "token")):
-                    raise Rejected("MODEL_RECEIPT", path, "receipt holds a forbidden key")
-            for y in x.values() if isinstance(x, dict) else x if isinstance(x, list) else ():
-                visit(y, depth + 1, budget)
-        visit(v, 0, [100_000])
-        known = {"schemaVersion", "documentId", "sourceSha256", "consultations", "decisions", "metrics", "semanticStateSha256"}
-        if not isinstance(v, dict) or set(v) - known or not isinstance(v.get("consultations"), list) or not isinstance(v.get("decisions"), list) or not isinstance(v.get("metrics"), dict) or not isinstance(v.get("documentId"), str):
-            raise Rejected("MODEL_RECEIPT", path, "receipt envelope is not closed")
+
+        def count(x):
+            nonlocal held
+            size = len(x.encode("utf-8", "surrogatepass"))
+            held += size
+            bound(size > S.RECEIPT_STRING_BYTES or held > S.RECEIPT_BYTES)
+
+        def visit(x, depth):
+            nonlocal nodes
+            nodes += 1
+            bound(depth > S.RECEIPT_DEPTH or nodes > S.RECEIPT_NODES)
+            if isinstance(x, str):
+                count(x)
+                fault(any(p.match(x) for p in SHAPES))
+            elif isinstance(x, float):
+                fault(not math.isfinite(x) or x == 0 and math.copysign(1, x) < 0)
+            elif isinstance(x, (list, dict)):
+                bound(len(x) > S.RECEIPT_NODES - nodes)
+                for y in x:
+                    if isinstance(x, dict):
+                        plain = re.sub(r"[^A-Za-z0-9]", "", y).lower()
+                        fault(not is_safe_id(y) or any(f in plain for f in S.SECRET_KEYS.split()))
+                        count(y)
+                        y = x[y]
+                    visit(y, depth + 1)
+
+        visit(v, 0)
+        fault(not isinstance(v, dict) or set(v) - set(S.RECEIPT_KEYS.split()))
+        hashed = lambda x: isinstance(x, str) and re.fullmatch(r"[a-f0-9]{64}", x)
+        fault(v.get("schemaVersion") != S.RECEIPT_VERSION or not isinstance(v.get("documentId"), str) or not is_safe_id(v["documentId"]))
+        fault("sourceSha256" not in v or v["sourceSha256"] is not None and not hashed(v["sourceSha256"]))
+        fault("semanticStateSha256" in v and not hashed(v["semanticStateSha256"]))
+        fault(not isinstance(v.get("metrics"), dict))
+        for name in ("consultations", "decisions"):
+            fault(not isinstance(v.get(name), list) or not all(isinstance(x, dict) for x in v[name]))
         return v
 
     # -- composites

@@ -27,6 +27,10 @@ SIDES = "single left right span"
 # Fixed resource bounds.
 ITEMS, TABLE_SIZE, ASSETS, ASSET_BYTES = 100_000, 100_000, 512, 128 * 1024 * 1024
 RECOVERY_ISSUES, RECOVERY_PAGES, STRING_BYTES, OBJECT_KEYS = 10_000, 100_000, 4 * 1024 * 1024, 100_000
+# Bounds of a consultation receipt, its keys, and what no key in it may hold.
+RECEIPT_VERSION, RECEIPT_DEPTH, RECEIPT_NODES, RECEIPT_STRING_BYTES, RECEIPT_BYTES = "1.0.0", 128, 100_000, 1024 * 1024, 8 * 1024 * 1024
+RECEIPT_KEYS = "schemaVersion documentId sourceSha256 consultations decisions metrics semanticStateSha256"
+SECRET_KEYS = "apikey authorization credential password privatekey secret token"
 # Fixed names of the conservation counters.
 COUNTERS = (
     "sourceNodeCount accountedSourceNodeCount sourceRegionCount accountedSourceRegionCount sourceAnnotationCount accountedSourceAnnotationCount "

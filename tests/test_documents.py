@@ -5,6 +5,7 @@ import pytest
 from quirefold.functions.canonical import number_text
 from quirefold.operators import invariants
 from quirefold.sources import decode as D
+from quirefold.sources import schema as S
 
 from .fixtures import block, changed, document
 
@@ -53,6 +54,46 @@ def test_scalars():
         assert D.decode_one(json.dumps(doc))[1] == code
 
 
+def consulted(**more):
+    return {"schemaVersion": "1.0.0", "documentId": "doc-1", "sourceSha256": None, "consultations": [], "decisions": [], "metrics": {}} | more
+
+
+def nested(depth):
+    return {"a": nested(depth - 1)} if depth else {}
+
+
+RECEIPTS = [
+    (consulted(), None),
+    (consulted(semanticStateSha256="a" * 64), None),
+    (consulted(semanticStateSha256="a"), "MODEL_RECEIPT"),
+    (consulted(schemaVersion="0.2.0"), "MODEL_RECEIPT"),
+    (consulted(documentId="a b"), "MODEL_RECEIPT"),
+    (consulted(extra=1), "MODEL_RECEIPT"),
+    (consulted(decisions=[1]), "MODEL_RECEIPT"),
+    (consulted(metrics={"api-Key": 1}), "MODEL_RECEIPT"),
+    (consulted(metrics={"a": "ghp_x"}), "MODEL_RECEIPT"),
+    (consulted(metrics={"a": -0.0}), "MODEL_RECEIPT"),
+    (consulted(metrics={"a": "é" * (S.RECEIPT_STRING_BYTES // 2)}), None),
+    (consulted(metrics={"a": "é" * (S.RECEIPT_STRING_BYTES // 2) + "x"}), "BUDGET"),
+    (consulted(decisions=[{"a": "x" * 1_048_550}] * 8), None),
+    (consulted(decisions=[{"a": "x" * 1_048_570}] * 8), "BUDGET"),
+    (consulted(metrics={"a": [0] * (S.RECEIPT_NODES - 8)}), None),
+    (consulted(metrics={"a": [0] * (S.RECEIPT_NODES - 7)}), "BUDGET"),
+    (consulted(metrics=nested(S.RECEIPT_DEPTH - 1)), None),
+    (consulted(metrics=nested(S.RECEIPT_DEPTH)), "BUDGET"),
+]
+
+
+@pytest.mark.parametrize(("receipt", "code"), RECEIPTS, ids=range(len(RECEIPTS)))
+def test_consultation_receipts(receipt, code):
+    """Each bound holds what is just within it and nothing beyond."""
+    kind = ("consultations",)
+    try:
+        assert D.Decoder()(kind, receipt, "$") == receipt and code is None
+    except D.Rejected as e:
+        assert e.code == code
+
+
 CASES = [
     (None, True, None, None),
     (lambda d: d["blocks"].append(block(4)), True, "PAGE_BINDING", "$.blocks[4].page"),

@@ -61,6 +61,40 @@ def golden(name):
     }, **{f"{a}{k}Count": len(blocks) for a in ("source", "accountedSource") for k in ("Node", "Annotation")})
 
 
+BOUNDS = [
+    # runs of 1 unit side by side: 1 segment, 1 visit and 64 bytes each
+    ("segments", lambda n: ("x" * n, [{"start": i, "end": i + 1, "bold": True} for i in range(n)])),
+    # n runs over the same unit: n visits
+    ("owner visits", lambda n: ("x", [{"start": 0, "end": 1, "bold": True}] * n)),
+    ("events", lambda n: ("x", [{"start": 0, "end": 1, "bold": True}] * (n // 2))),
+    ("wrapper bytes", lambda n: ("x", [{"start": 0, "end": 1, "bold": True}] * (n // xhtml.OWNER_BYTES))),
+    # numbers in a citation that no label spells
+    ("citation matches", lambda n: ("1 " * n, [{"start": 0, "end": 2 * n, "semanticRole": "citation", "relationshipId": "r"}])),
+]
+
+
+@pytest.mark.parametrize(("name", "made"), BOUNDS)
+def test_budgets(monkeypatch, name, made):
+    """What just reaches a budget is rendered, one step more is not."""
+    for other in xhtml.BUDGETS:
+        monkeypatch.setitem(xhtml.BUDGETS, other, 640 if other == name else 1 << 40)
+    doc = {"blocks": [], "assets": [], "relationships": [], "metadata": {}}
+    step = xhtml.OWNER_BYTES if name == "wrapper bytes" else 2 if name == "events" else 1
+    assert xhtml.Publication(doc).inline(*made(640))
+    with pytest.raises(xhtml.Unrenderable, match=name):
+        xhtml.Publication(doc).inline(*made(640 + step))
+
+
+def test_many_runs():
+    """Segments by sweep against a brute force, and 50,000 runs in passable time."""
+    runs = [{"start": s, "end": min(600, s + s * 7 % 40 + 300 * (s % 50 == 0)), "n": n} for n, s in enumerate([*range(0, 600, 4), *range(0, 600, 9)])]
+    solid = sorted((r for r in runs if r["end"] > r["start"]), key=lambda r: (r["start"], -r["end"]))
+    got = [(a, b, list(o)) for a, b, o in xhtml.segments(600, runs)]
+    assert [g[0] for g in got] == sorted({0, *(r["start"] for r in solid), *(r["end"] for r in solid)} - {600})
+    assert all(o == [r for r in solid if r["start"] <= a and r["end"] >= b] for a, b, o in got)
+    assert sum(1 for _ in xhtml.segments(100_000, [{"start": 2 * i, "end": 2 * i + 1} for i in range(50_000)])) == 100_000
+
+
 @pytest.mark.parametrize("name", GOLDEN)
 def test_frozen_markup(name):
     doc, code, path = D.decode_one(json.dumps(golden(name)))
