@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import utf16_length
 from .ordering import column_rank  # noqa: F401  (part of the operator family)
 
 
@@ -65,6 +66,49 @@ def segments(runs: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("owners", F.coalesce(F.transform("owners", lambda o: o["run_pos"]), F.array().cast("array<int>")))
 
 
+RUN = ["doc_key", "block_pos", "cell_pos"]
+
+
+def segment_owners(t: dict[str, DataFrame]) -> DataFrame:
+    """Segments of all inline texts (doc_key, block_pos, cell_pos, start, end) with the run that each is wrapped by.
+
+    wrapper is the position of the first owner that refers by role and relationship, and by is 'reference'; else of
+    the first owner that links, and by is 'link'; null where an owner only marks or there is none.
+    """
+    runs = t["runs"].withColumn("text_units", utf16_length(F.col("text")))
+    refers = F.col("semanticRole").isNotNull() & F.col("relationshipId").isNotNull()
+    links = F.col("href").isNotNull() | (F.size("targetIds") > 0)
+    facts = runs.select(*RUN, "run_pos", F.when(refers, 0).when(links, 1).alias("rank")).filter("rank is not null")
+    cut = segments(runs, RUN)
+    owned = cut.select(*RUN, "start", F.posexplode("owners").alias("place", "run_pos")).join(facts, [*RUN, "run_pos"])
+    best = owned.groupBy(*RUN, "start").agg(F.min(F.struct("rank", "place", "run_pos")).alias("best"))
+    by = F.when(F.col("best.rank") == 0, "reference").when(F.col("best.rank") == 1, "link")
+    return cut.join(best, [*RUN, "start"], "left").select(*RUN, "start", "end", F.col("best.run_pos").alias("wrapper"), by.alias("by"))
+
+
+def reference_targets(t: dict[str, DataFrame]) -> DataFrame:
+    """What each referring run points to: doc_key, block_pos, cell_pos, run_pos, n, target, label, kind, href.
+
+    A matched relationship's ends count, in order; of any other status, or of none, the run's own targets. Labels are
+    the parts of the relationship's label, or else numbers from 1.
+    """
+    runs = t["runs"].filter("semanticRole is not null and relationshipId is not null").select(*RUN, "run_pos", "targetIds", F.col("relationshipId").alias("id"))
+    edges = t["edges"].select("doc_key", "id", "status", "to", F.filter(F.transform(F.split(F.coalesce("label", F.lit("")), ","), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "").alias("labels"))
+    joined = runs.join(edges, ["doc_key", "id"], "left")
+    ends = F.when(F.col("status") == "matched", F.col("to")).otherwise(F.col("targetIds"))
+    flat = joined.select(*RUN, "run_pos", "labels", F.posexplode(ends).alias("n", "target"))
+    label = F.coalesce(F.get("labels", F.col("n")), (F.col("n") + 1).cast("string"))
+    return resolved_targets(flat.withColumn("label", label).drop("labels"), t)
+
+
+def notes_by_author(t: dict[str, DataFrame]) -> DataFrame:
+    """doc_key, author_pos, author, notes (label, id, target) in order; an author without notes has none."""
+    authors = t["documents"].select("doc_key", F.posexplode("doc.metadata.authors").alias("author_pos", "author"))
+    held = t["notes"].groupBy("doc_key", "author").agg(F.array_sort(F.collect_list(F.struct("pos", "label", "id", "target"))).alias("notes"))
+    notes = F.transform("notes", lambda x: F.struct(x["label"].alias("label"), x["id"].alias("id"), x["target"].alias("target")))
+    return authors.join(held, ["doc_key", "author"], "left").select("doc_key", "author_pos", "author", F.coalesce(notes, F.array().cast("array<struct<label:string,id:string,target:string>>")).alias("notes"))
+
+
 def first_emission(rows: DataFrame, keys: list[str], name: str, order: list[str]) -> DataFrame:
     """Rows with `first`: whether they are the first of their name."""
     return rows.withColumn("first", F.row_number().over(W.partitionBy(*keys, name).orderBy(*order)) == 1)

@@ -10,6 +10,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,6 +24,7 @@ from . import schema as S
 
 # Fixed values of profile 1.0.0.
 VERSION, RAW, FIELD, ASSETS, ASSET_BYTES, BASE64, DEPTH, STRING, NODES = "1.0.0", 8 * 1024 * 1024, 5_600_000, 256, 4 * 1024 * 1024, 5_592_408, 128, 5_592_408, 1_000_000
+IDENTIFIER, LONE = re.compile(r"[A-Za-z0-9][A-Za-z0-9._:-]{0,127}\Z"), re.compile(r"[\ud800-\udfff]")
 KEYS = {"mediaType", "bundleVersion", "schemaVersion", "documentSha256", "document", "assets", "receipt"}
 ASSET_KEYS = {"id", "sha256", "mediaType", "byteLength", "payload"}
 #: The default only: bundles that are exchanged with other engines need the media type those use, given as a parameter.
@@ -59,10 +62,18 @@ def create(document: dict, external: frozenset[str] = frozenset(), media_type: s
 
 
 def _bounded(value, depth: int = 0, left: list[int] | None = None) -> None:
+    """Nodes, depth, bytes of texts and keys; numbers must be finite and whole ones safe, texts without lone surrogates."""
     left = left if left is not None else [NODES]
     left[0] -= 1
-    if depth > DEPTH or left[0] < 0 or isinstance(value, str) and (len(value) > STRING or len(value) * 4 > STRING and len(value.encode()) > STRING):
+    if depth > DEPTH or left[0] < 0:
         raise Refused("canonical", "LIMIT")
+    if isinstance(value, (int, float)) and (not math.isfinite(value) or value == int(value) and abs(value) > 2**53 - 1):
+        raise Refused("canonical", "TYPE")
+    for x in [value] if isinstance(value, str) else value if isinstance(value, dict) else ():
+        if len(x.encode("utf-8", "surrogatepass")) > STRING:
+            raise Refused("canonical", "LIMIT")
+        if LONE.search(x):
+            raise Refused("canonical", "TYPE")
     for v in value.values() if isinstance(value, dict) else value if isinstance(value, list) else ():
         _bounded(v, depth + 1, left)
 
@@ -95,6 +106,8 @@ def verify(raw: bytes, expected: str | None = None, media_type: str = MEDIA_TYPE
             raise Refused("canonical", "TYPE")
     ids = [a["id"] for a in envelope["assets"]]
     texts = {k: canonical(v) for k, v in envelope.items() if k != "document"} | {"document": body}
+    if any(len(t.encode()) > FIELD for t in texts.values()):
+        raise Refused("canonical", "LIMIT")
     if document != envelope["document"] or ids != sorted(map(str, ids)) or joined(texts).encode() != raw:
         raise Refused("canonical", "NONCANONICAL")
     wanted, total, external = {a["id"]: a for a in document["assets"]}, 0, []
@@ -211,3 +224,46 @@ def policy_digest(policy: dict, domain: bytes) -> tuple[str, str]:
         raise Refused("resolve", "POLICY") from None
     text = canonical(json.loads(json.dumps(policy | {"transport": t})))
     return text, hashlib.sha256(domain + b"\0" + text.encode()).hexdigest()
+
+
+def fetch_receipt(policy: dict, policy_sha256: str, expected: dict, receipt: dict, domain: bytes) -> dict:
+    """The receipt of a fetch, if it names the policy, the expected asset and a way that the policy allows.
+
+    expected: id, sha256, mediaType, byteLength of the asset. Refused('resolve', 'SHAPE') where keys are missing or
+    unknown, Refused('resolve', 'VALUE') where a value differs. It tells nothing about the bytes themselves.
+    """
+    def closed(value, required: str, optional: str = "") -> dict:
+        if not isinstance(value, dict) or set(required.split()) - set(value) or set(value) - set(required.split()) - set(optional.split()):
+            raise Refused("resolve", "SHAPE")
+        return value
+
+    def holds(test) -> None:
+        if not test:
+            raise Refused("resolve", "VALUE")
+
+    named = lambda v: isinstance(v, str) and bool(IDENTIFIER.match(v))
+    length = lambda v: type(v) in (int, float) and v == int(v) and 0 <= v < 2**53
+    text, own = policy_digest(policy, domain)
+    way = json.loads(text)["transport"]
+    holds(policy_sha256 == own)
+    closed(expected, "id sha256 mediaType byteLength")
+    holds(all(isinstance(expected[k], str) and expected[k] for k in ("id", "mediaType")))
+    holds(isinstance(expected["sha256"], str) and re.fullmatch(r"[0-9a-f]{64}", expected["sha256"]) and length(expected["byteLength"]))
+    closed(receipt, "protocolVersion resourceId transportReceipt", "declaredByteLength")
+    holds(receipt["protocolVersion"] == VERSION and receipt["resourceId"] == "sha256:" + expected["sha256"])
+    if "declaredByteLength" in receipt:
+        holds(length(receipt["declaredByteLength"]) and receipt["declaredByteLength"] == expected["byteLength"])
+    went = receipt["transportReceipt"]
+    if not isinstance(went, dict):
+        raise Refused("resolve", "SHAPE")
+    holds(went.get("policySha256") == own and went.get("kind") == way["kind"])
+    place = {"https": "endpointMapId", "filesystem": "rootCapabilityId", "content-addressed": "storeId"}[way["kind"]]
+    closed(went, f"kind policySha256 {place}" + " endpointId redirectEndpointIds" * (way["kind"] == "https"))
+    holds(named(went[place]) and went[place] == way[place])
+    if way["kind"] == "https":
+        hops, allowed = went["redirectEndpointIds"], way["allowedEndpointIds"]
+        holds(named(went["endpointId"]) and went["endpointId"] in allowed)
+        if not isinstance(hops, list):
+            raise Refused("resolve", "SHAPE")
+        holds(all(named(h) and h in allowed for h in hops) and len(hops) <= (0 if way["redirects"] == "deny" else way["maxRedirects"]))
+    return receipt

@@ -75,6 +75,39 @@ def test_policies():
         assert refused(lambda bad=bad: B.policy_digest(policy | {"transport": web | bad}, b"d")) == ("resolve", "POLICY")
 
 
+def test_fetch_receipts():
+    base = {"protocolVersion": "1.0.0", "profileId": "research", "profileVersion": "v1", "maxConcurrent": 3}
+    web = base | {"transport": {"kind": "https", "endpointMapId": "m", "allowedEndpointIds": ["b", "a"], "redirects": "same-origin", "maxRedirects": 2, "denyPrivateNetworks": True, "serializedLocators": False}}
+    store = base | {"transport": {"kind": "content-addressed", "storeId": "s", "algorithm": "sha256"}}
+    asset = {"id": "x", "sha256": "a" * 64, "mediaType": "image/png", "byteLength": 9}
+
+    def check(policy, went, digest=None, **more):
+        own = B.policy_digest(policy, b"d")[1]
+        receipt = {"protocolVersion": "1.0.0", "resourceId": "sha256:" + "a" * 64, "transportReceipt": {"kind": policy["transport"]["kind"], "policySha256": own} | went} | more
+        try:
+            assert B.fetch_receipt(policy, digest or own, asset, receipt, b"d") == receipt
+        except B.Refused as e:
+            return e.stage, e.code
+
+    good = {"endpointMapId": "m", "endpointId": "a", "redirectEndpointIds": ["b", "a"]}
+    assert check(web, good) is None and check(web, good, declaredByteLength=9) is None and check(store, {"storeId": "s"}) is None
+    value, shape = ("resolve", "VALUE"), ("resolve", "SHAPE")
+    for bad, code in (({"endpointId": "c"}, value), ({"redirectEndpointIds": ["a"] * 3}, value), ({"redirectEndpointIds": "a"}, shape), ({"endpointMapId": "n"}, value), ({"extra": 1}, shape), ({"kind": "filesystem"}, value), ({"policySha256": "0" * 64}, value)):
+        assert check(web, good | bad) == code
+    deny = web | {"transport": web["transport"] | {"redirects": "deny"}}
+    assert check(deny, good) == value and check(deny, good | {"redirectEndpointIds": []}) is None
+    assert check(store, {"storeId": "t"}) == value and check(store, {}) == shape and check(store, {"storeId": "s"}, digest="0" * 64) == value
+    assert check(store, {"storeId": "s"}, declaredByteLength=8) == value and check(store, {"storeId": "s"}, resourceId="sha256:0") == value and check(store, {"storeId": "s"}, more=1) == shape
+
+
+def test_hostile_values():
+    """Lone surrogates and numbers beyond JSON's safe range are refused, not a crash."""
+    raw = B.create(D.decode_one(json.dumps(golden("assets-links")))[0])
+    for old, new in ((b'"byteLength":12', b'"byteLength":1e999'), (b'"byteLength":12', b'"byteLength":9007199254740993'), (b'"id":"s04-asset-figure","mediaType":"image/png","payload"', b'"id":"\\ud800","mediaType":"image/png","payload"')):
+        assert raw.count(old) >= 1
+        assert refused(lambda old=old, new=new: B.verify(raw.replace(old, new))) == ("canonical", "TYPE")
+
+
 def test_citations():
     r = xhtml.citation_ranges
     assert r("[1, ²–3]", ["1", "2", "3"], ["a", "b", "c"]) == [(1, 2, "a"), (4, 5, "b"), (6, 7, "c")]

@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from quirefold.operators import ordering, reading, recovery
+from quirefold.renderers import xhtml
 from quirefold.sources import decode as D
 
 from .fixtures import block, changed, evidence
@@ -43,6 +44,33 @@ def test_graph(spark):
     assert reading.flat_lists(reading.list_items(t["blocks"])).count() == 0  # both runs declare nesting
 
 
+def test_wrappers_references_and_notes(spark):
+    """The table operators against the renderer's choice on a document with every kind of run."""
+    def change(doc):
+        doc["metadata"] |= {"authors": ["Ann", "Bob"], "authorNotes": [{"id": f"n-{i}", "label": x, "author": "Bob", "target": "b-2"} for i, x in enumerate("*+")]}
+        doc["blocks"][1] |= {"text": "one two three four", "inline": [
+            {"start": 0, "end": 18, "bold": True}, {"start": 0, "end": 7, "href": "https://a.example/"}, {"start": 4, "end": 13, "semanticRole": "citation", "relationshipId": "r-1"},
+            {"start": 8, "end": 18, "targetIds": ["b-0"]}, {"start": 14, "end": 18, "semanticRole": "cross-reference", "relationshipId": "r-2", "targetIds": ["b-0"]},
+        ]}
+        doc["relationships"][0] |= {"kind": "citation", "to": ["b-2", "#b-0"], "label": "7, "}
+        doc["relationships"].append(doc["relationships"][0] | {"id": "r-2", "status": "ambiguous", "to": [], "candidates": []})
+
+    raw = json.dumps(changed(change))
+    doc, code, path = D.decode_one(raw)
+    assert code is None, path
+    t = D.tables(D.decode(spark.createDataFrame([(1, raw)], "doc_key long, raw string")).cache())
+    got = [(r.start, r.end, r.wrapper, r.by) for r in reading.segment_owners(t).orderBy("start").collect()]
+    assert got == [(0, 4, 1, "link"), (4, 7, 2, "reference"), (7, 8, 2, "reference"), (8, 13, 2, "reference"), (13, 14, 3, "link"), (14, 18, 4, "reference")]
+    runs = doc["blocks"][1]["inline"]
+    for start, end, wrapper, _ in got:  # the renderer's segments and owners
+        owners = next(o for a, b, o in xhtml.segments(18, runs) if (a, b) == (start, end))
+        assert wrapper == runs.index(next((r for r in owners if r.get("relationshipId")), None) or next(r for r in owners if r.get("href") or r.get("targetIds")))
+    refs = sorted((r.run_pos, r.n, r.target, r.label, r.kind, r.href) for r in reading.reference_targets(t).collect())
+    assert refs == [(2, 0, "b-2", "7", "block", "#b-2"), (2, 1, "#b-0", "2", "block", "#b-0"), (4, 0, "b-0", "7", "block", "#b-0")]
+    notes = {r.author: [(n.label, n.id, n.target) for n in r.notes] for r in reading.notes_by_author(t).collect()}
+    assert notes == {"Ann": [], "Bob": [("*", "n-0", "b-2"), ("+", "n-1", "b-2")]}
+
+
 def test_order_and_layouts(spark):
     box = lambda y, x=0.0: {"y": float(y), "x": float(x)}
     rows = [
