@@ -75,7 +75,7 @@ def segment_owners(t: dict[str, DataFrame]) -> DataFrame:
     wrapper is the position of the first owner that refers by role and relationship, and by is 'reference'; else of
     the first owner that links, and by is 'link'; null where an owner only marks or there is none.
     """
-    runs = t["runs"].withColumn("text_units", utf16_length(F.col("text")))
+    runs = t["runs"] if "text_units" in t["runs"].columns else t["runs"].withColumn("text_units", utf16_length(F.col("text")))
     refers = F.col("semanticRole").isNotNull() & F.col("relationshipId").isNotNull()
     links = F.col("href").isNotNull() | (F.size("targetIds") > 0)
     facts = runs.select(*RUN, "run_pos", F.when(refers, 0).when(links, 1).alias("rank")).filter("rank is not null")

@@ -127,15 +127,27 @@ def inline_segments(spark, sf_dir):
     return cut.select("doc_id", "start", "end", F.array_join("owners", ",").alias("owners"), F.sha2(utf16_slice(F.col("text"), F.col("start"), F.col("end")), 256).alias("words"))
 
 
-def sentence_segments(spark, sf_dir):
+def sentence_runs(spark, sf_dir) -> DataFrame:
     """Whole texts with a run for each sentence, and one from its middle to the end of the sentence after the next."""
     parts = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"\. ")).alias("i", "part")).withColumn("u", utf16_length(F.col("part")))
     w = W.partitionBy("doc_id")
     placed = parts.withColumn("end", F.sum(F.col("u") + 2).over(w.orderBy("i")) - 2).withColumn("text_units", F.max("end").over(w))
     far = F.lead("end", 2).over(w.orderBy("i"))
     made = F.array(F.struct((2 * F.col("i")).alias("run_pos"), (F.col("end") - F.col("u")).alias("start"), "end"), F.struct((2 * F.col("i") + 1).alias("run_pos"), (F.col("end") - F.col("u") + F.floor(F.col("u") / 2)).alias("start"), far.alias("end")))
-    runs = placed.withColumn("runs", made).select("doc_id", "text_units", F.explode("runs").alias("r")).select("doc_id", "text_units", "r.*").filter("`end` is not null")
-    return reading.segments(runs, ["doc_id"]).select("doc_id", "start", "end", F.array_join("owners", ",").alias("owners"))
+    return placed.withColumn("runs", made).select("doc_id", "text_units", F.explode("runs").alias("r")).select("doc_id", "text_units", "r.*").filter("`end` is not null")
+
+
+def sentence_segments(spark, sf_dir):
+    """Whole texts cut where the runs of their sentences start and end."""
+    return reading.segments(sentence_runs(spark, sf_dir), ["doc_id"]).select("doc_id", "start", "end", F.array_join("owners", ",").alias("owners"))
+
+
+def wrapped_segments(spark, sf_dir):
+    """The same with the run that wraps each segment: of five runs in a row one refers, two link and two only mark."""
+    n = F.col("run_pos") % 5
+    facts = {"semanticRole": F.when(n == 0, "citation"), "relationshipId": F.when(n == 0, "r-1"), "href": F.when(n == 1, "#b-1"), "targetIds": F.when(n == 2, F.array(F.lit("b-2")))}
+    runs = sentence_runs(spark, sf_dir).withColumns(facts | {"doc_key": F.col("doc_id"), "block_pos": F.lit(0), "cell_pos": F.lit(-1)})
+    return reading.segment_owners({"runs": runs}).select(F.col("doc_key").alias("doc_id"), "start", "end", F.col("wrapper").cast("long").alias("wrapper"), "by")
 
 
 def first_emission(spark, sf_dir):
@@ -221,7 +233,7 @@ def bundled_graphs(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     content_ids, duplicate_content, block_split, conservation_counts, legal_identifiers, recovery_issues, recovery_summaries, dangling_references, membership, speaker_runs, flat_lists,
-    inline_segments, sentence_segments, first_emission, layout_order, escaped_blocks, running_budget, decoded_graphs, published_graphs, packaged_graphs, bundled_graphs,
+    inline_segments, sentence_segments, wrapped_segments, first_emission, layout_order, escaped_blocks, running_budget, decoded_graphs, published_graphs, packaged_graphs, bundled_graphs,
 )}
 
 _ESC = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
@@ -235,6 +247,12 @@ _XHTML = """SELECT doc_id, sha256('<?xml version="1.0" encoding="UTF-8"?>' || ch
 SAFE_SQL = SAFE_ID_FORMAT.replace("'", "''")
 _ISSUES = """SELECT user_id, 'source' AS category, upper(substr(w, 1, 1)) || substr(w, 2) AS title, event_id, day(ts) AS page
 FROM (SELECT *, replace(lower(event_type), '_', ' ') AS w FROM events{where})"""
+_SENTENCES = f"""WITH s AS (SELECT doc_id, unnest(l) AS text, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split(text, '. ') AS l FROM documents)),
+        u AS (SELECT doc_id, i, {UNITS} AS u FROM s), e AS (SELECT *, CAST(sum(u + 2) OVER (PARTITION BY doc_id ORDER BY i) - 2 AS BIGINT) AS e FROM u),
+        r AS (SELECT doc_id, 2 * i AS p, e - u AS s, e FROM e UNION ALL SELECT doc_id, 2 * i + 1, e - u + u // 2, lead(e, 2) OVER (PARTITION BY doc_id ORDER BY i) FROM e), solid AS (SELECT * FROM r WHERE e > s),
+        c AS (SELECT DISTINCT doc_id, a FROM (SELECT doc_id, unnest([0, s, e]) AS a FROM solid UNION ALL SELECT doc_id, max(e) FROM e WHERE doc_id IN (SELECT doc_id FROM solid) GROUP BY 1)),
+        cut AS (SELECT * FROM (SELECT doc_id, a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM c) WHERE b IS NOT NULL)
+        """
 ORACLES = {
     "content_ids": f"SELECT doc_id, 'struct-doc-' || substr(sha256(text), 1, 24) AS content_id, sha256(text) AS digest, {UNITS} AS units, CAST(strlen(text) AS BIGINT) AS bytes FROM documents",
     "duplicate_content": "SELECT sha256(text) AS digest, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
@@ -255,13 +273,11 @@ ORACLES = {
         c AS (SELECT DISTINCT doc_id, unnest([0, u, s, e]) AS a FROM solid), cut AS (SELECT * FROM (SELECT doc_id, a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM c) WHERE b IS NOT NULL)
         SELECT cut.doc_id, a AS start, b AS "end", coalesce(string_agg(CAST(p AS VARCHAR), ',' ORDER BY s, -e, p), '') AS owners, sha256(substr(any_value(text), CAST(a + 1 AS BIGINT), CAST(b - a AS BIGINT))) AS words
         FROM cut JOIN d USING (doc_id) LEFT JOIN solid ON solid.doc_id = cut.doc_id AND s <= a AND e >= b GROUP BY 1, 2, 3""",
-    "sentence_segments": f"""WITH s AS (SELECT doc_id, unnest(l) AS text, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split(text, '. ') AS l FROM documents)),
-        u AS (SELECT doc_id, i, {UNITS} AS u FROM s), e AS (SELECT *, CAST(sum(u + 2) OVER (PARTITION BY doc_id ORDER BY i) - 2 AS BIGINT) AS e FROM u),
-        r AS (SELECT doc_id, 2 * i AS p, e - u AS s, e FROM e UNION ALL SELECT doc_id, 2 * i + 1, e - u + u // 2, lead(e, 2) OVER (PARTITION BY doc_id ORDER BY i) FROM e), solid AS (SELECT * FROM r WHERE e > s),
-        c AS (SELECT DISTINCT doc_id, a FROM (SELECT doc_id, unnest([0, s, e]) AS a FROM solid UNION ALL SELECT doc_id, max(e) FROM e WHERE doc_id IN (SELECT doc_id FROM solid) GROUP BY 1)),
-        cut AS (SELECT * FROM (SELECT doc_id, a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM c) WHERE b IS NOT NULL)
-        SELECT cut.doc_id, a AS start, b AS "end", coalesce(string_agg(CAST(p AS VARCHAR), ',' ORDER BY s, -e, p), '') AS owners
+    "sentence_segments": _SENTENCES + """SELECT cut.doc_id, a AS start, b AS "end", coalesce(string_agg(CAST(p AS VARCHAR), ',' ORDER BY s, -e, p), '') AS owners
         FROM cut LEFT JOIN solid ON solid.doc_id = cut.doc_id AND s <= a AND e >= b GROUP BY 1, 2, 3""",
+    "wrapped_segments": _SENTENCES + """, o AS (SELECT *, CASE p % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 END AS rank FROM solid),
+        w AS (SELECT cut.doc_id, a, b, (list(p ORDER BY rank, s, -e, p) FILTER (rank IS NOT NULL))[1] AS wrapper FROM cut LEFT JOIN o ON o.doc_id = cut.doc_id AND s <= a AND e >= b GROUP BY 1, 2, 3)
+        SELECT doc_id, a AS start, b AS "end", CAST(wrapper AS BIGINT) AS wrapper, CASE WHEN wrapper % 5 = 0 THEN 'reference' WHEN wrapper IS NOT NULL THEN 'link' END AS by FROM w""",
     "first_emission": "SELECT page_id, host, row_number() OVER (PARTITION BY host ORDER BY page_id) = 1 AS first FROM (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages)",
     "layout_order": "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY day(ts), CASE length(event_type) % 4 WHEN 0 THEN 0 WHEN 3 THEN 1 WHEN 1 THEN 2 ELSE 3 END, value, event_id % 7, event_id) - 1 AS BIGINT) AS place FROM events",
     "escaped_blocks": f"""SELECT doc_id, pos, sha256('<p id="b&quot;' || pos || '">' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p>') AS markup FROM ({LINES})""",

@@ -207,6 +207,33 @@ def note_links(spark, sf_dir):
     return reading.note_backlinks({"runs": runs, "edges": edges}).select(F.col("doc_key").alias("order_id"), "note_id", F.array_join("edge_ids", ",").alias("edge_ids"))
 
 
+def referred_targets(spark, sf_dir):
+    """What referring runs point to: every line item is a run with a target of its own, most are also its relationship."""
+    rows, i = read(spark, sf_dir, "lineitem"), F.col("l_linenumber")
+    key, name = F.col("l_orderkey").alias("doc_key"), F.concat(F.lit("r-"), i)
+    runs = rows.select(key, F.lit(0).alias("block_pos"), F.lit(-1).alias("cell_pos"), i.alias("run_pos"), F.when(F.col("l_linestatus") == "O", "citation").alias("semanticRole"), name.alias("relationshipId"), F.array(F.concat(F.lit("#b-"), F.col("l_suppkey") % 2)).alias("targetIds"))
+    label = F.when(i % 3 == 0, "7, 8 ").when(i % 3 == 1, " 7,, ")
+    edges = rows.filter("l_partkey % 4 > 0").select(key, name.alias("id"), F.when(F.col("l_returnflag") == "A", "ambiguous").otherwise("matched").alias("status"), F.array(F.lit("a-0"), F.lit("#b-0"), F.lit("c")).alias("to"), label.alias("label"))
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_key"))
+    assets = orders.select("doc_key", F.lit("a-0").alias("id"), F.lit("a.png").alias("href"))
+    blocks = orders.select("doc_key", F.lit("b-0").alias("id"), F.lit("paragraph").alias("kind"))
+    out = reading.reference_targets({"runs": runs, "edges": edges, "assets": assets, "blocks": blocks})
+    return out.select(F.col("doc_key").alias("order_id"), F.col("run_pos").alias("line"), F.col("n").cast("long").alias("n"), "target", "label", "kind", "href")
+
+
+def author_notes(spark, sf_dir):
+    """The notes of each author: orders have three authors, their line items are notes of four, one unknown."""
+    authors = F.struct(F.struct(F.array(F.lit("A"), F.lit("B"), F.lit("C")).alias("authors")).alias("metadata")).alias("doc")
+    docs = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_key"), authors)
+    i = F.col("l_linenumber")
+    notes = read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_key"), i.alias("pos"), F.concat(F.lit("n-"), i).alias("id"), i.cast("string").alias("label"), F.concat(F.lit("b-"), F.col("l_partkey")).alias("target"),
+        F.element_at(F.array(*map(F.lit, "ABCD")), (F.col("l_suppkey") % 4 + 1).cast("int")).alias("author"),
+    )
+    said = F.array_join(F.transform("notes", lambda n: F.concat_ws(":", n["label"], n["id"], n["target"])), ",")
+    return reading.notes_by_author({"documents": docs, "notes": notes}).select(F.col("doc_key").alias("order_id"), F.col("author_pos").cast("long").alias("author_pos"), "author", said.alias("notes"))
+
+
 def figure_assets(spark, sf_dir):
     """Line items as figures with three fallback assets, of which each order has some."""
     rows = read(spark, sf_dir, "lineitem")
@@ -252,7 +279,7 @@ def recovery_facts(spark, sf_dir):
     return made.select("event_id", "id", "fact.category", "fact.title", "fact.message", F.array_join("pages", ",").alias("pages"), recovery.has_actionable(F.col("action")).alias("actionable"), (F.col("category") == F.col("fact.category")).alias("agrees"))
 
 
-QUERIES = {f.__name__: f for f in (faulty_graphs, caption_links, link_targets, note_links, figure_assets, page_columns, list_attributes, recovery_facts)}
+QUERIES = {f.__name__: f for f in (faulty_graphs, caption_links, link_targets, note_links, referred_targets, author_notes, figure_assets, page_columns, list_attributes, recovery_facts)}
 
 # Diagnostic codes by category, in the order in which recovery_facts deals them out.
 _CODES = """('text', 'OCR_REQUIRED'), ('text', 'LOW_CONFIDENCE_OCR'), ('text', 'NO_RECONSTRUCTABLE_TEXT'), ('text', 'ISOLATED_PROSE_GLYPH'), ('text', 'INCOMPLETE_TEXT_COVERAGE'),
@@ -277,6 +304,14 @@ ORACLES = {
         CASE WHEN k = 2 THEN 'https://x.example/' || n WHEN k = 4 THEN 'mailto:' || n WHEN n = 2 OR NOT here THEN NULL WHEN k = 0 THEN 'a-' || n || '.png' ELSE '#b-' || n END AS href FROM t""",
     "note_links": """SELECT e.l_orderkey AS order_id, 'n-' || e.l_partkey % 3 AS note_id, string_agg('r-' || e.l_linenumber, ',' ORDER BY e.l_linenumber) AS edge_ids FROM lineitem e
         WHERE e.l_returnflag <> 'A' AND e.l_suppkey % 3 < 2 AND EXISTS (SELECT 1 FROM lineitem r WHERE r.l_orderkey = e.l_orderkey AND r.l_linenumber % 4 > 0 AND r.l_linenumber + 1 = e.l_linenumber AND r.l_linestatus = 'O') GROUP BY 1, 2""",
+    "referred_targets": """WITH e AS (SELECT l_orderkey AS order_id, l_linenumber AS line, l_returnflag <> 'A' AS matched, CASE l_linenumber % 3 WHEN 0 THEN ['7', '8'] WHEN 1 THEN ['7'] ELSE [] END AS labels FROM lineitem WHERE l_partkey % 4 > 0),
+        r AS (SELECT l_orderkey AS order_id, l_linenumber AS line, '#b-' || l_suppkey % 2 AS own, l_orderkey IN (SELECT o_orderkey FROM orders) AS here FROM lineitem WHERE l_linestatus = 'O'),
+        j AS (SELECT r.*, coalesce(matched, false) AS matched, coalesce(labels, []) AS labels FROM r LEFT JOIN e USING (order_id, line)),
+        t AS (SELECT order_id, line, n, ['a-0', '#b-0', 'c'][n + 1] AS target, labels, here FROM j, (VALUES (0), (1), (2)) v(n) WHERE matched UNION ALL SELECT order_id, line, 0, own, labels, here FROM j WHERE NOT matched)
+        SELECT order_id, line, CAST(n AS BIGINT) AS n, target, coalesce(labels[n + 1], CAST(n + 1 AS VARCHAR)) AS label, CASE WHEN here AND target = 'a-0' THEN 'asset' WHEN here AND target = '#b-0' THEN 'block' ELSE 'unknown' END AS kind,
+        CASE WHEN here AND target = 'a-0' THEN 'a.png' WHEN here AND target = '#b-0' THEN '#b-0' END AS href FROM t""",
+    "author_notes": """SELECT o_orderkey AS order_id, CAST(p AS BIGINT) AS author_pos, author, coalesce(string_agg(l_linenumber || ':n-' || l_linenumber || ':b-' || l_partkey, ',' ORDER BY l_linenumber, 'b-' || l_partkey), '') AS notes
+        FROM orders CROSS JOIN (VALUES (0, 'A'), (1, 'B'), (2, 'C')) a(p, author) LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_suppkey % 4 = p GROUP BY 1, 2, 3""",
     "figure_assets": """WITH w AS (SELECT l_orderkey AS order_id, l_linenumber AS line, unnest([0, 1, 2]) AS n, unnest([l_partkey % 4, l_suppkey % 4, l_linenumber % 4]) AS k FROM lineitem)
         SELECT order_id, line, string_agg('art/' || k || '.png', ',' ORDER BY n, k) AS hrefs FROM w JOIN orders ON o_orderkey = order_id WHERE k <= order_id % 4 GROUP BY 1, 2""",
     "page_columns": f"""WITH e AS (SELECT user_id, CAST(day(ts) AS BIGINT) AS page, event_id, {_SIDE} AS side, CASE {_SIDE} WHEN 'span' THEN 0 WHEN 'single' THEN 1 WHEN 'left' THEN 2 ELSE 3 END AS r, value FROM events),
