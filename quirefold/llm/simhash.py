@@ -180,7 +180,8 @@ def links(distinct: DataFrame) -> DataFrame:
     line = F.expr("transform(sequence(0, nb - 1), j -> pmod(xxhash64(fp), na) * nb + j)")
     column = F.expr("transform(sequence(0, na - 1), i -> i * nb + pmod(xxhash64(fp), nb))")
     cells = (
-        keyed.join(shared, "key")
+        # a row of distinct makes some 45 of keyed, which Spark's size estimate does not know: never broadcast by it
+        keyed.join(shared.hint("merge"), "key")
         .select("key", F.explode(F.when(F.col("role") == 0, line).when(F.col("role") == 1, column).otherwise(F.array_union(line, column))).alias("cell"), "fp")
     )
     return cells.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInPandas(_links, "u long, v long")
@@ -207,7 +208,8 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scratch = Scratch(df.sparkSession, "simhash-docs")
     prints = scratch.write(fingerprints(df, text_col, [id_col]))
     groups = near_groups(prints, id_col)
-    return prints.join(groups, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    # repeated fingerprints are stored in far fewer bytes than they take in memory
+    return prints.hint("merge").join(groups, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from quirefold.llm import simhash as m
 from quirefold.llm.components import components
@@ -87,3 +88,11 @@ def test_components_of_a_chain(spark):
     got = dict(map(tuple, components(spark.createDataFrame(links, "u long, v long")).collect()))
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_keys_are_not_broadcast(spark):
+    few = spark.range(50).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    plan = m.links(m.fingerprints(few, "text", ["doc_id"]))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    last = m.simhash_groups(few)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in last
