@@ -116,17 +116,19 @@ def first_emission(rows: DataFrame, keys: list[str], name: str, order: list[str]
 
 def attached_captions(t: dict[str, DataFrame]) -> DataFrame:
     """doc_key, host_id, caption_id, edge_id, ok: matched caption edges from a host to a caption; ok where each has only the other."""
-    kinds = t["blocks"].select("doc_key", "id", "kind", F.trim("text").alias("said"))
+    # blocks may be exploded from rows or stored in far fewer bytes than they take, so no estimate may broadcast them
+    kinds = t["blocks"].select("doc_key", "id", "kind", F.trim("text").alias("said")).hint("merge")
     pairs = (
         t["edges"].filter("kind = 'caption' and status = 'matched'").select("doc_key", F.col("id").alias("edge_id"), F.col("pos").alias("edge_pos"), F.col("from").alias("host_id"), F.explode("to").alias("caption_id"))
         .withColumn("caption_id", F.regexp_replace("caption_id", "^#", ""))
         .join(kinds.filter("kind in ('figure', 'table', 'equation')").select("doc_key", F.col("id").alias("host_id"), F.col("said").alias("host_text")), ["doc_key", "host_id"])
         .join(kinds.filter("kind = 'caption'").select("doc_key", F.col("id").alias("caption_id"), F.col("said").alias("caption_text")), ["doc_key", "caption_id"])
     )
-    one = pairs.groupBy("doc_key", "host_id").agg(F.count_distinct("caption_id").alias("captions"))
-    other = pairs.groupBy("doc_key", "caption_id").agg(F.count_distinct("host_id").alias("hosts"))
+    # the last join has dealt the pairs by caption, so only the windows over hosts deal them again
+    alone = lambda x, key: F.min(x).over(W.partitionBy("doc_key", key)) == F.max(x).over(W.partitionBy("doc_key", key))
+    counted = pairs.withColumn("_one_host", alone("host_id", "caption_id")).withColumn("_one_caption", alone("caption_id", "host_id"))
     agree = (F.col("host_text") == "") | (F.col("host_text") == F.col("caption_text"))
-    return pairs.join(one, ["doc_key", "host_id"]).join(other, ["doc_key", "caption_id"]).select("doc_key", "host_id", "caption_id", "edge_id", ((F.col("captions") == 1) & (F.col("hosts") == 1) & agree).alias("ok"))
+    return counted.select("doc_key", "host_id", "caption_id", "edge_id", (F.col("_one_caption") & F.col("_one_host") & agree).alias("ok"))
 
 
 def resolved_targets(targets: DataFrame, t: dict[str, DataFrame]) -> DataFrame:

@@ -14,3 +14,8 @@ def test_query(spark, name):
 
 def test_every_fault_is_met(spark):
     assert spark.read.parquet(f"{DATA}/documents.parquet").count() >= len(FAULTS)
+
+
+def test_caption_blocks_are_not_broadcast(spark):
+    plan = QUERIES["caption_links"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
