@@ -1,8 +1,12 @@
-"""Near copies by the Jaccard similarity of their word shingles.
+"""Near copies by the Jaccard similarity of their word shingles, found by SimHash and Golay-code fuzzy hashing.
 
-Candidates share a band of MinHash values (BANDS bands of ROWS values: of pairs at a similarity of exactly 0.8, one in
-2,500 shares none; of nearer pairs fewer). 64 SimHash bits cannot give them: two texts at 0.8 differ in about ten, and
-the keys that find fingerprints ten bits apart bring together too many that are not alike.
+A text's SimHash over its shingles has as many segments of 23 bits as needed. The key of a segment is the index of the
+codeword of the perfect Golay code nearest to it. At a similarity of 0.8 two texts differ in 15 % of their bits and have
+the same index of one segment with probability 0.12, so of such pairs one in 10,000 (MISS) shares no key of 72; of nearer
+pairs fewer. With many texts a key has more bits (and there are more segments), so that keys stay as selective.
+
+Of the texts that share a key only those are brought together whose first 192 bits differ in at most 60 (DISTANCE): by
+the binomial law unrelated texts do so with probability 1e-7, and pairs at 0.8, which differ in 29, miss it with less.
 
 Every link is checked on the shingles themselves. First each text of a band is compared with the least of that band,
 which settles most; where a band still holds several components, cells of bounded size (a grid, for a band that many
@@ -11,6 +15,7 @@ share) compare its texts across components and emit only links that join two, so
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +28,13 @@ from pyspark.sql import types as T
 
 from ._common import Scratch
 from .components import components
+from .simhash import codeword_index
 
-WORDS, SIMILARITY, BANDS, ROWS, SEED, CELL = 5, 0.8, 20, 5, 42, 256
-_RANDOM = np.random.default_rng(SEED)
-_FACTORS = _RANDOM.integers(0, 2**64, (BANDS * ROWS, 1), dtype=np.uint64) | np.uint64(1)
-_SHIFTS = _RANDOM.integers(0, 2**64, (BANDS * ROWS, 1), dtype=np.uint64)
+WORDS, SIMILARITY, SEED, CELL = 5, 0.8, 42, 256
+#: Bits of a segment, and of the fingerprint's head with the most that may differ there; texts that a key is meant for, and texts of a cell.
+SEGMENT, HEAD, DISTANCE, CROWD, MOST = 23, 3, 60, 256, 1024
+#: Of pairs at a similarity of 0.8: that share no key; that have the same index of a segment; that differ in a bit.
+MISS, MEET, DIFFER = 1e-4, 0.1213, 0.1515
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -39,14 +46,63 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(s, SEED) for s in parts]), ">u8").astype(np.uint64))
 
 
-def bands(hashes: np.ndarray) -> list[int]:
-    """One key per band, as signed longs; texts without shingles share all theirs."""
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for lo in range(0, len(hashes), 4096):
-        least = np.minimum(least, (hashes[lo : lo + 4096] * _FACTORS + _SHIFTS).min(1))
-    raw = least.tobytes()
-    step = 8 * ROWS
-    return [xxhash.xxh64_intdigest(raw[i * step : (i + 1) * step], i) - 2**63 for i in range(BANDS)]
+def scheme(n: int) -> tuple[int, int]:
+    """For n texts: bits of a key beyond the codeword's 12, and the number of segments."""
+    extra = max(0, math.ceil(math.log2(max(n, 1) / CROWD)) - 12)
+    return extra, math.ceil(math.log(MISS) / math.log(1 - MEET * (1 - DIFFER) ** extra))
+
+
+def simhash(hashes: np.ndarray, size: int) -> np.ndarray:
+    """That many bits, at least, of whole words of 64; a bit is 1 if set in over half the hashes' derivates."""
+    random = np.random.default_rng(SEED)
+    factors, shifts = (random.integers(0, 2**64, -(-size // 64), dtype=np.uint64) for _ in range(2))
+    ones = np.zeros(64 * len(factors), np.int64)
+    for lo in range(0, len(hashes), 255):  # as many as a byte can count
+        x = hashes[lo : lo + 255, None] * (factors | np.uint64(1)) + shifts
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        ones += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return ones * 2 > len(hashes)
+
+
+def bands(bits: np.ndarray, extra: int = 0, n: int | None = None) -> np.ndarray:
+    """Keys of fingerprints (a row of bits each), one column a segment: its number, its Golay index, its further bits."""
+    wide = SEGMENT + extra
+    n = bits.shape[1] // wide if n is None else n
+    parts = bits[:, : n * wide].reshape(len(bits), n, wide)
+    word = parts[:, :, :SEGMENT] @ (1 << np.arange(SEGMENT, dtype=np.uint32))
+    more = parts[:, :, SEGMENT:] @ (1 << np.arange(extra, dtype=np.int64))
+    return (np.arange(n) << 12 | codeword_index(word.astype(np.uint32)).astype(np.int64)) << extra | more
+
+
+def clusters(heads: np.ndarray) -> np.ndarray:
+    """For each of these heads (rows of words) the place of the first that it is joined to by links of DISTANCE bits."""
+    root = np.arange(len(heads))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = None
+    if len(heads) <= 2 * CROWD:
+        apart = sum(np.bitwise_count(heads[:, None, k] ^ heads[None, :, k]).astype(np.uint8) for k in range(HEAD))
+        pairs = np.argwhere(np.triu(apart <= DISTANCE, 1))
+    if pairs is None or len(pairs) > 2 * len(heads):
+        pairs, left = [], np.arange(len(heads))
+        while len(left):  # each compared with those not yet reached
+            front, left = [left[0]], left[1:]
+            while front and len(left):
+                a = front.pop()
+                hit = np.bitwise_count(heads[left] ^ heads[a]).sum(1, dtype=np.int64) <= DISTANCE
+                pairs += [(a, b) for b in left[hit]]
+                front += list(left[hit])
+                left = left[~hit]
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return np.array([find(i) for i in root], np.int64)
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -87,19 +143,84 @@ def joining(sets: list[np.ndarray], comps: list, similarity: float) -> list[tupl
     return out
 
 
-def _signed(df: DataFrame, words: int) -> DataFrame:
-    """id, node (128 bits of the text's SHA-256) and keys of rows (id, text)."""
+def _signed(df: DataFrame, words: int, size: int = 64 * HEAD) -> DataFrame:
+    """id, node (128 bits of the text's SHA-256) and print (the SimHash) of rows (id, text)."""
     kept = df.select("id", F.unhex(F.substring(F.sha2("text", 256), 1, 32)).alias("node"), "text")
-    shape = T.StructType([*kept.schema.fields[:-1], T.StructField("keys", T.ArrayType(T.LongType()))])
+    shape = T.StructType([*kept.schema.fields[:-1], T.StructField("print", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [bands(shingles(t, words)) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(made, pa.list_(pa.int64()))], names=["id", "node", "keys"])
+            made = [np.packbits(simhash(shingles(t, words), size)).tobytes() for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(made, pa.binary())], names=["id", "node", "print"])
 
     return kept.mapInArrow(run, shape)
 
 
+_HEAD = [f"h{k}" for k in range(HEAD)]
+
+
+def _keyed(signed: DataFrame, extra: int, n: int) -> DataFrame:
+    """(node, keys) of texts that a key brings together: a key names texts of one segment's index whose heads are joined.
+
+    A key that many heads share is cut into lots of bounded size, and has a cell for every two of them.
+    """
+    scratch = Scratch(signed.sparkSession, "near-copies-prints")
+    shape = ", ".join(f"{h} long" for h in _HEAD)
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(b), -1)
+            heads = np.ascontiguousarray(raw[:, : 8 * HEAD]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(heads[:, k]) for k in range(HEAD))], names=["node", "print", *_HEAD])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, len(b), 500):
+                part = b.slice(lo, 500)
+                bits = np.unpackbits(np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint8).reshape(len(part), -1), axis=1)
+                keys = bands(bits, extra, n)
+                heads = [pa.array(np.repeat(part.column(k + 1).to_numpy(), n)) for k in range(HEAD)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *heads], names=["key", *_HEAD])
+
+    def joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by cell; a cell may go on in the next frame."""
+
+        def done(rows: np.ndarray) -> pd.DataFrame:
+            starts = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(1)])
+            ends, out = np.r_[starts[1:], len(rows)], []
+            for s, e in zip(starts, ends, strict=True):
+                if e - s > 1:
+                    root = clusters(np.ascontiguousarray(rows[s:e, 2:]).view(np.uint64))
+                    held = np.flatnonzero(np.bincount(root, minlength=e - s)[root] > 1)
+                    out.append(np.c_[rows[s:e][held], root[held]])
+            made = np.concatenate(out) if out else np.zeros((0, 3 + HEAD), np.int64)
+            return pd.DataFrame(made, columns=["key", "cell", *_HEAD, "root"])
+
+        rest = None
+        for f in frames:
+            rows = f.to_numpy(np.int64)
+            rows = rows if rest is None else np.concatenate([rest, rows])
+            last = int(np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(1)).max(initial=-1)) + 1
+            rest = rows[last:]
+            if last:
+                yield done(rows[:last])
+        if rest is not None and len(rest):
+            yield done(rest)
+
+    prints = scratch.write(signed.select("node", "print").dropDuplicates(["node"]).mapInArrow(words, f"node binary, print binary, {shape}"))
+    dealt = prints.dropDuplicates(["print"]).select("print", *_HEAD).mapInArrow(emit, f"key long, {shape}")
+    crowded = dealt.groupBy("key").count().filter(F.col("count") > MOST).select("key", F.ceil(F.col("count") / MOST).cast("int").alias("k"))
+    lot = F.expr(f"pmod(xxhash64({', '.join(_HEAD)}), k)")
+    cells = F.expr("transform(sequence(0, k - 1), j -> least(lot, j) * k + greatest(lot, j))")
+    # of n rows at most n / MOST keys are crowded
+    celled = dealt.join(F.broadcast(crowded), "key", "left").withColumn("lot", lot).select("key", F.explode(F.when(F.col("k").isNull(), F.array(F.lit(0))).otherwise(cells)).alias("cell"), *_HEAD)
+    near = celled.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInPandas(joined, f"key long, cell long, {shape}, root long")
+    named = near.select(F.xxhash64("key", "cell", "root").alias("key"), *_HEAD)
+    # texts that differ may have one head
+    same = prints.groupBy(*_HEAD).count().filter("count > 1").select(F.xxhash64(*_HEAD).alias("key"), *_HEAD)
+    return prints.select("node", *_HEAD).hint("merge").join(named.unionByName(same), _HEAD).select("node", F.array("key").alias("keys"))
+
+
 def _checked(pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """The links (u, v) among pairs with their texts (u, a, v, b)."""
 
@@ -168,9 +289,11 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     count as empty, and texts without words are equal.
     """
     rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = Scratch(df.sparkSession, "near-copies").write(_signed(rows, words))
+    scratch = Scratch(df.sparkSession, "near-copies")
+    extra, n = scheme(df.count())
+    signed = scratch.write(_signed(rows, words, n * (SEGMENT + extra)))
     rows = rows.withColumn("node", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
-    roots = groups(rows, signed, words, similarity)
+    roots = groups(rows, scratch.write(_keyed(signed, extra, n)), words, similarity)
     chosen = (
         signed.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("comp")).agg(F.min(F.struct("id", "node")).alias("best"))
         .select(F.col("best.node").alias("node"), F.col("best.id").alias("best_id"))

@@ -1,0 +1,51 @@
+import numpy as np
+
+import corpus_pipeline as c
+from quirefold.llm import near_copies as m
+
+from .test_near_copies import least_ids, made
+
+
+def pairs(rng, n, size):
+    """Sets of hashes, and for each another at a similarity of 0.8."""
+    for _ in range(n):
+        own = rng.integers(0, 2**64, size * 10 // 9, dtype=np.uint64)
+        yield own[:size], own[size // 9 :]
+
+
+def test_prints_are_simhash_and_keys_golay_indices():
+    rng = np.random.default_rng(4)
+    size = m.scheme(1000)[1] * m.SEGMENT
+    for a, b in pairs(rng, 60, 900):
+        a, b = m.simhash(a, size), m.simhash(b, size)
+        assert 0.1 < (a != b).mean() < 0.21 and (a != b)[: 64 * m.HEAD].sum() <= m.DISTANCE
+        assert (m.bands(np.array([a]))[0][:72] == m.bands(np.array([b]))[0][:72]).any()
+    flip = a.copy()
+    flip[7] ^= True  # a key is the same for many words of a segment
+    assert sum((m.bands(np.array([a])) != m.bands(np.array([flip])))[0]) <= 1
+
+
+def test_more_texts_more_bits():
+    assert m.scheme(0) == m.scheme(1_000_000) == (0, 72)
+    extra, n = m.scheme(12_000_000)
+    assert extra == 4 and n > 72
+    bits = m.simhash(np.arange(500, dtype=np.uint64), n * (m.SEGMENT + extra))[None]
+    keys = m.bands(bits, extra, n)
+    assert keys.shape == (1, n) and (keys[0] >> 12 + extra == np.arange(n)).all()
+
+
+def test_crowded_keys(spark, monkeypatch):
+    monkeypatch.setattr(m, "MOST", 2)  # the lots come into play
+    rows = made()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in c.drop_near_copies(spark, df, "").collect()) == least_ids(rows)
+
+
+def test_clusters():
+    rng = np.random.default_rng(6)
+    heads = rng.integers(0, 2**64, (40, m.HEAD), dtype=np.uint64)
+    near = heads[rng.integers(0, 40, 700)].copy()
+    near[:, 0] ^= np.uint64(1) << rng.integers(0, 64, 700).astype(np.uint64)
+    for every in (heads, np.r_[heads, near[:100]], np.r_[heads, near]):
+        root = m.clusters(every)
+        assert (root[:40] == np.arange(40)).all() and (np.bitwise_count(every ^ every[root]).sum(1) <= 2).all()
