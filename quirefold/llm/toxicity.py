@@ -22,12 +22,13 @@ from collections import Counter
 from functools import reduce
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import mapped, remainder, table
-from .near_copies import SIMILARITY, alike, bands, shingles
+from .near_copies import SIMILARITY, alike, shingles
 
 #: Bounds of the sample that the model is fitted on: documents and bytes of text of each label.
 SAMPLE, SAMPLE_BYTES = 4000, 64_000_000
@@ -37,6 +38,10 @@ SURE = 22.0
 THRESHOLD = 0.7
 WORD = re.compile(r"\w+")
 CACHE = 200_000
+BANDS, ROWS, SEED = 20, 5, 42
+_RANDOM = np.random.default_rng(SEED)
+_FACTORS = _RANDOM.integers(0, 2**64, (BANDS * ROWS, 1), dtype=np.uint64) | np.uint64(1)
+_SHIFTS = _RANDOM.integers(0, 2**64, (BANDS * ROWS, 1), dtype=np.uint64)
 
 
 def segments(scores: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
@@ -65,6 +70,16 @@ def segments(scores: list[tuple[int, float]], drift: float) -> list[tuple[int, i
     return [(a, b, r - l) for a, b, l, r, _ in kept]
 
 
+def minhash_bands(hashes: np.ndarray) -> list[int]:
+    """One key per band of MinHash values, as signed longs; texts without shingles share all theirs."""
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for lo in range(0, len(hashes), 4096):
+        least = np.minimum(least, (hashes[lo : lo + 4096] * _FACTORS + _SHIFTS).min(1))
+    raw = least.tobytes()
+    step = 8 * ROWS
+    return [xxhash.xxh64_intdigest(raw[i * step : (i + 1) * step], i) - 2**63 for i in range(BANDS)]
+
+
 def apart(texts: list[str], labels: list[int]) -> tuple[list[str], list[int]]:
     """Without near copies (five-word similarity of 0.8 or more) of earlier texts, which are no evidence of their own.
 
@@ -74,7 +89,7 @@ def apart(texts: list[str], labels: list[int]) -> tuple[list[str], list[int]]:
     sets, kept = [], []
     for text, y in zip(texts, labels, strict=True):
         own = shingles(text)
-        keys = list(enumerate(bands(own)))
+        keys = list(enumerate(minhash_bands(own)))
         if any(alike(own, sets[i], SIMILARITY) for i in {i for k in keys for i in held.get(k, ())}):
             continue
         for k in keys:
