@@ -5,12 +5,14 @@ codeword of the perfect Golay code nearest to it. At a similarity of 0.8 two tex
 the same index of one segment with probability 0.12, so of such pairs one in 10,000 (MISS) shares no key of 72; of nearer
 pairs fewer. With many texts a key has more bits (and there are more segments), so that keys stay as selective.
 
-Of the texts that share a key only those are brought together whose first 192 bits differ in at most 60 (DISTANCE): by
-the binomial law unrelated texts do so with probability 1e-7, and pairs at 0.8, which differ in 29, miss it with less.
-
-Every link is checked on the shingles themselves. First each text of a band is compared with the least of that band,
-which settles most; where a band still holds several components, cells of bounded size (a grid, for a band that many
-share) compare its texts across components and emit only links that join two, so no cell emits more rows than it holds.
+Of the texts that share a key only those are linked whose first 192 bits differ in at most 60 (DISTANCE): by the
+binomial law unrelated texts do so with probability 1e-7, and pairs at 0.8, which differ in 29, miss it with less. What
+these links join is one group. The first FIRST segments join most of it, so that the others add few links.
+
+Every link is checked on the shingles themselves, and each text is in one group only. A group is dealt into lots of
+bounded size that have a few of its texts (PIVOTS) in common, which settles most. Where several components are left,
+cells of bounded size compare the texts outside the largest with all others: n texts with s outside make about
+n + 2 * n * s / CELL rows, so a group whose texts are linked makes as many rows as it has texts.
 """
 
 from __future__ import annotations
@@ -31,8 +33,10 @@ from .components import components
 from .simhash import codeword_index
 
 WORDS, SIMILARITY, SEED, CELL = 5, 0.8, 42, 256
-#: Bits of a segment, and of the fingerprint's head with the most that may differ there; texts that a key is meant for, and texts of a cell.
+#: Bits of a segment, and of the fingerprint's head with the most that may differ there; texts that a key is meant for, and most that are compared in one step.
 SEGMENT, HEAD, DISTANCE, CROWD, MOST = 23, 3, 60, 256, 1024
+#: Segments whose keys come first; texts that all lots of a group have in common.
+FIRST, PIVOTS = 8, 16
 #: Of pairs at a similarity of 0.8: that share no key; that have the same index of a segment; that differ in a bit.
 MISS, MEET, DIFFER = 1e-4, 0.1213, 0.1515
 
@@ -76,7 +80,7 @@ def bands(bits: np.ndarray, extra: int = 0, n: int | None = None) -> np.ndarray:
     return (np.arange(n) << 12 | codeword_index(word.astype(np.uint32)).astype(np.int64)) << extra | more
 
 
-def clusters(heads: np.ndarray) -> np.ndarray:
+def clusters(heads: np.ndarray, most: int = MOST) -> np.ndarray:
     """For each of these heads (rows of words) the place of the first that it is joined to by links of DISTANCE bits."""
     root = np.arange(len(heads))
 
@@ -86,7 +90,7 @@ def clusters(heads: np.ndarray) -> np.ndarray:
         return i
 
     pairs = None
-    if len(heads) <= 2 * CROWD:
+    if len(heads) <= most:
         apart = sum(np.bitwise_count(heads[:, None, k] ^ heads[None, :, k]).astype(np.uint8) for k in range(HEAD))
         pairs = np.argwhere(np.triu(apart <= DISTANCE, 1))
     if pairs is None or len(pairs) > 2 * len(heads):
@@ -157,128 +161,121 @@ def _signed(df: DataFrame, words: int, size: int = 64 * HEAD) -> DataFrame:
 
 
 _HEAD = [f"h{k}" for k in range(HEAD)]
+_HEADS = ", ".join(f"{h} long" for h in _HEAD)
 
 
-def _keyed(signed: DataFrame, extra: int, n: int) -> DataFrame:
-    """(node, keys) of texts that a key brings together: a key names texts of one segment's index whose heads are joined.
+def _linked(prints: DataFrame, extra: int, n: int, lo: int, hi: int) -> DataFrame:
+    """Links (u, v) between the components that keys of the segments lo to hi join, of prints (print, heads, comp).
 
-    A key that many heads share is cut into lots of bounded size, and has a cell for every two of them.
+    The texts of a key are rows of one task, however many they are; each meets those that are not yet reached.
     """
-    scratch = Scratch(signed.sparkSession, "near-copies-prints")
-    shape = ", ".join(f"{h} long" for h in _HEAD)
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(b), -1)
-            heads = np.ascontiguousarray(raw[:, : 8 * HEAD]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(heads[:, k]) for k in range(HEAD))], names=["node", "print", *_HEAD])
+    most = MOST
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, len(b), 500):
-                part = b.slice(lo, 500)
+            for i in range(0, len(b), 500):
+                part = b.slice(i, 500)
                 bits = np.unpackbits(np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint8).reshape(len(part), -1), axis=1)
-                keys = bands(bits, extra, n)
-                heads = [pa.array(np.repeat(part.column(k + 1).to_numpy(), n)) for k in range(HEAD)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *heads], names=["key", *_HEAD])
+                keys = bands(bits, extra, n)[:, lo:hi]
+                rest = [pa.array(np.repeat(part.column(k + 1).to_numpy(), hi - lo)) for k in range(1 + HEAD)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *rest], names=["key", "comp", *_HEAD])
 
     def joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by cell; a cell may go on in the next frame."""
+        """Rows come sorted by key, the least component first; a key may go on in the next frame."""
 
         def done(rows: np.ndarray) -> pd.DataFrame:
-            starts = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(1)])
-            ends, out = np.r_[starts[1:], len(rows)], []
+            starts = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
+            ends, out = np.r_[starts[1:], len(rows)], [np.zeros((0, 2), np.int64)]
             for s, e in zip(starts, ends, strict=True):
-                if e - s > 1:
-                    root = clusters(np.ascontiguousarray(rows[s:e, 2:]).view(np.uint64))
-                    held = np.flatnonzero(np.bincount(root, minlength=e - s)[root] > 1)
-                    out.append(np.c_[rows[s:e][held], root[held]])
-            made = np.concatenate(out) if out else np.zeros((0, 3 + HEAD), np.int64)
-            return pd.DataFrame(made, columns=["key", "cell", *_HEAD, "root"])
-
-        rest = None
+                comp = rows[s:e, 1]
+                if e - s > 1 and (comp != comp[0]).any():
+                    first = comp[clusters(np.ascontiguousarray(rows[s:e, 2:]).view(np.uint64), most)]
+                    out.append(np.c_[comp, first][comp != first])
+            return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["u", "v"])
+
+        rest: list[np.ndarray] = []
         for f in frames:
             rows = f.to_numpy(np.int64)
-            rows = rows if rest is None else np.concatenate([rest, rows])
-            last = int(np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(1)).max(initial=-1)) + 1
-            rest = rows[last:]
+            same = rows[:, 0] == rows[-1, 0]
+            if rest and same.all() and rest[-1][-1, 0] == rows[0, 0]:
+                rest.append(rows)
+                continue
+            rows = np.concatenate([*rest, rows])
+            last = int(np.flatnonzero(rows[:, 0] != rows[-1, 0]).max(initial=-1)) + 1
+            rest = [rows[last:]]
             if last:
                 yield done(rows[:last])
-        if rest is not None and len(rest):
-            yield done(rest)
-
-    prints = scratch.write(signed.select("node", "print").dropDuplicates(["node"]).mapInArrow(words, f"node binary, print binary, {shape}"))
-    dealt = prints.dropDuplicates(["print"]).select("print", *_HEAD).mapInArrow(emit, f"key long, {shape}")
-    crowded = dealt.groupBy("key").count().filter(F.col("count") > MOST).select("key", F.ceil(F.col("count") / MOST).cast("int").alias("k"))
-    lot = F.expr(f"pmod(xxhash64({', '.join(_HEAD)}), k)")
-    cells = F.expr("transform(sequence(0, k - 1), j -> least(lot, j) * k + greatest(lot, j))")
-    # of n rows at most n / MOST keys are crowded
-    celled = dealt.join(F.broadcast(crowded), "key", "left").withColumn("lot", lot).select("key", F.explode(F.when(F.col("k").isNull(), F.array(F.lit(0))).otherwise(cells)).alias("cell"), *_HEAD)
-    near = celled.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInPandas(joined, f"key long, cell long, {shape}, root long")
-    named = near.select(F.xxhash64("key", "cell", "root").alias("key"), *_HEAD)
-    # texts that differ may have one head
-    same = prints.groupBy(*_HEAD).count().filter("count > 1").select(F.xxhash64(*_HEAD).alias("key"), *_HEAD)
-    return prints.select("node", *_HEAD).hint("merge").join(named.unionByName(same), _HEAD).select("node", F.array("key").alias("keys"))
-
-
-def _checked(pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The links (u, v) among pairs with their texts (u, a, v, b)."""
+        if rest:
+            yield done(np.concatenate(rest))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column(1).to_pylist(), batch.column(3).to_pylist()
-            last, own, keep = None, None, []
-            for x, y in zip(a, b, strict=True):
-                if last is None or y != last:
-                    last, own = y, shingles(y, words)
-                keep.append(alike(shingles(x, words), own, similarity))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+    dealt = prints.select("print", "comp", *_HEAD).mapInArrow(emit, f"key long, comp long, {_HEADS}")
+    return dealt.repartition("key").sortWithinPartitions("key", "comp").mapInPandas(joined, "u long, v long")
 
-    return pairs.select("u", "a", "v", "b").mapInArrow(run, "u binary, v binary")
+
+def _keyed(signed: DataFrame, extra: int, n: int) -> DataFrame:
+    """(node, keys) of all texts; the key, one for each text, names the group that the links of heads join."""
+    scratch = Scratch(signed.sparkSession, "near-copies-prints")
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(b), -1)
+            heads = np.ascontiguousarray(raw[:, : 8 * HEAD]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(heads[:, k]) for k in range(HEAD))], names=["node", "print", *_HEAD])
+
+    prints = scratch.write(
+        signed.select("node", "print").dropDuplicates(["node"]).mapInArrow(words, f"node binary, print binary, {_HEADS}")
+        .withColumn("comp", F.xxhash64(*_HEAD))  # texts that differ may have one head, and are one group then
+    )
+    own = prints.dropDuplicates(["print"])
+
+    def rooted(df: DataFrame, links: DataFrame) -> DataFrame:
+        roots = scratch.write(components(links)).select(F.col("node").alias("comp"), "root")
+        return df.join(roots, "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
+
+    prints = scratch.write(rooted(prints, _linked(own, extra, n, 0, FIRST)))
+    more = _linked(prints.dropDuplicates(["print"]), extra, n, FIRST, n)
+    return rooted(prints, more).select("node", F.array("comp").alias("keys"))
 
 
 def _across(cells: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The links (u, v) across components in cells (key, cell, node, comp, text)."""
+    """The links (u, v) between components in cells (key, cell, comp, text)."""
 
     def done(f: pd.DataFrame) -> pd.DataFrame:
         got = joining([shingles(t, words) for t in f["text"]], f["comp"].tolist(), similarity)
-        nodes = f["node"].tolist()
-        return pd.DataFrame({"u": [nodes[a] for a, _ in got], "v": [nodes[b] for _, b in got]}, columns=["u", "v"])
+        comps = f["comp"].tolist()
+        return pd.DataFrame({"u": [comps[a] for a, _ in got], "v": [comps[b] for _, b in got]}, columns=["u", "v"])
 
     return cells.groupBy("key", "cell").applyInPandas(done, "u binary, v binary")
 
 
 def groups(rows: DataFrame, signed: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root) of every text (node, text in rows) that has a near copy."""
+    """(node, root) of every text (node, text in rows) that has a near copy; texts (node, keys in signed) are compared
+    with all that share a key."""
     scratch = Scratch(signed.sparkSession, "near-copies-bands")
-    keyed = signed.select(F.explode("keys").alias("key"), "node")
-    h = F.xxhash64("node")
-    # bands that hold the same texts are one
-    shared = (
-        keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(h).alias("x"), F.sum(F.shiftrightunsigned(h, 30)).alias("s"))
-        .filter("lo < hi").groupBy("n", "lo", "hi", "x", "s").agg(F.min("key").alias("key")).select("key", "lo")
-    )
-    members = scratch.write(keyed.join(shared, "key").select("key", "lo", "node").distinct())
-    named = members.select("node").distinct()
-    texts = scratch.write(rows.join(named, "node", "left_semi").select("node", "text").dropDuplicates(["node"]))
-    a, b = texts.select(F.col("node").alias("u"), F.col("text").alias("a")), texts.select(F.col("node").alias("v"), F.col("text").alias("b"))
-    stars = members.filter("node > lo").select(F.col("node").alias("u"), F.col("lo").alias("v")).distinct()
-    sure = scratch.write(_checked(stars.join(a, "u").join(b, "v"), words, similarity))
-    roots = scratch.write(components(sure))
-    now = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
+    keyed = signed.select(F.explode("keys").alias("key"), "node").distinct()
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("k", F.ceil(F.col("n") / CELL))
+    members = scratch.write(keyed.join(shared, "key"))
+    texts = scratch.write(rows.join(members.select("node").distinct(), "node", "left_semi").select("node", "text").dropDuplicates(["node"]))
+    lot = F.expr("pmod(xxhash64(node), k)")
+    pivot = F.expr(f"k > 1 and pmod(xxhash64(node, 1), ceil(n / {PIVOTS})) = 0")
+    lots = members.select("key", "node", F.col("node").alias("comp"), F.explode(F.when(pivot, F.expr("sequence(0L, k - 1)")).otherwise(F.array(lot))).alias("cell"))
+    roots = scratch.write(components(_across(lots.join(texts, "node").drop("node"), words, similarity)))
+    # texts of one lot have been compared
+    now = members.filter("k > 1").join(roots, "node", "left").select("key", "node", "n", "k", F.coalesce("root", "node").alias("comp"))
     several = (
-        now.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.count("*").alias("n"))
-        # with two texts the pair has been compared
-        .filter("c < d and n > 2").select("key", F.ceil(F.col("n") / CELL).cast("int").alias("k"))
+        now.groupBy("key", "n", "comp").agg(F.count("*").alias("m")).groupBy("key", "n").agg(F.max(F.struct("m", "comp")).alias("most"))
+        .filter("most.m < n").select("key", F.col("most.comp").alias("most"), F.ceil((F.col("n") - F.col("most.m")) / CELL).alias("lines"))
     )
-    # a cell for every two of a key's k lots, so that any two texts meet
-    lot = F.expr("pmod(xxhash64(node), k)")
+    # a text outside the largest component has a line of cells, every text a column of them, so that the former meet all
+    line = F.expr("transform(sequence(0L, k - 1), j -> pmod(xxhash64(node), lines) * k + j)")
+    column = F.expr("transform(sequence(0L, lines - 1), i -> i * k + pmod(xxhash64(node), k))")
     cells = (
-        now.join(several, "key").withColumn("lot", lot)
-        .select("key", "node", "comp", F.explode(F.expr("transform(sequence(0, k - 1), j -> least(lot, j) * k + greatest(lot, j))")).alias("cell"))
+        now.join(several, "key")
+        .select("key", "node", "comp", F.explode(F.when(F.col("comp") == F.col("most"), column).otherwise(F.array_union(line, column))).alias("cell"))
     )
-    more = scratch.write(_across(cells.join(texts, "node"), words, similarity))
-    return components(sure.unionByName(more))
+    last = scratch.write(components(_across(cells.join(texts, "node").drop("node"), words, similarity)))
+    moved = roots.join(last.select(F.col("node").alias("root"), F.col("root").alias("least")), "root", "left").select("node", F.coalesce("least", "root").alias("root"))
+    return moved.unionByName(last.join(roots, "node", "left_anti"))
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

@@ -58,3 +58,21 @@ def test_many_in_one_band(spark, monkeypatch):
     for r in signed:
         held.setdefault(root.get(bytes(r.node), bytes(r.node)), []).append(r.id)
     assert sorted(map(min, held.values())) == least_ids(rows)
+
+
+def test_rows_follow_the_size_of_a_group(spark, monkeypatch):
+    """A large group of copies has a row a text, and some for the pivots, wherever texts are keyed and compared."""
+    monkeypatch.setattr(m, "CELL", 16)
+    compared, across = [], m._across
+    monkeypatch.setattr(m, "_across", lambda cells, *a: compared.append(cells.count()) or across(cells, *a))
+    base, n = ["w" + str(i) for i in range(150)], 240
+    rows = [(i, " ".join([*base[: i % 150], "new" + str(i), *base[i % 150 + 1 :]])) for i in range(n)]
+    df = spark.createDataFrame([*rows, (n, "quite another text")], "id long, text string")
+    extra, segments = m.scheme(n)
+    signed = m._signed(df, m.WORDS, segments * (m.SEGMENT + extra)).localCheckpoint()
+    keyed = m._keyed(signed, extra, segments).localCheckpoint()
+    keys = [k for r in keyed.collect() for k in r["keys"]]
+    assert len(keys) == n + 1 and len(set(keys)) == 2  # a text is in one group
+    texts = signed.select("id", "node").join(df, "id").select("node", "text")
+    assert {bytes(r.root) for r in m.groups(texts, keyed).collect()} == {min(bytes(r.node) for r in signed.collect() if r.id < n)}
+    assert n <= sum(compared) < 4 * n
